@@ -4,13 +4,27 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from talkframe.llm import bpe, exact_dedup, media, mixing
+from talkframe.llm import bpe, exact_dedup, language, line_dedup, media, mixing, near_dedup, secrets, substring_dedup, toxicity
 from talkframe.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_id(table(spark, sf_dir, "documents"))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secret_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_random")
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -19,17 +33,47 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_dedup.line_dedup(docs)
+    return kept.select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_components(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op4_mix, op5_exact_dedup, op8_transport_streams, op10_bpe)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_substring_dedup, op3_secrets, op4_mix, op5_exact_dedup,
+        op6_toxicity, op7_line_dedup, op8_transport_streams, op9_near_dedup, op10_bpe,
+    )
+}
 
 ORACLE_SQL = {
+    "op2_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        i AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS pos FROM d WHERE len(w) >= 13),
+        h AS (SELECT doc_id, pos, md5(array_to_string(list_slice(w, pos, pos + 12), ' ')) AS h FROM i),
+        f AS (SELECT h, min(doc_id) AS first FROM h GROUP BY h),
+        gone AS (SELECT DISTINCT doc_id, pos + j AS p FROM h JOIN f USING (h), (SELECT unnest(range(0, 13)) AS j) WHERE first < doc_id),
+        g AS (SELECT doc_id, list(p) AS p FROM gone GROUP BY doc_id),
+        k AS (SELECT d.doc_id, w, coalesce(p, []) AS p FROM d LEFT JOIN g USING (doc_id)),
+        u AS (SELECT doc_id, w, len(p) AS n_removed, CASE WHEN len(p) = 0 THEN w ELSE list_filter(w, lambda x, n: NOT list_contains(p, n)) END AS kept FROM k)
+        SELECT doc_id, len(w) AS n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM u""",
     "op5_exact_dedup": r"""
         WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
