@@ -1,11 +1,78 @@
-"""A training-data pipeline over `documents`."""
+"""A training-data pipeline over `documents`: each stage works on all that its predecessor kept.
 
-STAGES = []
+toxicity drops the documents that the scorer rejects; line dedup takes later repeated runs of lines out of the
+texts; near-dedup keeps one document of each group; mixing repeats each document as often as the mix takes its words,
+in whole copies; BPE encodes what is left and decodes it again.
+
+Every stage but the last returns the columns of documents. Stages are written as Parquet in the session's shared
+folder and read again, so that a lost executor costs a task and not the stages before it.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from talkframe.llm import bpe, line_dedup, mixing, near_dedup, toxicity
+from talkframe.llm.common import fold, table, written
+
+#: Probability of label 1 from which a document is rejected.
+REJECTED = 0.3
+#: Of the draw that rounds copies in the mix.
+SEED = 77
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score below the threshold; the scorer is fitted on labelled rows of these documents."""
+    scorer = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 4) != 2)
+    return toxicity.scored(docs, scorer, column="__score").where(F.col("__score") < REJECTED).drop("__score")
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later repeated runs of lines; no document goes."""
+    return line_dedup.line_dedup(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest document of each group of near copies."""
+    return near_dedup.near_dedup(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document 0, 1 or 2 times: the words taken over its size, a part of a copy rounded up or down.
+
+    A seeded hash of the id rounds, up as often as the part says, so every source stays near its target.
+    """
+    ratio = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0)
+    draw = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    taken = mixing.mix(docs).groupBy("doc_id").agg(F.max(ratio).alias("__ratio"))
+    copies = taken.select(F.col("doc_id").alias("__id"), F.floor(F.col("__ratio") + draw).cast("int").alias("__copies")).where("__copies > 0")
+    both = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__id"]))
+    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document of the mix."""
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("near dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("bpe", tokenize),
+]
+
+#: Scores, draws and tokens have no SQL form; tests/llm compares the rows with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = written(docs)
     return docs
