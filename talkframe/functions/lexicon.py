@@ -160,3 +160,27 @@ def fragments(words: Iterable[str], lo: int = 2, hi: int = 5) -> set[str]:
 def noise_fragments() -> set[str]:
     """Pieces of generic words, of stop phrases and of ASCII laughs."""
     return fragments((*GENERIC_WORDS, *STOP_PHRASES)) | {f for f in fragments(LAUGH_WORDS) if f.isascii()}
+
+
+# Fixed values of review, evaluation and packing.
+
+SERVICE_PHRASES = ("您好", "不客气", "很高兴能帮助", "请问还有什么", "感谢您的理解", "作为 AI")
+FEEDBACK_LABELS = ("像本人", "太客气", "答非所问", "场景用错", "事实错误", "其他")
+CORRECTIONS = {
+    "太客气": "减少客套与服务式收尾，按该场景的原话语气接话",
+    "答非所问": "先回应眼前的问题，不让旧示范带走当前话题",
+    "场景用错": "重新判断当前情绪与意图；仅在相似语境下参考该接法",
+    "事实错误": "不要复述未经当前对话确认的经历、地点或承诺，记不清就承认",
+}
+COUNTER_MARKS = ("不", "没", "别", "从来", "其实")
+GENERIC_ITEM = r"^(?:性格|风格|特点|TA)?[：: ]*(?:幽默风趣|嘴硬心软|说话自然|关心对方|善解人意|活泼开朗|温柔体贴|表达简洁|自然随性)[。！! ]*$"
+TIMING_RULE = r"秒回|隔.*(?:分钟|小时).*回|回消息(?:快|慢)|夜里更活跃|深夜型"
+ABSOLUTE_RULE = r"从不|永不|绝不|一律不"
+ABSOLUTE_ABOUT = r"表情|亲昵|肉麻|关心|直球"
+REPORT_LINE = r"^(?:消息长度：|标点：|作息：|情绪基调：|表达频率：|回复速度：|主动性：|话量：|篇幅对称：|亲密度\s*\d|冷热节奏：)"
+QUOTED = r"[「『“\"]([^「」『』“”\"]+)[」』”\"]"
+QUOTED_PAIR = r"对方\s*[:：]\s*((?:[「『“\"][^「」『』“”\"]+[」』”\"]\s*)+)(?:→|->|⇒)\s*(?:我|TA)\s*[:：]\s*((?:[「『“\"][^「」『』“”\"]+[」』”\"]\s*)+)"
+SECTION_LIMITS = {"人物特点": 4, "情境策略": 6, "口头禅": 12, "典型例句": 8, "接话方式": 8}
+UNTIMED_MONTH = "未标时间"
+UNTIMED = "（无时间）"
+PACK_BUDGET_BYTES = 8 * 1024 * 1024
