@@ -184,3 +184,11 @@ SECTION_LIMITS = {"人物特点": 4, "情境策略": 6, "口头禅": 12, "典型
 UNTIMED_MONTH = "未标时间"
 UNTIMED = "（无时间）"
 PACK_BUDGET_BYTES = 8 * 1024 * 1024
+
+# Section titles by relation, in the order of MEMORY_KINDS.
+SECTION_TITLES = {
+    "恋人": ("关系时间线", "一起去过的地方", "inside jokes", "争吵模式", "甜蜜瞬间", "称呼与专属用语"),
+    "朋友": ("认识与相处时间线", "一起去过的地方", "inside jokes", "闹别扭的时候", "相处高光", "互相怎么称呼"),
+    "同事": ("共事时间线", "一起去过 / 提到的地方", "你们之间的固定说法", "分歧与摩擦", "配合默契的瞬间", "互相怎么称呼"),
+    "家人": ("关系时间线", "一起去过的地方", "家里的梗", "争执模式", "温暖瞬间", "称呼与专属用语"),
+}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talkframe.plans import changes, evidence, exchanges, mining, profile, review, scalars, sessions  # noqa: F401  (they register)
+from talkframe.plans import changes, evidence, exchanges, mining, profile, review, scalars, sessions, shown  # noqa: F401  (they register)
 from talkframe.plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
