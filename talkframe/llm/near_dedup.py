@@ -8,9 +8,14 @@ above that threshold are confirmed on the full sets.
 Prefix: a class's values are ordered by how many classes share them, rarest first; two classes with `matches`
 values in common share one among the first coordinates - matches + 1 of each, so only those are posted, and
 values that nobody shares take no posting. Skipping: a list whose members are in one component already has
-nothing to add. First each class is tried against the smallest member of its lists with which it shares most
-(one pair a class); what this links becomes components. Then the lists that still hold several components are
-compared block against block, and only pairs across components with enough collisions leave a task.
+nothing to add.
+
+First each class is tried against the smallest member of its lists with which it shares most (one pair a class),
+and what this links becomes components. Lists that still hold several components form clusters, through their
+smallest members. In a cluster, classes outside its largest component are compared with all its members, in
+blocks: first with one block, which links most of them, then what is left with every other block. A block
+counts collisions of long sketches and confirms on full sets at once, so that only links leave a task, one for
+each class and component met.
 
 Defined results: words are separated by ASCII white space, A-Z are lower-cased; a text of fewer than five words
 has its whole sequence as its only shingle; a null or empty text has an empty set, links with nothing and keeps
@@ -32,8 +37,10 @@ from talkframe.llm.bitmaps import pruned
 from talkframe.llm.common import written
 from talkframe.llm.graph import components
 
-SHINGLE, COORDINATES, MATCHES, BLOCK = 5, 64, 30, 128
-_FACTORS = np.random.default_rng(11).integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SHINGLE, COORDINATES, MATCHES, BLOCK = 5, 64, 30, 64
+#: Coordinates of the long sketches; two sets of similarity 0.75 agree in fewer than LONG_MATCHES once in millions.
+LONG, LONG_MATCHES = 256, 156
+_FACTORS = np.random.default_rng(11).integers(1, 2**63, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -45,14 +52,19 @@ def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> Iterator[np.ndarray]:
             yield np.array([words.sequence(h)] if len(h) else [], np.uint64)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
     """Minima of a nonempty set under each coordinate's order."""
-    out = np.full(COORDINATES, 2**64 - 1, np.uint64)
-    for at in range(0, len(shingles), 4096):
-        np.minimum(out, (shingles[at : at + 4096, None] * _FACTORS).min(axis=0), out=out)
+    out = np.full(coordinates, 2**64 - 1, np.uint64)
+    for at in range(0, len(shingles), 1024):
+        np.minimum(out, (shingles[at : at + 1024, None] * _FACTORS[:coordinates]).min(axis=0), out=out)
     return out
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Two bytes of each of the long coordinates: collisions are never too few, and too many only by chance."""
+    return (words.mixed(signature(shingles, LONG)) >> np.uint64(48)).astype("<u2").tobytes()
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for first, texts in words.blocks(b):
@@ -68,48 +80,101 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for first, texts in words.blocks(b):
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(first, len(texts)), pa.array([s.view(np.int64) for s in shingle_sets(texts)], pa.list_(pa.int64()))], names=["id", "shingles"]
-            )
-
-
-def _across(matches: int):
-    """Pairs across components, of two blocks of one list, with enough collisions."""
+def _sets(with_sketch: bool):
+    """(id, shingles) of texts, and their sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in range(b.num_rows):
-                (i, ci, si), (j, cj, sj) = (
-                    (b.column(c)[row].values.to_numpy(), b.column(c + 1)[row].values.to_numpy(), np.asarray(b.column(c + 2)[row].values.flatten()).reshape(-1, COORDINATES)) for c in (0, 3)
-                )
-                found_a, found_b = [], []
-                for x in range(len(i)):
-                    ok = (cj != ci[x]) & (j != i[x])
-                    if ok.any():
-                        ok = np.flatnonzero(ok)
-                        ok = ok[(sj[ok] == si[x]).sum(axis=1) >= matches]
-                        found_a.append(np.minimum(i[x], j[ok]))
-                        found_b.append(np.maximum(i[x], j[ok]))
-                if found_a:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
+            for first, texts in words.blocks(b):
+                sets = list(shingle_sets(texts))
+                columns = [b.column(0).slice(first, len(texts)), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+                if with_sketch:
+                    columns.append(pa.array([sketch(s) for s in sets], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "shingles", "sketch"][: len(columns)])
 
     return run
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame, with_sketch: bool) -> DataFrame:
+    """Sets of the documents with these ids (id), whose texts alone are shuffled."""
+    near = pruned(docs.where(F.col("id").isNotNull()), "id", ids).join(ids, "id", "left_semi")
+    return near.mapInArrow(_sets(with_sketch), "id long, shingles array<long>" + ", sketch binary" * with_sketch)
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    ids = written(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct())
-    near = pruned(docs.where(F.col("id").isNotNull()), "id", ids).join(ids, "id", "left_semi").dropDuplicates(["id"])
-    sets = written(near.mapInArrow(_sets, "id long, shingles array<long>"))
+    sets = written(_sets_of(written(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()), docs, False))
     a, b = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     possible = 100 * F.least(F.size("sa"), F.size("sb")) >= percent * F.greatest(F.size("sa"), F.size("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(b, "b").join(a, "a").where(possible).where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _met(percent: int):
+    """Links of the classes of one block to those of another, one for each class and component."""
+
+    def block(b: pa.RecordBatch, row: int, at: int):
+        ids, components_ = (b.column(at + c)[row].values.to_numpy() for c in (0, 1))
+        sketches = np.frombuffer(b"".join(b.column(at + 2)[row].as_py()), "<u2").reshape(-1, LONG)
+        sets = [s.values.to_numpy().view(np.uint64) for s in b.column(at + 3)[row].values]
+        return ids, components_, sketches, sets, np.array([len(s) for s in sets])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found_a, found_b = [], []
+            for row in range(b.num_rows):
+                ids, mine, sketches, sets, sizes = block(b, row, 0)
+                ids2, theirs, sketches2, sets2, sizes2 = block(b, row, 4)
+                for x in range(len(ids)):
+                    ok = np.flatnonzero((theirs != mine[x]) & (100 * np.minimum(sizes2, sizes[x]) >= percent * np.maximum(sizes2, sizes[x])))
+                    hits = (sketches2[ok] == sketches[x]).sum(axis=1)
+                    linked = set()
+                    for k in np.argsort(-hits, kind="stable").tolist():
+                        if hits[k] < LONG_MATCHES:
+                            break
+                        y = int(ok[k])
+                        if theirs[y] not in linked and similar(sets[x], sets2[y], percent):
+                            linked.add(theirs[y])
+                            found_a.append(min(ids[x], ids2[y]))
+                            found_b.append(max(ids[x], ids2[y]))
+            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _blocks(members: DataFrame, sets: DataFrame, sizes: DataFrame, suffix: str) -> DataFrame:
+    """Members of clusters in blocks of about BLOCK, with their sets."""
+    rows = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).join(sets.withColumnRenamed("id", "rep"), "rep")
+    columns = ("rep", "component", "sketch", "shingles")
+    return (
+        rows.groupBy("cluster", "block").agg(F.collect_list(F.struct(*columns)).alias("m"))
+        .select("cluster", F.col("block").alias(f"block{suffix}"), *(F.col(f"m.{c}").alias(c + suffix) for c in columns))
+    )
+
+
+def _links(members: DataFrame, sets: DataFrame, percent: int, first: bool) -> DataFrame:
+    """Links of members (cluster, rep, component) outside their cluster's largest component: to the cluster's first block, or to all the others."""
+    by = members.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    clusters = by.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("core"), F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    sizes = clusters.select("cluster", "blocks")
+    outside = members.join(clusters.select("cluster", "core"), "cluster").where("component <> core").drop("core")
+    left = _blocks(outside, sets, sizes, "")
+    right = _blocks(members, sets, sizes, "2").where("block2 = 0" if first else "block2 <> 0")
+    keys = left.select("cluster", "block").join(right.select("cluster", "block2"), "cluster")
+    both = keys.join(left, ["cluster", "block"]).join(right, ["cluster", "block2"])
+    names = ("rep", "component", "sketch", "shingles")
+    return both.select(*names, *(f"{c}2" for c in names)).mapInArrow(_met(percent), "a long, b long").distinct()
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, matches: int = MATCHES) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -117,7 +182,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     light = signed.select("doc_id", "n_shingles", "low", "high")
     classes = light.where("n_shingles > 0").groupBy("n_shingles", "low", "high").agg(F.min("doc_id").alias("rep"))
     member = written(light.where("doc_id is not null and n_shingles > 0").join(classes, ["n_shingles", "low", "high"]).select("doc_id", "rep"))
-    reps = signed.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    reps = signed.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
     reps = written(reps.select(F.col("doc_id").alias("rep"), "sig"))
 
     tokens = reps.select("rep", F.posexplode("sig").alias("coordinate", "value")).select("rep", F.xxhash64("coordinate", "value").alias("token"))
@@ -138,24 +203,15 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = written(_confirmed(written(tried), texts, percent))
     comp = components(edges)
 
-    labelled = posted.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("token", "rep", F.coalesce("component", "rep").alias("component"))
-    open_lists = (
-        labelled.groupBy("token").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"))
-        .where("lo <> hi").groupBy("n", "who").agg(F.min("token").alias("token"))  # lists of the same members count once
-        .select("token", ((F.col("n") + BLOCK - 1) / BLOCK).cast("long").alias("blocks"))
-    )
-    members = labelled.join(open_lists, "token").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).join(reps, "rep")
-    blocks = written(
-        members.groupBy("token", "block").agg(F.collect_list(F.struct("rep", "component", "sig")).alias("m"))
-        .select("token", "block", *(F.col(f"m.{c}").alias(c) for c in ("rep", "component", "sig")))
-    )
-    other = blocks.select("token", *(F.col(c).alias(f"{c}2") for c in ("block", "rep", "component", "sig")))
-    crossed = (
-        blocks.join(other, "token").where("block <= block2").select("rep", "component", "sig", "rep2", "component2", "sig2")
-        .mapInArrow(_across(matches), "a long, b long").distinct()
-    )
-    more = written(_confirmed(written(crossed), texts, percent))
-    links = edges.unionAll(more)
+    component = lambda df: df.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    labelled = component(posted)
+    open_lists = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("leader")).where("lo <> hi")
+    spokes = labelled.join(open_lists.select("token", "leader"), "token").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    clusters = components(spokes).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
+    sets = written(_sets_of(written(clusters.select(F.col("rep").alias("id"))), texts, True))
+    links = written(edges.unionAll(_links(component(clusters), sets, percent, True)))
+    comp = components(links)
+    links = links.unionAll(written(_links(component(clusters), sets, percent, False)))
     comp = components(links)
 
     final = member.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))

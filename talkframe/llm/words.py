@@ -71,7 +71,7 @@ def sequence(h: np.ndarray) -> int:
     return int(mixed(np.array([out], np.uint64))[0])
 
 
-def blocks(batch: pa.RecordBatch, size: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:
+def blocks(batch: pa.RecordBatch, size: int = 1 << 19) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of rows of a batch with about `size` bytes in column 1: first row and the texts; a null text is empty."""
     first, texts, total = 0, [], 0
     for i, t in enumerate(batch.column(1)):
