@@ -4,15 +4,16 @@ A window is `span` consecutive words. Each word of a document goes that stands i
 stand, as a window, in a document of smaller id.
 
 1. Anchors. Of the `gram`-word hashes inside a window the smallest is its anchor, so equal windows have equal
-   anchors, and about one word in five starts one. Anchors of at least two documents go into a bitmap of fixed
+   anchors, and about one word in four starts one. Anchors of at least two documents go into a bitmap of fixed
    size (a bounded broadcast: with more anchors it only prunes less).
 2. Confirmed passages. Windows whose anchor may be shared are counted by hash; those of two documents are
-   confirmed, and the smallest document is the owner of the window.
-3. Sharded automata. The confirmed windows of an owner become an Aho-Corasick automaton over its words. Every
-   document that holds one of them is streamed through it, whole; an owner's documents are dealt over as many
-   shards as their number asks for, each with a copy of the automaton. The automaton compares words, so hashes
-   only ever propose.
-4. The places found in a document, from all its owners, are united.
+   confirmed, and the smallest document is the owner of the window. An owner's confirmed windows, joined where
+   they adjoin, are its passages; their words, not their hashes, go on.
+3. Sharded automata. Documents with a window of another owner are dealt over shards of bounded size, and each
+   shard gets the passages of its documents' owners, once. It compiles the anchor phrases of their windows into
+   one Aho-Corasick automaton over word numbers and streams its documents through it, whole; each match grows
+   both ways along the passage, and a run of a window's length counts when its owner is smaller than the
+   document. Words are compared, so hashes only ever propose.
 
 Defined results: a null text has no words; a row without an id keeps all its words and takes none from others;
 rows that repeat an id are one document and take nothing from each other; an empty table gives an empty result;
@@ -22,7 +23,6 @@ other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -33,14 +33,15 @@ from pyspark.sql import functions as F
 
 from talkframe.llm import words
 from talkframe.llm.bitmaps import PAGE, pruned, slots_of
-from talkframe.llm.common import WORD_CLASS, written
+from talkframe.llm.common import written
 
-SPAN, GRAM, BITS, DOCS_PER_SHARD = 13, 5, 1 << 27, 256
-_find = re.compile(WORD_CLASS.encode() + b"+").findall
+SPAN, GRAM, BITS, DOCS_PER_SHARD = 13, 7, 1 << 27, 256
+#: bytes.split() without arguments separates at exactly the six white-space bytes that separate words here.
+_find = bytes.split
 
 
-def _windows(ids: np.ndarray, texts: list[bytes], span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every window of a block of documents: its document, its anchor, and the hashes of the block's words with its first."""
+def _anchored(ids: np.ndarray, texts: list[bytes], span: int, gram: int, places: bool = True):
+    """Of every window of a block of documents: its document, its anchor, its hash, and the anchor's first place among the block's words."""
     data = np.frombuffer(b" ".join(texts), np.uint8)
     starts, _, h = words.hashed(data)
     firsts = np.cumsum([0] + [len(t) + 1 for t in texts])
@@ -48,20 +49,25 @@ def _windows(ids: np.ndarray, texts: list[bytes], span: int, gram: int) -> tuple
     n = len(h) - span + 1
     if n <= 0:
         none = np.zeros(0, np.uint64)
-        return np.zeros(0, np.int64), none, none
+        return np.zeros(0, np.int64), none, none, np.zeros(0, np.int64)
     inside = np.flatnonzero(row[:n] == row[span - 1 :])
-    g = words.rolled(h, gram)
+    g, reach = words.rolled(h, gram), span - gram + 1
     low = g[:n].copy()
-    for j in range(1, span - gram + 1):
+    for j in range(1, reach):
         np.minimum(low, g[j : n + j], out=low)
-    return ids[row[inside]], low[inside], words.rolled(h, span)[inside]
+    first = np.arange(n)
+    if places:
+        for j in range(reach - 1, -1, -1):
+            hit = np.flatnonzero(g[j : n + j] == low)
+            first[hit] = hit + j
+    return ids[row[inside]], low[inside], words.rolled(h, span)[inside], first[inside]
 
 
 def _block_windows(batches, span, gram):
     for b in batches:
         ids = b.column(0).to_numpy()
         for first, texts in words.blocks(b):
-            yield _windows(ids[first : first + len(texts)], texts, span, gram)
+            yield _anchored(ids[first : first + len(texts)], texts, span, gram, places=False)[:3]
 
 
 def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -92,16 +98,23 @@ def _anchors(span: int, gram: int):
     return run
 
 
-def _candidates(span: int, gram: int, bits: int, bitmap, combined: bool):
-    """Windows whose anchor may be shared: with the smallest and largest document of the block, or for each document."""
+def _candidates(span: int, gram: int, bits: int, anchors, confirmed=None):
+    """Windows whose anchor may be shared, with the smallest and largest document of the block; or, where a bitmap
+    of confirmed windows is given, those that may be confirmed, for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(bitmap.value, np.uint8)
+        def may(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+            slot = (keys & np.uint64(bits - 1)).astype(np.int64)
+            return (table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+        shared = np.frombuffer(anchors.value, np.uint8)
+        known = None if confirmed is None else np.frombuffer(confirmed.value, np.uint8)
         for doc, low, window in _block_windows(batches, span, gram):
-            slot = (low & np.uint64(bits - 1)).astype(np.int64)
-            ok = (table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+            ok = np.flatnonzero(may(shared, low))
+            if known is not None:
+                ok = ok[may(known, window[ok])]
             w, d = _distinct(window[ok], doc[ok])
-            if combined:
+            if known is None:
                 first, last = _ends(w)
                 yield pa.RecordBatch.from_arrays([pa.array(w[first].view(np.int64)), pa.array(d[first]), pa.array(d[last])], names=["window", "lo", "hi"])
             else:
@@ -110,134 +123,211 @@ def _candidates(span: int, gram: int, bits: int, bitmap, combined: bool):
     return run
 
 
-def automaton(text: bytes, confirmed: np.ndarray, span: int) -> tuple[ahocorasick.Automaton | None, dict[bytes, int]]:
-    """An automaton of the confirmed windows of a text over its words' numbers (from 1), and those numbers."""
+def _bitmap(keys: DataFrame, key: str, bits: int):
+    """A broadcast of bits / 8 bytes that has the keys' slots set."""
+    table = np.zeros(bits // 8, np.uint8)
+    for page, content in slots_of(keys, F.col(key).bitwiseAND(F.lit(bits - 1))).collect():
+        table[page * PAGE // 8 : (page + 1) * PAGE // 8] = np.frombuffer(content, np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(table.tobytes())
+
+
+def passages_of(text: bytes, confirmed: np.ndarray, span: int = SPAN) -> list[bytes]:
+    """The words of each maximal stretch of confirmed windows, joined by blanks."""
     _, _, h = words.hashed(np.frombuffer(text, np.uint8))
-    found = _find(text)
     at = np.flatnonzero(np.isin(words.rolled(h, span), confirmed))
-    number: dict[bytes, int] = {}
-    ids = [number.setdefault(w, len(number) + 1) for w in found]
-    a = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    for i in at.tolist():
-        a.add_word(tuple(ids[i : i + span]))
-    if not len(a):
-        return None, number
-    a.make_automaton()
-    return a, number
-
+    if not len(at):
+        return []
+    found = _find(text)
+    cut = np.flatnonzero(np.diff(at) > 1)
+    return [b" ".join(found[i : j + span]) for i, j in zip(at[np.concatenate([[0], cut + 1])].tolist(), at[np.concatenate([cut, [len(at) - 1]])].tolist(), strict=True)]
 
-def _stream(span: int):
-    """Rows by shard, an owner's text before the documents: the word ranges found in each document."""
 
+def _passages(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, machines = None, []
         for b in batches:
-            out: list[tuple] = []
-            owner, salt, doc, mark, confirmed = (b.column(k) for k in (0, 1, 2, 4, 5))
-            for i, text in enumerate(b.column(3)):
-                k = (owner[i].as_py(), salt[i].as_py())
-                if k != key:
-                    key, machines = k, []
-                text = (text.as_py() or "").encode("utf-8")
-                if confirmed[i].is_valid:
-                    machines.append(automaton(text, confirmed[i].values.to_numpy().view(np.uint64), span))
-                    continue
-                found = _find(text)
-                begins: list[int] = []
-                ends: list[int] = []
-                for a, number in machines:
-                    if a is None:
-                        continue
-                    get = number.get
-                    for end, _ in a.iter(tuple([get(w, 0) for w in found])):
-                        if begins and begins[-1] <= end - span + 1 <= ends[-1]:
-                            ends[-1] = end + 1
-                        else:
-                            begins.append(end - span + 1)
-                            ends.append(end + 1)
-                if begins:
-                    out.append((doc[i].as_py(), mark[i].as_py(), begins, ends))
-            if out:
-                d, m, s, e = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(m, pa.int64()), pa.array(s, pa.list_(pa.int32())), pa.array(e, pa.list_(pa.int32()))], names=["doc", "mark", "begins", "ends"])
+            found = [[p.decode("utf-8") for p in passages_of((t.as_py() or "").encode("utf-8"), c.values.to_numpy().view(np.uint64), span)] for t, c in zip(b.column(1), b.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], names=["owner", "passages"])
 
     return run
 
 
-def repeated_ranges(docs: DataFrame, span: int = SPAN, gram: int = GRAM, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
-    """Ranges (doc, mark, begins, ends) of words that stand in a smaller document, and the documents (doc) that may have any.
+class Phrases:
+    """Passages of a shard, and an Aho-Corasick automaton of the anchor phrases of their windows.
 
-    docs: id, text. mark is xxhash64 of the text, for rows that repeat an id.
+    An anchor phrase is the `gram` words in a window with the smallest hash, so a window that stands in a document
+    brings its anchor phrase along. The automaton runs over numbers of words (from 1); where it finds a phrase, the
+    match grows both ways over equal words, and a run of at least `span` words counts.
     """
-    spark = docs.sparkSession
-    rows = docs.where(F.col("id").isNotNull()).select("id", F.col("text").cast("binary").alias("text"))
-    shared = rows.mapInArrow(_anchors(span, gram), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
-    bitmap = np.zeros(bits // 8, np.uint8)
-    for page, content in slots_of(shared, F.col("anchor").bitwiseAND(F.lit(bits - 1))).collect():  # at most bits / 8 bytes
-        bitmap[page * PAGE // 8 : (page + 1) * PAGE // 8] = np.frombuffer(content, np.uint8)
-    bitmap = spark.sparkContext.broadcast(bitmap.tobytes())
 
-    owned = (
-        rows.mapInArrow(_candidates(span, gram, bits, bitmap, True), "window long, lo long, hi long")
-        .groupBy("window").agg(F.min("lo").alias("owner"), F.max("hi").alias("hi")).where("owner < hi").select("window", "owner")
-    )
-    held = rows.mapInArrow(_candidates(span, gram, bits, bitmap, False), "window long, doc long")
-    # an owner's own rows keep their windows, all others only say which owners a document has
-    links = written(held.join(owned, "window").select("doc", "owner", F.when(F.col("doc") == F.col("owner"), F.col("window")).alias("window")).distinct())
-    pairs = links.where("doc <> owner").select("doc", "owner")
-    sizes = pairs.groupBy("owner").agg(F.count("*").alias("n")).select("owner", F.ceil(F.col("n") / DOCS_PER_SHARD).alias("shards"))
-    confirmed = links.where("doc = owner").groupBy("owner").agg(F.collect_list("window").alias("confirmed"))
+    def __init__(self, span: int, gram: int):
+        self.span, self.gram = span, gram
+        self.passages: list[tuple[int, bytes]] = []
+        self.automaton: ahocorasick.Automaton | None = None
+
+    def add(self, owner: int, passage: bytes) -> None:
+        self.passages.append((owner, passage))
+        self.automaton = None
+
+    def compile(self) -> None:
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        self.number: dict[bytes, int] = {}
+        self.places: list[list[int]] = []
+        texts = [p for _, p in self.passages]
+        found = _find(b" ".join(texts))
+        number = self.number
+        for w in found:
+            if w not in number:
+                number[w] = len(number) + 1
+        ids = [number[w] for w in found]
+        # word positions with a place that equals nothing (-1) before each passage
+        which, low, _, first = _anchored(np.arange(len(texts)), texts, self.span, self.gram)
+        sizes = np.array([t.count(b" ") + 1 for t in texts], np.int64)
+        shift = np.repeat(np.arange(len(texts)), sizes) + 1
+        self.flat = np.full(len(ids) + len(texts) + 1, -1, np.int64)
+        self.flat[np.arange(len(ids)) + shift] = ids
+        self.owners = np.repeat([o for o, _ in self.passages], sizes + 1).tolist() + [0]
+        seen: dict[tuple, int] = {}
+        for at in np.unique(first).tolist():
+            key = tuple(ids[at : at + self.gram])
+            k = seen.setdefault(key, len(self.places))
+            if k == len(self.places):
+                self.places.append([])
+                self.automaton.add_word(key, k)
+            self.places[k].append(at + int(shift[at]))
+        if len(self.automaton):
+            self.automaton.make_automaton()
+
+    def gone(self, doc: int, found: list[bytes]) -> bytearray:
+        """1 for each word of a document that stands in a phrase of a smaller one."""
+        if self.automaton is None:
+            self.compile()
+        gone = bytearray(len(found))
+        if not len(self.automaton) or len(found) < self.span:
+            return gone
+        get, flat, owners, reach, gram = self.number.get, self.flat, self.owners, self.span - self.gram, self.gram
+        ids = [get(w, 0) for w in found]  # 0 stands in no phrase
+        mine = np.array(ids, np.int64)
+        upto: dict[int, int] = {}  # by diagonal, where the last run ended
+        for end, k in self.automaton.iter(tuple(ids)):
+            p = end - gram + 1
+            # every window around this phrase is gone already: copies and repetitive texts cost no more than others
+            low, high = max(0, p - reach), end + 1 + reach
+            if gone.find(0, low, high) < 0:
+                continue
+            for q in self.places[k]:
+                if owners[q] >= doc or upto.get(p - q, -1) > p:
+                    continue
+                left, right = _grown(mine, flat, p, q, gram)
+                upto[p - q] = right
+                if right - left >= self.span:
+                    gone[left:right] = b"\x01" * (right - left)
+                    if gone.find(0, low, high) < 0:
+                        break
+        return gone
+
+
+def _grown(a: np.ndarray, b: np.ndarray, p: int, q: int, size: int) -> tuple[int, int]:
+    """The longest range of a around a[p : p + size] that equals b around b[q : q + size]."""
+    left, step = p, 64
+    while left > 0:
+        n = min(step, left, left - p + q)
+        if n <= 0:
+            break
+        differ = np.flatnonzero(a[left - n : left] != b[left - p + q - n : left - p + q])
+        if len(differ):
+            left -= n - 1 - int(differ[-1])
+            break
+        left, step = left - n, step * 4
+    right, step = p + size, 64
+    while right < len(a):
+        n = min(step, len(a) - right, len(b) - (right - p + q))
+        if n <= 0:
+            break
+        differ = np.flatnonzero(a[right : right + n] != b[right - p + q : right - p + q + n])
+        if len(differ):
+            right += int(differ[0])
+            break
+        right, step = right + n, step * 4
+    return left, right
+
+
+def _row(i, found: list[bytes], gone: bytearray | None, with_text: bool) -> tuple:
+    left = found if gone is None or 1 not in gone else [w for w, g in zip(found, gone, strict=True) if not g]
+    kept = b" ".join(left)
+    return (i, len(found), len(found) - len(left), hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8")] if with_text else []))
+
+
+def _batch(rows: list[tuple], with_text: bool) -> pa.RecordBatch:
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + with_text]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=False)], names=names)
+
+
+def _stream(span: int, gram: int, with_text: bool):
+    """Rows by shard, passages (owner, passages) before documents (doc, text)."""
 
-    wanted = written(pairs.select("doc").unionAll(sizes.select("owner")).distinct())
-    texts = written(pruned(docs.where(F.col("id").isNotNull()).withColumnRenamed("id", "doc"), "doc", wanted).join(wanted, "doc", "left_semi").withColumn("mark", F.xxhash64("text")))
-    machines = (
-        confirmed.join(sizes, "owner").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-        .join(texts.select(F.col("doc").alias("owner"), "text"), "owner")
-        .select("owner", "salt", F.lit(None).cast("long").alias("doc"), "text", F.lit(None).cast("long").alias("mark"), "confirmed")
-    )
-    streamed = (
-        pairs.join(sizes, "owner").withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("shards"))).join(texts, "doc")
-        .select("owner", "salt", "doc", "text", "mark", F.lit(None).cast("array<long>").alias("confirmed"))
-    )
-    ranges = (
-        machines.unionAll(streamed).repartition("owner", "salt").sortWithinPartitions("owner", "salt", F.col("confirmed").isNull())
-        .mapInArrow(_stream(span), "doc long, mark long, begins array<int>, ends array<int>")
-    )
-    return ranges.groupBy("doc", "mark").agg(F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends")), wanted
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, phrases = None, None
+        for b in batches:
+            out = []
+            for s, i, text, passages in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                if s != shard:
+                    shard, phrases = s, Phrases(span, gram)
+                if passages.is_valid:
+                    for p in passages.as_py():
+                        phrases.add(i, p.encode("utf-8"))
+                else:
+                    found = _find((text.as_py() or "").encode("utf-8"))
+                    out.append(_row(i, found, phrases.gone(i, found), with_text))
+            yield _batch(out, with_text)
+
+    return run
 
 
-def _kept(with_text: bool):
+def _whole(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for i, text, begins, ends in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                found = _find((text.as_py() or "").encode("utf-8"))
-                n = len(found)
-                if begins:
-                    gone = np.zeros(n, bool)
-                    for s, e in zip(begins, ends, strict=True):
-                        gone[s:e] = True
-                    found = [w for w, g in zip(found, gone.tolist(), strict=True) if not g]
-                kept = b" ".join(found)
-                rows.append((i, n, n - len(found), hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8")] if with_text else [])))
-            if rows:
-                c = list(zip(*rows, strict=True))
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()][: len(c)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types, strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: len(c)])
+            yield _batch([_row(i, _find((t.as_py() or "").encode("utf-8")), None, with_text) for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True)], with_text)
 
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, bits: int = BITS, with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, and kept_text if asked for.
 
-    Documents that hold no repeated window never leave their task.
+    Documents without a window of another owner never leave their task (but for hash collisions in a bitmap).
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ranges, wanted = repeated_ranges(rows, span)
-    maybe = pruned(rows.withColumnRenamed("id", "doc"), "doc", wanted).withColumn("mark", F.xxhash64("text"))
-    touched = maybe.join(ranges, ["doc", "mark"], "left").select("doc", "text", "begins", "ends")
-    none = F.lit(None).cast("array<int>")
-    rest = pruned(rows.withColumnRenamed("id", "doc"), "doc", wanted, outside=True).select("doc", "text", none.alias("begins"), none.alias("ends"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.where(F.col("id").isNotNull()).select("id", F.col("text").cast("binary").alias("text"))
+    shared = rows.mapInArrow(_anchors(span, gram), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
+    anchors = _bitmap(shared, "anchor", bits)
+    owned = written(
+        rows.mapInArrow(_candidates(span, gram, bits, anchors), "window long, lo long, hi long")
+        .groupBy("window").agg(F.min("lo").alias("owner"), F.max("hi").alias("hi")).where("owner < hi").select("window", "owner")
+    )
+    held = rows.mapInArrow(_candidates(span, gram, bits, anchors, _bitmap(owned, "window", bits)), "window long, doc long")
+    # an owner's own rows keep their windows, all others only say which owners a document has
+    links = written(held.join(owned, "window").select("doc", "owner", F.when(F.col("doc") == F.col("owner"), F.col("window")).alias("window")).distinct())
+    pairs = links.where("doc <> owner").select("doc", "owner")
+
+    confirmed = links.where("doc = owner").groupBy("owner").agg(F.collect_list("window").alias("confirmed"))
+    owners = pruned(docs.withColumnRenamed("id", "owner"), "owner", pairs.select("owner").distinct())
+    passages = (
+        owners.join(confirmed, "owner").select("owner", "text", "confirmed").mapInArrow(_passages(span), "owner long, passages array<string>")
+        .groupBy("owner").agg(F.flatten(F.collect_list("passages")).alias("passages"))  # of rows that repeat an id
+    )
+
+    touched = written(pairs.select("doc").distinct())
+    shards = -(-touched.count() // DOCS_PER_SHARD) or 1
+    shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards))
+    sent = pairs.select(shard("doc").alias("shard"), "owner").distinct().join(passages, "owner").select("shard", F.col("owner").alias("id"), F.lit(None).cast("string").alias("text"), "passages")
+    none = F.lit(None).cast("array<string>")
+    inside = pruned(docs.withColumnRenamed("id", "doc"), "doc", touched).select(shard("doc").alias("shard"), F.col("doc").alias("id"), "text", none.alias("passages"))
+    outside = pruned(docs.withColumnRenamed("id", "doc"), "doc", touched, outside=True).select("doc", "text")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return touched.unionAll(rest).mapInArrow(_kept(with_text), schema)
+    streamed = (
+        sent.unionAll(inside).repartition("shard").sortWithinPartitions("shard", F.col("passages").isNull())
+        .mapInArrow(_stream(span, gram, with_text), schema)
+    )
+    return streamed.unionAll(outside.mapInArrow(_whole(with_text), schema))
