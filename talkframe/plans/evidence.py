@@ -45,11 +45,11 @@ def v01_corpus_lines(spark, sf):
 
 @query()
 def j04_bigram_candidates(spark, sf):
-    """Benchmark passages against the lines of conversations, by shared bigrams and ordered coverage."""
+    """The first sentence of each benchmark passage against the lines of all conversations, by shared bigrams and ordered coverage."""
     m = cv(spark, sf)
-    found = table(spark, sf, "benchmark").select("item_id", F.explode(F.split("text", "[.\n]")).alias("claim")).where(F.length("claim") > 12).where("item_id % 20 = 0")
-    asked = m.select("conv_id").distinct().where("cast(conv_id AS int) % 25 = 0").crossJoin(F.broadcast(found.limit(40)))
-    return V.matched(asked.select("conv_id", F.xxhash64("item_id", "claim").alias("claim_id"), "claim"), m)
+    lines = V.corpus_lines(m).withColumn("line_id", F.xxhash64("conv_id", "line_id")).withColumn("conv_id", F.lit("all"))
+    claims = table(spark, sf, "benchmark").select(F.lit("all").alias("conv_id"), F.col("item_id").alias("claim_id"), F.get(F.split("text", "[.]"), F.lit(0)).alias("claim"))
+    return V.matched(claims, m.withColumn("conv_id", F.lit("all")), lines)
 
 
 @query()
@@ -66,15 +66,15 @@ def v05_date_checks(spark, sf):
 
 @query("""SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")
 def j03_evidence_join(spark, sf):
-    items = table(spark, sf, "benchmark").crossJoin(table(spark, sf, "documents").select("source").distinct()).select(F.col("source").alias("conv_id"), "item_id", F.col("text").alias("claim"))
-    return _quoted(items, dv(spark, sf)).select("item_id", F.col("seq").alias("doc_id"))
+    items = table(spark, sf, "benchmark").select(F.lit("all").alias("conv_id"), "item_id", F.col("text").alias("claim"))
+    return _quoted(items, dv(spark, sf).withColumn("conv_id", F.lit("all"))).select("item_id", F.col("seq").alias("doc_id"))
 
 
 def _quoted(items: DataFrame, m: DataFrame) -> DataFrame:
     """quoting() with a longer first gram, for claims of at least 24 characters in long texts."""
     key = items.withColumn("gram", F.substring("claim", 1, 24)).select("gram").distinct()
     grams = m.select("conv_id", "seq", F.explode(F.array_distinct(F.expr("transform(sequence(1, greatest(length(text) - 23, 1)), i -> substring(text, i, 24))"))).alias("gram"))
-    near = grams.join(F.broadcast(key), "gram").join(items.withColumn("gram", F.substring("claim", 1, 24)), ["conv_id", "gram"]).select("conv_id", "seq", "item_id", "claim").distinct()
+    near = grams.join(key, "gram").join(items.withColumn("gram", F.substring("claim", 1, 24)), ["conv_id", "gram"]).select("conv_id", "seq", "item_id", "claim").distinct()
     return near.join(m, ["conv_id", "seq"]).where(F.expr("contains(text, claim)"))
 
 

@@ -42,12 +42,12 @@ def a14_gram_counts(spark, sf):
 
 @query()
 def a14_topics(spark, sf):
-    return N.topics(chats(spark, sf).where(F.length("text") < 400), cjk=False)
+    return N.topics(chats(spark, sf), cjk=False)
 
 
 @query()
 def a14_topics_zh(spark, sf):
-    return N.topics(zh(spark).crossJoin(table(spark, sf, "region").select("r_regionkey")), least=5, stop=L.STOP_PHRASES)
+    return N.topics(zh(spark), least=2, stop=L.STOP_PHRASES)
 
 
 @query()
