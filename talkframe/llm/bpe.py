@@ -26,97 +26,109 @@ from pyspark.sql import functions as F
 
 
 class Bpe:
-    """Ranks of a tiktoken file, and a bounded memory of pieces that are already encoded."""
+    """Ranks of a tiktoken file, and a memory of pieces encoded before: two turns of about `remember` pieces."""
 
-    def __init__(self, path: str, pattern: str, remember: int = 400_000):
+    def __init__(self, path: str, pattern: str, remember: int = 250_000):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for t, r in self.ranks.items():
             self.tokens[r] = t
         self.single = [self.ranks[bytes((b,))] for b in range(256)]
+        self.single_ids = np.array(self.single, np.int64)
+        self.byte_pairs = np.array([[self.ranks.get(bytes((a, b)), -1) for b in range(256)] for a in range(256)], np.int64)
         self.find = regex.compile(pattern).findall
         self.remember = remember
         self.known: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], int] = {}
-
-    def _rank(self, a: int, b: int) -> int:
-        """Rank of the pair's joined bytes, or -1."""
-        key = (a, b)
-        r = self.pairs.get(key)
-        if r is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            r = self.pairs[key] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
+        self.older: dict[str, bytes] = {}
+        self.pairs: dict[int, int] = {}
+
+    def _rank(self, key: int) -> int:
+        """Rank of the joined bytes of the pair (key >> 32, key & 0xFFFFFFFF), or -1."""
+        if len(self.pairs) > 1_000_000:
+            self.pairs.clear()
+        r = self.pairs[key] = self.ranks.get(self.tokens[key >> 32] + self.tokens[key & 0xFFFFFFFF], -1)
         return r
 
-    def replay(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of each piece, by one replay of the merges over all of them."""
-        single, rank = self.single, self._rank
-        ids: list[int] = []
-        of: list[int] = []
-        begins = []
-        for k, p in enumerate(pieces):
-            begins.append(len(ids))
-            ids.extend(single[b] for b in p)
-            of.extend([k] * len(p))
-        n = len(ids)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        places: dict[int, list[int]] = {}
-        for i in range(n - 1):
-            if of[i] == of[i + 1] and (r := rank(ids[i], ids[i + 1])) >= 0:
-                places.setdefault(r, []).append(i)
-        queue = list(places)
-        heapq.heapify(queue)
+    def replay(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of each piece, by one replay of the merges over all of them."""
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        n = len(raw)
+        sizes = np.array([len(p) for p in pieces], np.int64)
+        of_ = np.repeat(np.arange(len(pieces)), sizes)
+        ids, of = self.single_ids[raw].tolist(), of_.tolist()
+        of.append(-1)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        # rank of the pair that starts at each place, or -1; and the index: rank -> places that had it
+        first = np.append(np.where(of_[:-1] == of_[1:], self.byte_pairs[raw[:-1], raw[1:]], -1), -1) if n else np.zeros(0, np.int64)
+        at_ = np.flatnonzero(first >= 0)
+        at_ = at_[np.argsort(first[at_], kind="stable")]
+        ranks_, cuts = np.unique(first[at_], return_index=True)
+        places: list[list[int] | None] = [None] * len(self.tokens)
+        for r, x in zip(ranks_.tolist(), np.split(at_, cuts[1:]), strict=False):
+            places[r] = x.tolist()
+        now, queue, pairs, rank = first.tolist(), ranks_.tolist(), self.pairs, self._rank
         while queue:
             r = heapq.heappop(queue)
-            at = places.pop(r, None)
-            if at is None:
-                continue
+            at, places[r] = places[r], None
             at.sort()
             waiting: set[int] = set()
             later: list[int] = []
             for i in at:
-                if ids[i] < 0:
+                if now[i] != r:
                     continue
-                j = after[i]
                 k = of[i]
-                if j >= n or of[j] != k or rank(ids[i], ids[j]) != r:
-                    continue
-                if k in waiting:
+                if waiting and k in waiting:
                     later.append(i)
                     continue
-                ids[i], ids[j] = r, -1
+                j = after[i]
+                ids[i], ids[j], now[j] = r, -1, -1
                 j = after[i] = after[j]
-                if j < n:
+                if of[j] == k:
                     before[j] = i
-                for left, right in ((i, j), (before[i], i)):
-                    if left < 0 or right >= n or of[left] != of[right]:
-                        continue
-                    x = rank(ids[left], ids[right])
-                    if x < 0:
-                        continue
-                    if x in places:
-                        places[x].append(left)
-                    else:
-                        places[x] = [left]
-                        heapq.heappush(queue, x)
-                    if x < r:
-                        waiting.add(k)
+                    key = r << 32 | ids[j]
+                    x = pairs.get(key)
+                    if x is None:
+                        x = rank(key)
+                    now[i] = x
+                    if x >= 0:
+                        if places[x] is None:
+                            places[x] = [i]
+                            heapq.heappush(queue, x)
+                        else:
+                            places[x].append(i)
+                        if x < r:
+                            waiting.add(k)
+                else:
+                    now[i] = -1
+                j = before[i]
+                if j >= 0 and of[j] == k:
+                    key = ids[j] << 32 | r
+                    x = pairs.get(key)
+                    if x is None:
+                        x = rank(key)
+                    now[j] = x
+                    if x >= 0:
+                        if places[x] is None:
+                            places[x] = [j]
+                            heapq.heappush(queue, x)
+                        else:
+                            places[x].append(j)
+                        if x < r:
+                            waiting.add(k)
             if later:
-                places[r] = places.get(r, []) + later
-                heapq.heappush(queue, r)
-        out = []
-        for k, p in enumerate(pieces):
-            i, end, row = begins[k], begins[k] + len(p), []
-            while i < end:
-                row.append(ids[i])
-                i = after[i]
-            out.append(row)
-        return out
-
-    def learn(self, pieces: Iterable[str], block_bytes: int = 1 << 20) -> None:
+                if places[r] is None:
+                    heapq.heappush(queue, r)
+                    places[r] = later
+                else:
+                    places[r] += later
+        left = np.array(ids, np.int64)
+        alive = np.flatnonzero(left >= 0)
+        ends = np.searchsorted(alive, np.cumsum(sizes))
+        flat = left[alive].astype("<u4").tobytes()
+        return [flat[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def learn(self, pieces: Iterable[str], block_bytes: int = 1 << 17) -> None:
         """Encode the pieces that aren't known yet, in blocks of bounded size."""
         todo: list[str] = []
         raw: list[bytes] = []
@@ -136,22 +148,24 @@ class Bpe:
         self._keep(todo, raw)
 
     def _keep(self, pieces: list[str], raw: list[bytes]) -> None:
-        for p, row in zip(pieces, self.replay(raw), strict=True):
-            self.known[p] = np.asarray(row, "<u4").tobytes()
+        if pieces:
+            self.known.update(zip(pieces, self.replay(raw), strict=True))
 
     def encode_block(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.find(t) for t in texts]
+        if len(self.known) > self.remember:  # what was met since the last turn stays for one more
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         fresh: dict[str, None] = {}
         for s in split:
             for p in s:
-                if p not in self.known:
-                    fresh[p] = None
-        if len(self.known) + len(fresh) > self.remember and self.known:
-            self.known = {}
-            fresh = dict.fromkeys(p for s in split for p in s)
+                if p not in known:
+                    if p in older:
+                        known[p] = older[p]
+                    else:
+                        fresh[p] = None
         self.learn(fresh)
-        known = self.known
         for s in split:
             yield b"".join([known[p] for p in s])
 
