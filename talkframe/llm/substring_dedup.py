@@ -9,8 +9,8 @@ stand, as a window, in a document of smaller id.
 2. Confirmed passages. Windows whose anchor may be shared are counted by hash; those of two documents are
    confirmed, and the smallest document is the owner of the window. An owner's confirmed windows, joined where
    they adjoin, are its passages; their words, not their hashes, go on.
-3. Sharded automata. Documents with a window of another owner are dealt over shards of bounded size, and each
-   shard gets the passages of its documents' owners, once. It compiles the anchor phrases of their windows into
+3. Sharded automata. Documents with a window of another owner are dealt over shards of bounded size, those of the
+   same main owner together (many of them split), and each shard gets the passages of its documents' owners, once. It compiles the anchor phrases of their windows into
    one Aho-Corasick automaton over word numbers and streams its documents through it, whole; each match grows
    both ways along the passage, and a run of a window's length counts when its owner is smaller than the
    document. Words are compared, so hashes only ever propose.
@@ -307,9 +307,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .groupBy("window").agg(F.min("lo").alias("owner"), F.max("hi").alias("hi")).where("owner < hi").select("window", "owner")
     )
     held = rows.mapInArrow(_candidates(span, gram, bits, anchors, _bitmap(owned, "window", bits)), "window long, doc long")
-    # an owner's own rows keep their windows, all others only say which owners a document has
-    links = written(held.join(owned, "window").select("doc", "owner", F.when(F.col("doc") == F.col("owner"), F.col("window")).alias("window")).distinct())
-    pairs = links.where("doc <> owner").select("doc", "owner")
+    # an owner's own rows keep their windows, all others only say how many windows of which owners a document has
+    links = written(
+        held.join(owned, "window").groupBy("doc", "owner", F.when(F.col("doc") == F.col("owner"), F.col("window")).alias("window")).agg(F.count("*").alias("n"))
+    )
+    pairs = links.where("doc <> owner").select("doc", "owner", "n")
 
     confirmed = links.where("doc = owner").groupBy("owner").agg(F.collect_list("window").alias("confirmed"))
     owners = pruned(docs.withColumnRenamed("id", "owner"), "owner", pairs.select("owner").distinct())
@@ -318,13 +320,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .groupBy("owner").agg(F.flatten(F.collect_list("passages")).alias("passages"))  # of rows that repeat an id
     )
 
-    touched = written(pairs.select("doc").distinct())
+    # documents of one main owner go together, so that its passages are sent and compiled once; many of them are split
+    main = pairs.groupBy("doc").agg(F.max_by("owner", F.struct("n", -F.col("owner"))).alias("main"))
+    many = main.groupBy("main").agg(F.ceil(F.count("*") / DOCS_PER_SHARD).alias("parts"))
+    touched = written(main.join(many, "main").select("doc", F.xxhash64("main", F.pmod(F.xxhash64("doc"), F.col("parts"))).alias("place")))
     shards = -(-touched.count() // DOCS_PER_SHARD) or 1
-    shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards))
-    sent = pairs.select(shard("doc").alias("shard"), "owner").distinct().join(passages, "owner").select("shard", F.col("owner").alias("id"), F.lit(None).cast("string").alias("text"), "passages")
+    shard = F.pmod(F.coalesce("place", F.xxhash64("doc")), F.lit(shards)).alias("shard")
+    sent = pairs.join(touched, "doc").select(shard, "owner").distinct().join(passages, "owner").select("shard", F.col("owner").alias("id"), F.lit(None).cast("string").alias("text"), "passages")
     none = F.lit(None).cast("array<string>")
-    inside = pruned(docs.withColumnRenamed("id", "doc"), "doc", touched).select(shard("doc").alias("shard"), F.col("doc").alias("id"), "text", none.alias("passages"))
-    outside = pruned(docs.withColumnRenamed("id", "doc"), "doc", touched, outside=True).select("doc", "text")
+    inside = pruned(docs.withColumnRenamed("id", "doc"), "doc", touched.select("doc")).join(touched, "doc", "left").select(shard, F.col("doc").alias("id"), "text", none.alias("passages"))
+    outside = pruned(docs.withColumnRenamed("id", "doc"), "doc", touched.select("doc"), outside=True).select("doc", "text")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     streamed = (
         sent.unionAll(inside).repartition("shard").sortWithinPartitions("shard", F.col("passages").isNull())
