@@ -164,7 +164,8 @@ def _blocks(members: DataFrame, sets: DataFrame, sizes: DataFrame, suffix: str)
 def _links(members: DataFrame, sets: DataFrame, percent: int, first: bool) -> DataFrame:
     """Links of members (cluster, rep, component) outside their cluster's largest component: to the cluster's first block, or to all the others."""
     by = members.groupBy("cluster", "component").agg(F.count("*").alias("n"))
-    clusters = by.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("core"), F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    # a table of its own, so that the joins after it can split a hot cluster
+    clusters = written(by.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("core"), F.ceil(F.sum("n") / BLOCK).alias("blocks")))
     sizes = clusters.select("cluster", "blocks")
     outside = members.join(clusters.select("cluster", "core"), "cluster").where("component <> core").drop("core")
     left = _blocks(outside, sets, sizes, "")
@@ -180,7 +181,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = written(texts.mapInArrow(_sign, "doc_id long, n_shingles long, low long, high long, sig array<long>"))
     light = signed.select("doc_id", "n_shingles", "low", "high")
-    classes = light.where("n_shingles > 0").groupBy("n_shingles", "low", "high").agg(F.min("doc_id").alias("rep"))
+    # a table of its own, so that the join after it can split a hot class
+    classes = written(light.where("n_shingles > 0").groupBy("n_shingles", "low", "high").agg(F.min("doc_id").alias("rep")))
     member = written(light.where("doc_id is not null and n_shingles > 0").join(classes, ["n_shingles", "low", "high"]).select("doc_id", "rep"))
     reps = signed.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
     reps = written(reps.select(F.col("doc_id").alias("rep"), "sig"))
