@@ -322,7 +322,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # documents of one main owner go together, so that its passages are sent and compiled once; many of them are split
     main = pairs.groupBy("doc").agg(F.max_by("owner", F.struct("n", -F.col("owner"))).alias("main"))
-    many = main.groupBy("main").agg(F.ceil(F.count("*") / DOCS_PER_SHARD).alias("parts"))
+    main = written(main)
+    many = written(main.groupBy("main").agg(F.ceil(F.count("*") / DOCS_PER_SHARD).alias("parts")))  # a table of its own, so that the join can split a hot owner
     touched = written(main.join(many, "main").select("doc", F.xxhash64("main", F.pmod(F.xxhash64("doc"), F.col("parts"))).alias("place")))
     shards = -(-touched.count() // DOCS_PER_SHARD) or 1
     shard = F.pmod(F.coalesce("place", F.xxhash64("doc")), F.lit(shards)).alias("shard")
