@@ -9,7 +9,7 @@ from talkframe.functions import lexicon as L
 from talkframe.functions import text as X
 from talkframe.operators import evidence as V
 from talkframe.operators import privacy as R
-from talkframe.plans.base import cv, dv, literal, query, sides, table, values, zh
+from talkframe.plans.base import cv, literal, query, sides, table, values, zh
 
 CLAIMS = [
     ("zh", 1, "下次一定"), ("zh", 2, "2024-03-01 小雨: 今天有空吗"), ("zh", 3, "要不要去滨江公园 好啊一起去"), ("zh", 4, "报告写完了么 快要截止了"), ("zh", 5, "从来没有说过的一句话"), ("zh", 6, "早点睡，别熬夜"), ("zh", 7, "哈"), ("zh", 8, "[09:30] 阿木：别催"),
@@ -66,16 +66,9 @@ def v05_date_checks(spark, sf):
 
 @query("""SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")
 def j03_evidence_join(spark, sf):
-    items = table(spark, sf, "benchmark").select(F.lit("all").alias("conv_id"), "item_id", F.col("text").alias("claim"))
-    return _quoted(items, dv(spark, sf).withColumn("conv_id", F.lit("all"))).select("item_id", F.col("seq").alias("doc_id"))
+    from talkframe.plans.mining import containing
 
-
-def _quoted(items: DataFrame, m: DataFrame) -> DataFrame:
-    """quoting() with a longer first gram, for claims of at least 24 characters in long texts."""
-    key = items.withColumn("gram", F.substring("claim", 1, 24)).select("gram").distinct()
-    grams = m.select("conv_id", "seq", F.explode(F.array_distinct(F.expr("transform(sequence(1, greatest(length(text) - 23, 1)), i -> substring(text, i, 24))"))).alias("gram"))
-    near = grams.join(key, "gram").join(items.withColumn("gram", F.substring("claim", 1, 24)), ["conv_id", "gram"]).select("conv_id", "seq", "item_id", "claim").distinct()
-    return near.join(m, ["conv_id", "seq"]).where(F.expr("contains(text, claim)"))
+    return containing(spark, sf)
 
 
 @query(f"WITH {values('items', 'conv_id, item_id, section, text, claim', ITEMS)} SELECT item_id, seq FROM items JOIN zh USING (conv_id) WHERE contains(zh.text, claim)")

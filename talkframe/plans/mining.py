@@ -131,18 +131,21 @@ def t13_best(spark, sf):
     return chats(spark, sf).groupBy("conv_id").agg(F.min_by("text", F.struct(-F.length("text"), "seq")).alias("best"))
 
 
-@query("""WITH t AS (SELECT d.doc_id, b.item_id, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) - 1 AS i, count(*) OVER (PARTITION BY b.item_id) AS n FROM documents d JOIN benchmark b ON contains(d.text, b.text))
-    SELECT item_id, doc_id FROM t WHERE i % greatest(n // 3, 1) = 0 AND i // greatest(n // 3, 1) < 3""")
-def j12_topic_excerpts(spark, sf):
-    """Containment by an equi-join on the item's first words before the exact test."""
+def containing(spark, sf):
+    """(item_id, doc_id) of benchmark passages in documents: an equi-join on the passage's words before the exact test."""
     items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
     words = table(spark, sf, "documents").select("doc_id", "text", F.split("text", r"\s+").alias("w"))
     # a document's own stretch of words may begin with glued punctuation, so each key is looked for by its second to fifth words
     key = items.withColumn("key", F.array_join(F.slice(F.split("item", r"\s+"), 2, 4), " "))
     grams = words.select("doc_id", F.explode(F.array_distinct(F.when(F.size("w") >= 4, F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.array_join(F.slice("w", i, 4), " "))).otherwise(F.array().cast("array<string>")))).alias("key"))
     near = grams.join(key, "key").select("doc_id", "item_id", "item").distinct()
-    hit = near.join(words.select("doc_id", "text"), "doc_id").where(F.expr("contains(text, item)")).select("item_id", "doc_id")
-    return N.strided(hit, ["doc_id"], ["item_id"], 3)
+    return near.join(words.select("doc_id", "text"), "doc_id").where(F.expr("contains(text, item)")).select("item_id", "doc_id")
+
+
+@query("""WITH t AS (SELECT d.doc_id, b.item_id, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) - 1 AS i, count(*) OVER (PARTITION BY b.item_id) AS n FROM documents d JOIN benchmark b ON contains(d.text, b.text))
+    SELECT item_id, doc_id FROM t WHERE i % greatest(n // 3, 1) = 0 AND i // greatest(n // 3, 1) < 3""")
+def j12_topic_excerpts(spark, sf):
+    return N.strided(containing(spark, sf), ["doc_id"], ["item_id"], 3)
 
 
 @query()
