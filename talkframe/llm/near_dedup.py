@@ -12,8 +12,9 @@ nothing to add.
 
 First each class is tried against the smallest member of its lists with which it shares most (one pair a class),
 and what this links becomes components. Lists that still hold several components form clusters, through their
-smallest members. In a cluster, classes outside its largest component are compared with all its members, in
-blocks: first with one block, which links most of them, then what is left with every other block. A block
+smallest members. In a cluster, classes outside its core (its largest component at that time, and whatever joins
+it) are compared with all its members, in blocks: first with one block, which links most of them, then what is
+left with every other block. A block
 counts collisions of long sketches and confirms on full sets at once, so that only links leave a task, one for
 each class and component met.
 
@@ -161,11 +162,15 @@ def _blocks(members: DataFrame, sets: DataFrame, sizes: DataFrame, suffix: str)
     )
 
 
-def _links(members: DataFrame, sets: DataFrame, percent: int, first: bool) -> DataFrame:
-    """Links of members (cluster, rep, component) outside their cluster's largest component: to the cluster's first block, or to all the others."""
+def _cores(members: DataFrame) -> DataFrame:
+    """(cluster, core, blocks) of members (cluster, rep, component): the largest component and the number of blocks."""
     by = members.groupBy("cluster", "component").agg(F.count("*").alias("n"))
     # a table of its own, so that the joins after it can split a hot cluster
-    clusters = written(by.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("core"), F.ceil(F.sum("n") / BLOCK).alias("blocks")))
+    return written(by.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("core"), F.ceil(F.sum("n") / BLOCK).alias("blocks")))
+
+
+def _links(members: DataFrame, clusters: DataFrame, sets: DataFrame, percent: int, first: bool) -> DataFrame:
+    """Links of members (cluster, rep, component) outside their cluster's core: to the cluster's first block, or to all the others."""
     sizes = clusters.select("cluster", "blocks")
     outside = members.join(clusters.select("cluster", "core"), "cluster").where("component <> core").drop("core")
     left = _blocks(outside, sets, sizes, "")
@@ -176,6 +181,26 @@ def _links(members: DataFrame, sets: DataFrame, percent: int, first: bool) -> Da
     return both.select(*names, *(f"{c}2" for c in names)).mapInArrow(_met(percent), "a long, b long").distinct()
 
 
+def _labelled(df: DataFrame, comp: DataFrame, column: str, label: str) -> DataFrame:
+    """df with the component of an id column as `label`; an id without links is its own."""
+    return df.join(comp.select(F.col("id").alias(column), F.col("component").alias("__label")), column, "left").withColumn(label, F.coalesce("__label", column)).drop("__label")
+
+
+def _linked(clusters: DataFrame, edges: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Components of edges, whose components are `comp`, and of all links inside clusters (rep, cluster).
+
+    Both passes leave out the same core: whatever has not joined it by the second pass was compared with the first
+    block in the first one. A component that outgrows the core in between is still compared with all blocks.
+    """
+    members = _labelled(clusters, comp, "rep", "component")
+    cores = _cores(members)
+    links = written(edges.unionAll(_links(members, cores, sets, percent, True)))
+    comp = components(links)
+    # a component's name is one of its members, so the core's name leads to the component that it is in now
+    cores = written(_labelled(cores.withColumnRenamed("core", "was"), comp, "was", "core").select("cluster", "core", "blocks"))
+    return components(links.unionAll(written(_links(_labelled(clusters, comp, "rep", "component"), cores, sets, percent, False))))
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, matches: int = MATCHES) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -205,16 +230,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = written(_confirmed(written(tried), texts, percent))
     comp = components(edges)
 
-    component = lambda df: df.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    labelled = component(posted)
+    labelled = _labelled(posted, comp, "rep", "component")
     open_lists = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("leader")).where("lo <> hi")
     spokes = labelled.join(open_lists.select("token", "leader"), "token").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     clusters = components(spokes).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
     sets = written(_sets_of(written(clusters.select(F.col("rep").alias("id"))), texts, True))
-    links = written(edges.unionAll(_links(component(clusters), sets, percent, True)))
-    comp = components(links)
-    links = links.unionAll(written(_links(component(clusters), sets, percent, False)))
-    comp = components(links)
+    comp = _linked(clusters, edges, comp, sets, percent)
 
     final = member.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     out = light.select("doc_id", "n_shingles").join(final, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))

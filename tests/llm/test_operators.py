@@ -406,6 +406,25 @@ def test_near_components_match_brute_force(spark):
     assert got == H.near(rows)
 
 
+def test_core_outgrown_between_passes(spark):
+    """Family a is the core until the first pass joins family b; one pair, x outside block 0 and y inside it, bridges them."""
+    ids = spark.range(1, 400).selectExpr("id", "pmod(xxhash64(id), 2) AS block").collect()
+    in_block = {k: [r["id"] for r in ids if r["block"] == k] for k in (0, 1)}
+    x, y = in_block[1].pop(), in_block[0].pop()
+    a = in_block[0][:19] + in_block[1][:20]
+    b = in_block[0][19:49] + in_block[1][20:50]
+    base, extra, own = range(1000, 1100), range(2000, 2030), range(3000, 3015)
+    sets = {x: {*extra, *base[:70]}, y: {*base, *extra}} | {i: {*extra, *base[:70], *own, 10_000 + i} for i in a} | {i: {*base, 10_000 + i} for i in b}
+    hashed = {i: np.sort(words.mixed(np.array(sorted(s), np.uint64))) for i, s in sets.items()}
+    assert near_dedup.similar(hashed[x], hashed[y], 75) and not any(near_dedup.similar(hashed[i], hashed[j], 75) for i in (x, *a) for j in (y, *b) if (i, j) != (x, y))
+    rows = [(i, h.view(np.int64).tolist(), bytearray(near_dedup.sketch(h))) for i, h in hashed.items()]
+    table = spark.createDataFrame(rows, "id long, shingles array<long>, sketch binary")
+    clusters = spark.createDataFrame([(i, 1) for i in sets], "rep long, cluster long")
+    edges = spark.createDataFrame([(min(x, i), max(x, i)) for i in a], "a long, b long")
+    got = near_dedup._linked(clusters, edges, graph.components(edges), table, 75).collect()
+    assert {r["id"] for r in got} == set(sets) and {r["component"] for r in got} == {min(sets)}
+
+
 def test_near_dedup_awkward(spark):
     got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_components(H.frame(spark, H.AWKWARD, True)).collect()}
     assert got == {(1, 0, 1, True), (2, 0, 2, True), (None, 1, None, True), (3, 1, 3, True), (4, 11, 4, True), (5, 11, 4, False), (6, 0, 6, True), (7, 1, 7, True), (8, 4, 8, True)}
