@@ -3,14 +3,16 @@ r"""Secret scans with a battery of randomness tests, in DataFrame operations onl
 Base kinds are patterns: `assign` (a credential's name, a sign, a value of at least 12 characters), `access`
 (AKIA and capitals or digits, at least 18 characters), `hex` (at least 16 lower-case hexadecimal digits).
 
-The method adds `random` spans. Candidates are maximal runs of `[A-Za-z0-9+/_-]` of at least 20 characters with
-a digit. Each has an inferred encoding (hex, base 32, base 64) and is tested against uniform draws from that
-alphabet: chi-squared over the alphabet (Wilson-Hilferty), runs above and below the alphabet's middle, and serial
-correlation of neighbours; the smallest of the three p-values times three must not fall below `uniform_level`.
-Against ordinary text stands the number of changes between letter cases, digits and signs, with a
-Chernoff bound as p-value; longer candidates get smaller ones. These are held to a false-discovery rate by
-Benjamini-Hochberg within each stratum of lengths, from counts in bins (a few thousand rows whatever the
-input). A candidate that passes both and overlaps no base span is a `random` span.
+The method adds `random` spans. Candidates are maximal runs of `[A-Za-z0-9+/_-]` of at least 20 characters.
+Each has an inferred encoding (the smallest of ALPHABETS that holds it) and is tested against uniform draws from
+that alphabet: chi-squared over the alphabet (Wilson-Hilferty), runs above and below the alphabet's middle, and
+serial correlation of neighbours; the smallest of the three p-values times three must not fall below
+`uniform_level`. Against ordinary text stands the likelihood ratio of uniform draws from the inferred alphabet to
+text: classes follow each other by TEXT_NEXT, letters by the pairs counted in the table outside of candidates. Under
+text a ratio of r or more has a chance of 1 / r at most (Markov), after a share for each encoding that could have
+been inferred. These p-values are held to a false-discovery rate by Benjamini-Hochberg within each stratum of
+lengths, from counts in bins (a few thousand rows whatever the input). A candidate that passes both and overlaps
+no base span is a `random` span.
 
 Spans are kind:start:end in code points, end exclusive, by start and then by kind as listed (assign, access,
 hex, random), comma-joined. Defined results: a null text counts as empty and has no spans; rows that repeat an
@@ -19,7 +21,8 @@ id are scanned each; a null id stays null; an empty table gives an empty result;
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,11 +34,20 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 ALPHABETS = {
     "hex": "0123456789abcdef",
+    "letters": "abcdefghijklmnopqrstuvwxyz",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base36": "abcdefghijklmnopqrstuvwxyz0123456789",
+    "base52": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
-#: Chance that neighbouring characters of ordinary text differ in class (identifiers, dates and paths included).
-TEXT_CHANGES = 0.15
+ENCODED = {"hex": "^([0-9a-f]+|[0-9A-F]+)$", "letters": "^([a-z]+|[A-Z]+)$", "base32": "^[A-Z2-7]+$", "base36": "^([a-z0-9]+|[A-Z0-9]+)$", "base52": "^[A-Za-z]+$"}
+#: Encodings that come in capitals and in small letters count twice.
+ONE_CASE = ("hex", "letters", "base36")
+#: Chances in ordinary text (identifiers, dates and paths included) of a capital, small letter, digit or sign after one of them.
+TEXT_NEXT = {"U": (0.60, 0.32, 0.04, 0.04), "l": (0.04, 0.84, 0.04, 0.08), "d": (0.05, 0.05, 0.75, 0.15), "s": (0.15, 0.45, 0.25, 0.15)}
+#: Letters from a to z in a thousandth of a percent, the share of a letter that they give whatever stands before it.
+TEXT_LETTERS = (8200, 1500, 2800, 4300, 12700, 2200, 2000, 6100, 7000, 150, 770, 4000, 2400, 6700, 7500, 1900, 95, 6000, 6300, 9100, 2800, 980, 2400, 150, 2000, 74)
+ANY_LETTER, PRIOR = 0.3, 26
 BINS_PER_UNIT, MOST_BINS = 10, 400
 
 
@@ -78,26 +90,53 @@ def _step(df: DataFrame, column: str, make: Callable[[Column], dict[str, Column]
     return df.withColumn(column, F.transform(column, fields))
 
 
-def battery(df: DataFrame, column: str = "candidates", keep: tuple[str, ...] = ("start", "end", "token")) -> DataFrame:
-    """Adds encoding, p_uniform (combined), score (-log10 p against ordinary text), stratum and bin to the structs of an array column, which have a `token`."""
+def text_pairs(texts: DataFrame) -> dict[str, int]:
+    """Counts of neighbouring letters in `text` outside of candidates, at most 26 * 26."""
+    words = texts.select(F.explode(F.split(F.lower(F.regexp_replace("text", CANDIDATE, " ")), "[^a-z]+")).alias("w")).where("length(w) > 1")
+    pairs = words.select(F.expr("explode(transform(sequence(1, length(w) - 1), i -> substring(w, i, 2)))").alias("pair"))
+    return {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.count("*").alias("n")).collect()}
+
+
+def _text_costs(pairs: Mapping[str, int]) -> Column:
+    """-log10 of the chance that text has a character of base 64 after another, at 64 * (place before) + place."""
+    letters, all_ = ALPHABETS["letters"], sum(TEXT_LETTERS)
+    share = {c: n / all_ for c, n in zip(letters, TEXT_LETTERS, strict=True)}
+    seen = {a: sum(pairs.get(a + b, 0) for b in letters) for a in letters}
+    kind = lambda c: "U" if c.isupper() else "l" if c.islower() else "d" if c.isdigit() else "s"
+
+    def within(a: str, b: str) -> float:
+        if not b.isalpha():
+            return 1 / 10 if b.isdigit() else 1 / 2
+        a, b = a.lower(), b.lower()
+        if a not in seen:
+            return share[b]
+        return ANY_LETTER * share[b] + (1 - ANY_LETTER) * (pairs.get(a + b, 0) + PRIOR * share[b]) / (seen[a] + PRIOR)
+
+    costs = (-math.log10(TEXT_NEXT[kind(a)]["Ulds".index(kind(b))] * within(a, b)) for a in ALPHABETS["base64"] for b in ALPHABETS["base64"])
+    return F.split(F.lit(",".join(f"{c:.4f}" for c in costs)), ",").cast("array<double>")
+
+
+def battery(df: DataFrame, column: str = "candidates", keep: tuple[str, ...] = ("start", "end", "token"), pairs: Mapping[str, int] | None = None) -> DataFrame:
+    """Adds encoding, p_uniform (combined), score (-log10 p against ordinary text with these pairs of letters), stratum and bin to the structs of an array column, which have a `token`."""
+    costs = _text_costs(pairs or {})
+    choices = len(ALPHABETS) + len(ONE_CASE)
 
     def alphabet(s):
         t = s["token"]
-        kind = F.when(t.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(t.rlike("^[A-Z2-7]+$"), "base32").otherwise("base64")
-        return {"encoding": kind}
+        return {"encoding": F.coalesce(*(F.when(t.rlike(pattern), name) for name, pattern in ENCODED.items()), F.lit("base64"))}
 
     def plain(s):
-        letters = F.when(s["encoding"] == "hex", ALPHABETS["hex"]).when(s["encoding"] == "base32", ALPHABETS["base32"]).otherwise(ALPHABETS["base64"])
-        text = F.when(s["encoding"] == "hex", F.lower(s["token"])).otherwise(F.translate(s["token"], "-_", "+/"))
-        return {"alphabet": letters, "plain": text, "n": F.length(s["token"]).cast("double")}
+        letters = F.coalesce(*(F.when(s["encoding"] == name, F.lit(ALPHABETS[name])) for name in ENCODED), F.lit(ALPHABETS["base64"]))
+        signs = F.translate(s["token"], "-_", "+/")
+        text = F.when(s["encoding"].isin(*ONE_CASE), F.lower(s["token"])).otherwise(signs)
+        return {"alphabet": letters, "plain": text, "signs": signs, "n": F.length(s["token"]).cast("double")}
 
     def split(s):
-        classes = F.translate(s["token"], ALPHABETS["base64"] + "-_", "U" * 26 + "l" * 26 + "d" * 10 + "ssss")
         return {
             "k": F.length(s["alphabet"]).cast("double"),
             "places": F.transform(F.split(s["plain"], ""), lambda c: F.instr(s["alphabet"], c).cast("double")),
             "squares": F.aggregate(F.split(s["alphabet"], ""), F.lit(0.0), lambda a, c: a + F.pow((F.length(s["plain"]) - F.length(F.replace(s["plain"], c, F.lit("")))).cast("double"), F.lit(2.0))),
-            "classes": F.split(classes, ""),
+            "of64": F.transform(F.split(s["signs"], ""), lambda c: F.instr(F.lit(ALPHABETS["base64"]), c) - 1),
         }
 
     def neighbours(array, differ):
@@ -110,7 +149,7 @@ def battery(df: DataFrame, column: str = "candidates", keep: tuple[str, ...] = (
             "above": F.size(F.filter(s["places"], lambda x: x > half)).cast("double"),
             "runs": 1 + neighbours(s["places"], lambda x, y: (x > half) != (y > half)),
             "mean": F.aggregate(s["places"], F.lit(0.0), lambda a, x: a + x) / s["n"],
-            "changes": neighbours(s["classes"], lambda x, y: x != y),
+            "cost": F.aggregate(F.sequence(F.lit(1), F.size(s["of64"]) - 1), F.lit(0.0), lambda a, i: a + F.get(costs, 64 * F.get(s["of64"], i - 1) + F.get(s["of64"], i))),
         }
 
     def spread(s):
@@ -128,20 +167,18 @@ def battery(df: DataFrame, column: str = "candidates", keep: tuple[str, ...] = (
         z_runs = F.when((a > 0) & (a < n), (s["runs"] - expected) / F.sqrt(variance)).otherwise(F.lit(9.0))
         z_serial = F.when(s["var"] > 0, (s["cov"] / s["var"] + 1 / n) * F.sqrt(n)).otherwise(F.lit(9.0))
         least = F.least(_normal_tail(z_chi), _normal_tail(z_runs), _normal_tail(z_serial))
-        share = s["changes"] / (n - 1)
-        term = lambda x, q: F.when(x > 0, x * F.log(x / q)).otherwise(0.0)
-        against = (n - 1) * (term(share, TEXT_CHANGES) + term(1 - share, 1 - TEXT_CHANGES)) / F.log(F.lit(10.0))
-        return {"p_uniform": F.least(3 * least, F.lit(1.0)), "score": F.when(share > TEXT_CHANGES, against).otherwise(0.0)}
+        against = s["cost"] - (n - 1) * F.log10(s["k"]) - math.log10(choices)
+        return {"p_uniform": F.least(3 * least, F.lit(1.0)), "score": F.greatest(against, F.lit(0.0))}
 
     def placed(s):
         return {"stratum": F.least(F.log2(F.length(s["token"]).cast("double")).cast("int"), F.lit(16)), "bin": F.least((s["score"] * BINS_PER_UNIT).cast("int"), F.lit(MOST_BINS))}
 
     df = _step(df, column, alphabet, keep)
     df = _step(df, column, plain, (*keep, "encoding"))
-    df = _step(df, column, split, (*keep, "encoding", "alphabet", "plain", "n"))
+    df = _step(df, column, split, (*keep, "encoding", "alphabet", "plain", "signs", "n"))
     df = _step(df, column, sums, (*keep, "encoding", "n", "k", "places"))
-    df = _step(df, column, spread, (*keep, "encoding", "n", "k", "chi", "above", "runs", "changes", "places", "mean"))
-    df = _step(df, column, tested, (*keep, "encoding", "n", "k", "chi", "above", "runs", "changes", "var", "cov"))
+    df = _step(df, column, spread, (*keep, "encoding", "n", "k", "chi", "above", "runs", "cost", "places", "mean"))
+    df = _step(df, column, tested, (*keep, "encoding", "n", "k", "chi", "above", "runs", "cost", "var", "cov"))
     return _step(df, column, placed, (*keep, "encoding", "p_uniform", "score"))
 
 
@@ -159,22 +196,21 @@ def _candidates(texts: DataFrame, based: bool) -> DataFrame:
     out = texts.withColumn("candidates", _spans(3, CANDIDATE))
     if based:
         out = out.withColumns({"assign": _spans(0, ASSIGN, 12), "access": _spans(1, ACCESS), "hex": _spans(2, HEX)})
-    return out.withColumn("candidates", F.expr("""transform(
-        filter(candidates, s -> substring(text, s.start + 1, s.end - s.start) rlike '[0-9]'),
-        s -> struct(s.start AS start, s.end AS end, substring(text, s.start + 1, s.end - s.start) AS token))"""))
+    return out.withColumn("candidates", F.expr("""transform(candidates, s -> struct(s.start AS start, s.end AS end, substring(text, s.start + 1, s.end - s.start) AS token))"""))
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", uniform_level: float = 0.001, rate: float = 0.01) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, n_random, base_spans and spans.
 
-    Two passes over the texts, both on the map side; between them a stratum's threshold (17 numbers at most).
+    Three passes over the texts, all on the map side; between them the pairs of letters and each stratum's threshold (676 and 17 numbers at most).
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    drawn = battery(_candidates(texts.where(F.col("text").rlike(CANDIDATE)), False).select("candidates"))
+    pairs = text_pairs(texts)
+    drawn = battery(_candidates(texts.where(F.col("text").rlike(CANDIDATE)), False).select("candidates"), pairs=pairs)
     least = thresholds(drawn.select(F.inline("candidates")), rate).collect()
     limit = F.lit(None).cast("int")
     of = lambda s: F.coalesce(*(F.when(s["stratum"] == r["stratum"], F.lit(r["least_bin"])) for r in least), limit)
-    found = battery(_candidates(texts, True).drop("text"))
+    found = battery(_candidates(texts, True).drop("text"), pairs=pairs)
     base = F.concat("assign", "access", "hex")
     passed = F.filter("candidates", lambda s: (s["p_uniform"] >= uniform_level) & (s["bin"] >= of(s)))
     found = found.withColumns({"base": base, "passed": passed})

@@ -175,6 +175,18 @@ def test_battery_separates_random_from_text(spark):
     assert sum(map(ok, drawn)) > 140 and sum(map(ok, plain)) == 0
 
 
+@pytest.mark.parametrize("alphabet", ["ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", secrets.ALPHABETS["base64"]])
+def test_secrets_of_every_encoding_pass_the_control(spark, texts, alphabet):
+    rng = random.Random(3)
+    drawn = ["".join(rng.choice(alphabet) for _ in range(n)) for n in (20, 32, 52) for _ in range(60)]
+    text = ["src/main/resources/configuration/readme", "international-organization-of-standards", "CONSTANT_NAME_OF_THE_DEFAULT_VALUE", "2024-01-01-2024-01-02-2024"]
+    rows = [(i, f"see {t} there", None, None, None) for i, t in enumerate(drawn + text * 40)] + [(1000 + d, t, None, None, None) for d, t in texts]
+    got = {r["doc_id"]: r["n_random"] for r in secrets.secret_spans(spark.createDataFrame(rows, H.SCHEMA)).where("doc_id < 1000").collect()}
+    for k in range(3):
+        assert sum(got[i] for i in range(60 * k, 60 * k + 60)) >= 54, (alphabet, k)
+    assert sum(got[i] for i in range(180, 340)) <= 2
+
+
 def test_secrets_awkward(spark):
     got = secrets.secret_spans(H.frame(spark, H.AWKWARD, True)).collect()
     assert len(got) == len(H.AWKWARD) and all(r["spans"] == "" for r in got)
