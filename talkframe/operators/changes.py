@@ -56,8 +56,8 @@ def holdout(m: DataFrame, percent: int) -> DataFrame:
 def training_feedback(feedback: DataFrame, test: DataFrame, least: int = 4) -> DataFrame:
     """Feedback (id, text) without rows that contain a test message of `least` characters and more."""
     quotes = test.where(F.length("text") >= least).select(F.col("text").alias("quote")).distinct().withColumn("gram", F.left("quote", F.lit(least)))
-    grams = feedback.select("id", "text", F.explode(X.ngrams("text", least, least)).alias("gram")).distinct()
-    hit = grams.join(quotes, "gram").where(F.expr("contains(text, quote)")).select("id").distinct()
+    grams = feedback.select("id", F.explode(X.ngrams("text", least, least)).alias("gram")).join(quotes.select("gram").distinct(), "gram", "left_semi").distinct()
+    hit = grams.join(quotes, "gram").join(feedback.select("id", "text"), "id").where(F.expr("contains(text, quote)")).select("id").distinct()
     return feedback.join(hit, "id", "left_anti")
 
 

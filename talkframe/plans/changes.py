@@ -65,6 +65,13 @@ def j13_training_feedback(spark, sf):
     return C.training_feedback(feedback, table(spark, sf, "benchmark").select("text"), least=24).select("id")
 
 
+@query("""SELECT doc_id AS id FROM documents WHERE NOT EXISTS (SELECT 1 FROM benchmark WHERE contains(documents.text, benchmark.text))""")
+def j13_training_feedback_whole(spark, sf):
+    """All documents; `j13_training_feedback` and its SQL take a fifth of them."""
+    feedback = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return C.training_feedback(feedback, table(spark, sf, "benchmark").select("text"), least=24).select("id")
+
+
 @query("""WITH a AS (SELECT url AS path, any_value(sha256(html)) AS h FROM pages WHERE page_id % 3 <> 0 GROUP BY 1), b AS (SELECT url AS path, any_value(CASE WHEN page_id % 4 = 0 THEN 'x' ELSE sha256(html) END) AS h FROM pages WHERE page_id % 5 <> 0 GROUP BY 1)
     SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.path = b.path WHERE a.h IS NULL OR b.h IS NULL OR a.h <> b.h""")
 def j14_version_changes(spark, sf):

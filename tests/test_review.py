@@ -96,3 +96,13 @@ def test_findings_mark_items(spark, sf):
     assert made.collect()[0]["text"] == "t［fuzzy］"
     strict = R.applied(spark.createDataFrame([("c", 1, "s", "t")], "conv_id string, item_id long, section string, text string"), spark.createDataFrame([("c", 1, "fuzzy")], "conv_id string, item_id long, status string"), strict=True)
     assert strict.count() == 0 and Q.q15_feedback_rules(spark, sf).where(F.col("rule").contains("[手机号]")).count() == 1
+
+
+def test_training_feedback_holds_every_document_against_the_benchmark(spark, tmp_path):
+    from talkframe.plans import registry
+
+    passage = "a passage of the benchmark that no document may contain"
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(i, f"document {i} says {passage} in full" if i % 2 else f"document {i} says nothing of it") for i in range(10)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r["id"] for r in registry.QUERIES["j13_training_feedback_whole"](spark, str(tmp_path)).collect()) == [0, 2, 4, 6, 8]
