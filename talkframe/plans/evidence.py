@@ -45,11 +45,13 @@ def v01_corpus_lines(spark, sf):
 
 @query()
 def j04_bigram_candidates(spark, sf):
-    """The first sentence of each benchmark passage against the lines of all conversations, by shared bigrams and ordered coverage."""
+    """Every sentence of each benchmark passage against the lines of all conversations, by shared bigrams and ordered coverage: a row for each sentence, from 0."""
     m = cv(spark, sf)
     lines = V.corpus_lines(m).withColumn("line_id", F.xxhash64("conv_id", "line_id")).withColumn("conv_id", F.lit("all"))
-    claims = table(spark, sf, "benchmark").select(F.lit("all").alias("conv_id"), F.col("item_id").alias("claim_id"), F.get(F.split("text", "[.]"), F.lit(0)).alias("claim"))
-    return V.matched(claims, m.withColumn("conv_id", F.lit("all")), lines)
+    sentences = table(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", "[.]")).alias("sentence", "claim")).where(X.stripped("claim") != "")
+    claims = sentences.select(F.lit("all").alias("conv_id"), F.xxhash64("item_id", "sentence").alias("claim_id"), "item_id", "sentence", "claim")
+    found = V.matched(claims.select("conv_id", "claim_id", "claim"), m.withColumn("conv_id", F.lit("all")), lines)
+    return found.join(claims.select("claim_id", "item_id", "sentence"), "claim_id").select("conv_id", F.col("item_id").alias("claim_id"), "sentence", "score", "line_id")
 
 
 @query()

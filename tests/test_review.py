@@ -106,3 +106,15 @@ def test_training_feedback_holds_every_document_against_the_benchmark(spark, tmp
     docs = [(i, f"document {i} says {passage} in full" if i % 2 else f"document {i} says nothing of it") for i in range(10)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(r["id"] for r in registry.QUERIES["j13_training_feedback_whole"](spark, str(tmp_path)).collect()) == [0, 2, 4, 6, 8]
+
+
+def test_every_sentence_of_a_passage_is_matched(spark, tmp_path):
+    from talkframe.plans import registry
+
+    passage = "Nobody ever wrote about xylophones. the ferry leaves at noon tomorrow. Quartz jumps over vexed kings."
+    spark.createDataFrame([(7, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    said = [(1, 0, "user", "when do we go"), (1, 1, "assistant", "I think the ferry leaves at noon tomorrow"), (2, 0, "user", "Quartz jumps over vexed kings")]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r["claim_id"], r["sentence"]): r for r in registry.QUERIES["j04_bigram_candidates"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(7, 0), (7, 1), (7, 2)}
+    assert got[7, 0]["score"] < 1 and got[7, 1]["score"] == got[7, 2]["score"] == 1 and got[7, 1]["line_id"] != got[7, 2]["line_id"]
