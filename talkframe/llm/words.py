@@ -3,23 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 from talkframe.llm.common import SPACE_BYTES
 
-_RNG = np.random.default_rng(7)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACE_BYTES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE_LOWER = _BYTE[_LOWER]
-_P = 0x9E3779B97F4A7C15 | 5  # odd, so that it has an inverse modulo 2**64
-_P_INV = pow(_P, -1, 2**64)
 _Q = 0xD6E8FEB86659FD93
+_SEED = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of the first 0 to 8 bytes of a little-endian integer.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words longer than this are hashed one by one.
+LONG_WORD = 64
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -29,26 +29,34 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base))
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 def hashed(data: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First byte, end byte and 64-bit hash of each word of a byte array."""
+    """First byte, end byte and 64-bit hash of each word of a byte array.
+
+    Eight bytes at a time go through a mixer that isn't linear, so no pattern of bytes makes words collide; words of
+    more than LONG_WORD bytes take BLAKE2b.
+    """
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(0, np.uint64)
+    if lower:
+        data = _LOWER[data]
     space = _SPACE[data]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     edge = np.concatenate([[0], edge, [len(data)]]) if not space[0] else np.concatenate([edge, [len(data)]])
     starts, ends = edge[0 : len(edge) - 1 : 2], edge[1::2]
-    n = 1 << int(len(data) + 1).bit_length()
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * _powers(n, _P)[: len(data)], out=sums[1:])
-    return starts, ends, mixed((sums[ends] - sums[starts]) * _powers(n, _P_INV)[starts])
+    size = ends - starts
+    raw = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", raw, strides=(1,))  # the eight bytes from each place on
+    h = mixed((eight[starts] & _FIRST[np.minimum(size, 8)]) + size.astype(np.uint64) * _SEED)
+    at = np.flatnonzero(size > 8)
+    for k in range(8, LONG_WORD, 8):
+        if not len(at):
+            break
+        h[at] = mixed(h[at] * np.uint64(_Q) + (eight[starts[at] + k] & _FIRST[np.minimum(size[at] - k, 8)]))
+        at = at[size[at] > k + 8]
+    for i in at.tolist():
+        h[i] = int.from_bytes(blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return starts, ends, h
 
 
 def rolled(h: np.ndarray, k: int) -> np.ndarray:
@@ -63,6 +71,16 @@ def rolled(h: np.ndarray, k: int) -> np.ndarray:
     return mixed(out)
 
 
+def summed(h: np.ndarray, k: int) -> np.ndarray:
+    """32 more bits of each k consecutive word hashes, of another kind than `rolled`."""
+    n = len(h) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int32)
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(mixed(h ^ _SEED), out=sums[1:])
+    return (mixed(sums[k:] - sums[:n]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def sequence(h: np.ndarray) -> int:
     """Hash of a whole word sequence."""
     out = len(h)
