@@ -17,14 +17,11 @@ def components(edges: DataFrame) -> DataFrame:
     both = written(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "id"))
     while True:
-        near = (
-            both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("component"))
-            .select(F.col("a").alias("id"), "component").unionAll(labels)
-            .groupBy("id").agg(F.min("component").alias("component"))
-        )
+        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("near")).withColumnRenamed("a", "id")
+        least = labels.select("id", F.col("component").alias("was")).join(near, "id").select("id", "was", F.least("was", "near").alias("component"))
         up = labels.select(F.col("id").alias("component"), F.col("component").alias("above"))
-        new = written(near.join(up, "component", "left").select("id", F.least("component", F.coalesce("above", "component")).alias("component")))
-        changed = new.join(labels.withColumnRenamed("component", "old"), "id").where("component <> old").limit(1).count()
-        labels = new
-        if not changed:
-            return labels
+        new = least.join(up, "component", "left").select("id", F.least("component", F.coalesce("above", "component")).alias("component"), "was")
+        labels = written(new.select("id", "component", (F.col("component") != F.col("was")).alias("moved")))
+        if labels.where("moved").isEmpty():
+            return labels.select("id", "component")
+        labels = labels.select("id", "component")

@@ -1,6 +1,7 @@
 """MinHash near-dedup by a signature-coordinate inverted join.
 
-A document's set is its distinct 5-word shingles; equal sets form a class, which its smallest id stands for.
+A document's set is its distinct 5-word shingles; documents of equal sets and word sequences (128 bits of hashes that
+aren't linear in bytes) form a class, which its smallest id stands for.
 Each class has a signature of `coordinates` minima and is posted under (coordinate, value). Two sets of
 similarity 0.75 agree in fewer than `matches` of 64 coordinates once in about a million times; pairs at or
 above that threshold are confirmed on the full sets.
@@ -20,8 +21,9 @@ each class and component met.
 
 Defined results: words are separated by ASCII white space, A-Z are lower-cased; a text of fewer than five words
 has its whole sequence as its only shingle; a null or empty text has an empty set, links with nothing and keeps
-its own id; rows that repeat an id are one document; a row without an id is linked with nothing and is kept;
-an empty table gives an empty result; other columns are ignored.
+its own id; rows that repeat an id are one document, which every link of any of them reaches through (n_shingles is each row's
+own); a row without an id is linked with nothing and is kept; a text of any length is read whole; an empty table
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,13 +46,15 @@ LONG, LONG_MATCHES = 256, 156
 _FACTORS = np.random.default_rng(11).integers(1, 2**63, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> Iterator[np.ndarray]:
+def shingles_of(h: np.ndarray, k: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct shingle hashes of a text's word hashes."""
+    return np.unique(words.rolled(h, k)) if len(h) >= k else np.array([words.sequence(h)] if len(h) else [], np.uint64)
+
+
+def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     for _, _, h in words.of_texts(texts, lower=True):
-        if len(h) >= k:
-            yield np.unique(words.rolled(h, k))
-        else:
-            yield np.array([words.sequence(h)] if len(h) else [], np.uint64)
+        yield shingles_of(h)
 
 
 def signature(shingles: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
@@ -66,14 +70,20 @@ def sketch(shingles: np.ndarray) -> bytes:
     return (words.mixed(signature(shingles, LONG)) >> np.uint64(48)).astype("<u2").tobytes()
 
 
+def ordered(h: np.ndarray) -> int:
+    """Hash of a word sequence that depends on every word and its place."""
+    return int(words.mixed(h + np.arange(1, len(h) + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)).sum(dtype=np.uint64)) if len(h) else 0
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for first, texts in words.blocks(b):
             n, low, high, sigs = [], [], [], []
-            for s in shingle_sets(texts):
+            for _, _, h in words.of_texts(texts, lower=True):
+                s = shingles_of(h)
                 n.append(len(s))
-                low.append(np.int64(np.uint64(s.sum(dtype=np.uint64))) if len(s) else 0)
-                high.append(np.int64(words.mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) if len(s) else 0)
+                low.append(np.int64(np.uint64(s.sum(dtype=np.uint64))))
+                high.append(np.int64(np.uint64(ordered(h))))
                 sigs.append(signature(s).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).slice(first, len(texts)), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))],
@@ -227,7 +237,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .groupBy("rep").agg(F.min_by("leader", F.struct(-F.col("votes"), "leader")).alias("leader"))
         .select(F.col("leader").alias("a"), F.col("rep").alias("b"))
     )
-    edges = written(_confirmed(written(tried), texts, percent))
+    # an id's rows of different classes are one document
+    several = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
+    same_id = member.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
+    edges = written(_confirmed(written(tried), texts, percent).unionAll(same_id))
     comp = components(edges)
 
     labelled = _labelled(posted, comp, "rep", "component")
