@@ -7,17 +7,18 @@ stand, as a window, in a document of smaller id.
    anchors, and about one word in four starts one. Anchors of at least two documents go into a bitmap of fixed
    size (a bounded broadcast: with more anchors it only prunes less).
 2. Confirmed passages. Windows whose anchor may be shared are counted by hash; those of two documents are
-   confirmed, and the smallest document is the owner of the window. An owner's confirmed windows, joined where
-   they adjoin, are its passages; their words, not their hashes, go on.
+   confirmed, and the smallest document is the owner of the window. Windows are told apart by 96 bits of hashes that aren't linear in
+   bytes: of 10**13 different windows two collide with a chance below 10**-2. An owner's confirmed windows, joined
+   where they adjoin, are its passages; their words, not their hashes, go on.
 3. Sharded automata. Documents with a window of another owner are dealt over shards of bounded size, those of the
    same main owner together (many of them split), and each shard gets the passages of its documents' owners, once. It compiles the anchor phrases of their windows into
    one Aho-Corasick automaton over word numbers and streams its documents through it, whole; each match grows
    both ways along the passage, and a run of a window's length counts when its owner is smaller than the
-   document. Words are compared, so hashes only ever propose.
+   document. Words are compared, so a collision can't remove a word; it could only leave one.
 
 Defined results: a null text has no words; a row without an id keeps all its words and takes none from others;
-rows that repeat an id are one document and take nothing from each other; an empty table gives an empty result;
-other columns are ignored.
+rows that repeat an id are one document and take nothing from each other; a text of any length is read whole;
+an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ _find = bytes.split
 
 
 def _anchored(ids: np.ndarray, texts: list[bytes], span: int, gram: int, places: bool = True):
-    """Of every window of a block of documents: its document, its anchor, its hash, and the anchor's first place among the block's words."""
+    """Of every window of a block of documents: its document, anchor, hash, 32 more bits of hash, and the anchor's first place among the block's words."""
     data = np.frombuffer(b" ".join(texts), np.uint8)
     starts, _, h = words.hashed(data)
     firsts = np.cumsum([0] + [len(t) + 1 for t in texts])
@@ -49,7 +50,7 @@ def _anchored(ids: np.ndarray, texts: list[bytes], span: int, gram: int, places:
     n = len(h) - span + 1
     if n <= 0:
         none = np.zeros(0, np.uint64)
-        return np.zeros(0, np.int64), none, none, np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), none, none, np.zeros(0, np.int32), np.zeros(0, np.int64)
     inside = np.flatnonzero(row[:n] == row[span - 1 :])
     g, reach = words.rolled(h, gram), span - gram + 1
     low = g[:n].copy()
@@ -60,14 +61,14 @@ def _anchored(ids: np.ndarray, texts: list[bytes], span: int, gram: int, places:
         for j in range(reach - 1, -1, -1):
             hit = np.flatnonzero(g[j : n + j] == low)
             first[hit] = hit + j
-    return ids[row[inside]], low[inside], words.rolled(h, span)[inside], first[inside]
+    return ids[row[inside]], low[inside], words.rolled(h, span)[inside], words.summed(h, span)[inside], first[inside]
 
 
 def _block_windows(batches, span, gram):
     for b in batches:
         ids = b.column(0).to_numpy()
         for first, texts in words.blocks(b):
-            yield _anchored(ids[first : first + len(texts)], texts, span, gram, places=False)[:3]
+            yield _anchored(ids[first : first + len(texts)], texts, span, gram, places=False)[:4]
 
 
 def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -80,15 +81,17 @@ def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(c[new] for c in columns)
 
 
-def _ends(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _ends(*key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last row of each run of equal keys."""
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return first, np.concatenate([first[1:], [len(key)]]) - 1 if len(key) else first
+    if not len(key[0]):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in key], axis=0)]))
+    return first, np.concatenate([first[1:], [len(key[0])]]) - 1
 
 
 def _anchors(span: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, low, _ in _block_windows(batches, span, gram):
+        for doc, low, _, _ in _block_windows(batches, span, gram):
             change = np.ones(len(low), bool)
             change[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
             a, _ = _distinct(low[change], doc[change])
@@ -109,16 +112,16 @@ def _candidates(span: int, gram: int, bits: int, anchors, confirmed=None):
 
         shared = np.frombuffer(anchors.value, np.uint8)
         known = None if confirmed is None else np.frombuffer(confirmed.value, np.uint8)
-        for doc, low, window in _block_windows(batches, span, gram):
+        for doc, low, window, more in _block_windows(batches, span, gram):
             ok = np.flatnonzero(may(shared, low))
             if known is not None:
                 ok = ok[may(known, window[ok])]
-            w, d = _distinct(window[ok], doc[ok])
+            w, m, d = _distinct(window[ok], more[ok], doc[ok])
             if known is None:
-                first, last = _ends(w)
-                yield pa.RecordBatch.from_arrays([pa.array(w[first].view(np.int64)), pa.array(d[first]), pa.array(d[last])], names=["window", "lo", "hi"])
+                first, last = _ends(w, m)
+                yield pa.RecordBatch.from_arrays([pa.array(w[first].view(np.int64)), pa.array(m[first]), pa.array(d[first]), pa.array(d[last])], names=["window", "more", "lo", "hi"])
             else:
-                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(d)], names=["window", "doc"])
+                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(m), pa.array(d)], names=["window", "more", "doc"])
 
     return run
 
@@ -180,7 +183,7 @@ class Phrases:
                 number[w] = len(number) + 1
         ids = [number[w] for w in found]
         # word positions with a place that equals nothing (-1) before each passage
-        which, low, _, first = _anchored(np.arange(len(texts)), texts, self.span, self.gram)
+        *_, first = _anchored(np.arange(len(texts)), texts, self.span, self.gram)
         sizes = np.array([t.count(b" ") + 1 for t in texts], np.int64)
         shift = np.repeat(np.arange(len(texts)), sizes) + 1
         self.flat = np.full(len(ids) + len(texts) + 1, -1, np.int64)
@@ -303,13 +306,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = rows.mapInArrow(_anchors(span, gram), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
     anchors = _bitmap(shared, "anchor", bits)
     owned = written(
-        rows.mapInArrow(_candidates(span, gram, bits, anchors), "window long, lo long, hi long")
-        .groupBy("window").agg(F.min("lo").alias("owner"), F.max("hi").alias("hi")).where("owner < hi").select("window", "owner")
+        rows.mapInArrow(_candidates(span, gram, bits, anchors), "window long, more int, lo long, hi long")
+        .groupBy("window", "more").agg(F.min("lo").alias("owner"), F.max("hi").alias("hi")).where("owner < hi").select("window", "more", "owner")
     )
-    held = rows.mapInArrow(_candidates(span, gram, bits, anchors, _bitmap(owned, "window", bits)), "window long, doc long")
+    held = rows.mapInArrow(_candidates(span, gram, bits, anchors, _bitmap(owned, "window", bits)), "window long, more int, doc long")
     # an owner's own rows keep their windows, all others only say how many windows of which owners a document has
     links = written(
-        held.join(owned, "window").groupBy("doc", "owner", F.when(F.col("doc") == F.col("owner"), F.col("window")).alias("window")).agg(F.count("*").alias("n"))
+        held.join(owned, ["window", "more"]).groupBy("doc", "owner", F.when(F.col("doc") == F.col("owner"), F.col("window")).alias("window")).agg(F.count("*").alias("n"))
     )
     pairs = links.where("doc <> owner").select("doc", "owner", "n")
 
