@@ -38,9 +38,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and SHA-256 of what is left of each text; a null text counts as empty, which has one line."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.line_dedup(docs)
-    return kept.select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return kept.select("doc_id", F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
 
 
 def op8_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +76,18 @@ ORACLE_SQL = {
         k AS (SELECT d.doc_id, w, coalesce(p, []) AS p FROM d LEFT JOIN g USING (doc_id)),
         u AS (SELECT doc_id, w, len(p) AS n_removed, CASE WHEN len(p) = 0 THEN w ELSE list_filter(w, lambda x, n: NOT list_contains(p, n)) END AS kept FROM k)
         SELECT doc_id, len(w) AS n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM u""",
+    "op7_line_dedup": r"""
+        WITH x AS (SELECT doc_id, coalesce(text, '') AS text, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line FROM documents),
+        l AS (SELECT doc_id, line, string_split(text, chr(10))[line + 1] AS raw FROM x),
+        s AS (SELECT doc_id, line, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS s FROM l),
+        n AS (SELECT doc_id, line, s, lead(line) OVER w AS next, lead(s) OVER w AS next_s FROM s WHERE s <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+        k AS (SELECT doc_id, line, [line, next] AS covered, 'run' || s || chr(10) || next_s AS key FROM n WHERE next IS NOT NULL
+              UNION ALL SELECT doc_id, line, [line], 'one' || s FROM n WHERE len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) >= 50),
+        f AS (SELECT doc_id, covered, row_number() OVER (PARTITION BY md5(key) ORDER BY doc_id, line) AS nth FROM k),
+        g AS (SELECT DISTINCT doc_id, unnest(covered) AS line FROM f WHERE nth > 1),
+        r AS (SELECT l.doc_id, l.line, l.raw FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.line = g.line WHERE g.line IS NULL),
+        t AS (SELECT doc_id, string_agg(raw, chr(10) ORDER BY line) AS text FROM r GROUP BY doc_id)
+        SELECT d.doc_id, len(string_split(coalesce(t.text, ''), chr(10))) AS n_lines, sha256(coalesce(t.text, '')) AS kept_sha256 FROM documents d LEFT JOIN t USING (doc_id)""",
     "op5_exact_dedup": r"""
         WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
