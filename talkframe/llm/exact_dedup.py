@@ -3,11 +3,13 @@
 Every text becomes the SHA-256 of its white-space-normalised form. Misra-Gries summaries, one a task and
 merged by summing, name the digests that may be frequent; an exact count verifies them. The verified winners
 (at most `counters` rows, so their broadcast is bounded) settle their copies on the map side, without moving
-a row; only the remaining digests, none of which is frequent, are shuffled.
+a row. The remaining digests are counted with a map-side combine and joined with their counts, so that a digest
+below the counters, which may still have many rows, is spread over tasks where the join is skewed.
 
 Defined results: a null text counts as empty; a null id never beats another one, and a group with null ids
 only keeps those rows; rows that repeat an id with the same text are one document and share its `kept`;
-an empty table gives an empty result; other columns are ignored.
+a text of any length is read whole;
+an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkframe.llm.common import SPACE_CLASS, written
@@ -69,11 +71,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .where(F.col("group_size") >= min_copies)
     )
     heavy = light.join(F.broadcast(winners), "text_sha256")
-    w = Window.partitionBy("text_sha256")
-    rest = (
-        light.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
-        .withColumns({"keep_id": F.min("doc_id").over(w), "group_size": F.count("*").over(w)})
-    )
+    rest = light.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
+    # a table of its own, so that the join can split a digest with many rows
+    groups = written(rest.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
+    rest = rest.join(groups, "text_sha256")
     columns = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"]
     return heavy.select(*columns).unionAll(rest.select(*columns))
 
