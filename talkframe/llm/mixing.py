@@ -2,17 +2,18 @@
 
 Targets come from water-filling; tokens are dealt in blocks of equal size. Integer block quotas go first to
 sources, then to the shards of each source, by highest quotients (size / (2 * seats + 1)). Within a shard the
-documents lie one after another in a seeded order, so each block is a range of words; a seeded permutation of
-the shard's blocks says which ones the quota takes, and a document's `taken` is its overlap with them. No block
+documents lie one after another in a seeded order, so each block is a range of words; a permutation of
+the shard's blocks, drawn by seed, source and shard, says which ones the quota takes, and a document's `taken` is its overlap with them. No block
 is taken more often than `max_repeats` times, so no document is either.
 
 Defined results: a null source is a source of its own, last in order; a null or empty text has size 0 and takes
 0; ties in the seeded order fall by id, then size; rows that repeat an id count each for themselves; an empty
-table gives an empty result; other columns are ignored. Reruns agree, whatever the partitioning.
+table gives an empty result; a text of any length is read whole; other columns are ignored, whatever their names. Reruns agree, whatever the partitioning.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
 from collections.abc import Callable, Sequence
@@ -24,6 +25,10 @@ from pyspark.sql import functions as F
 from talkframe.llm.common import word_count, written
 
 
+#: Sources up to which their targets are broadcast; beyond, they are joined by a shuffle.
+MOST_BROADCAST = 10_000
+
+
 def water_fill(sizes: Sequence[float], weights: Sequence[float], total: float, max_repeats: float) -> list[float]:
     """Shares of total by weight, none above max_repeats times its size; the excess is shared again by weight."""
     targets, open_, left = [0.0] * len(sizes), set(range(len(sizes))), float(total)
@@ -64,12 +69,13 @@ def sainte_lague(votes: Sequence[float], seats: int, caps: Sequence[int]) -> lis
     return got
 
 
-def _stride(n: int, seed: int) -> int:
-    """A multiplier without a common factor with n, near the golden section of n."""
-    a = max(1, int(n * 0.6180339887) + seed % 7)
+def keyed_permutation(n: int, *key: object) -> tuple[int, int]:
+    """(multiplier, offset) of a permutation i -> (i * multiplier + offset) mod n, drawn by the key."""
+    draw = hashlib.blake2b(repr(key).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    a, b = (int.from_bytes(draw[k : k + 8], "little") % n for k in (0, 8))
     while math.gcd(a, n) != 1:
         a += 1
-    return a
+    return a, b
 
 
 def repeating_weights(cycle: Sequence[float] = (5, 2, 1)) -> Callable[[list], list[float]]:
@@ -82,7 +88,7 @@ def mix(
     weights: Callable[[list], list[float]] | None = None, share: float = 1.5, max_repeats: int = 2,
     block_tokens: int = 8, rows_per_shard: int = 512, seed: int = 20240229,
 ) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken.
+    """One row per document: doc_id, size, source_size, target, taken, source.
 
     Sources are expected to be labels: their totals (one row each) come to the driver, documents never do.
     """
@@ -101,7 +107,7 @@ def mix(
     )
     key = lambda a, b: a["source"].eqNullSafe(b["source"])
     placed = (
-        light.join(F.broadcast(plan), key(light, plan), "inner").drop(plan["source"])
+        light.join(F.broadcast(plan) if len(stats) <= MOST_BROADCAST else plan, key(light, plan), "inner").drop(plan["source"])
         .withColumn("mix_key", F.xxhash64(F.lit(seed), "doc_id"))
         .withColumn("shard", F.pmod(F.xxhash64("mix_key"), F.col("shards")))
     )
@@ -110,14 +116,16 @@ def mix(
         pdf = pdf.sort_values("shard")
         n = -(-pdf["shard_size"] // block_tokens)
         got = sainte_lague(pdf["shard_size"].tolist(), int(pdf["quota"].iloc[0]), (max_repeats * n).tolist())
+        source = pdf["source"].iloc[0]
+        drawn = [keyed_permutation(max(int(k), 1), seed, source if isinstance(source, str) else None, int(s)) for k, s in zip(n, pdf["shard"], strict=True)]
         return pd.DataFrame({
             "source": pdf["source"], "shard": pdf["shard"], "blocks": n, "passes": [g // max(k, 1) for g, k in zip(got, n, strict=True)],
-            "extra": [g % max(k, 1) for g, k in zip(got, n, strict=True)], "stride": [_stride(max(k, 1), seed) for k in n],
+            "extra": [g % max(k, 1) for g, k in zip(got, n, strict=True)], "stride": [a for a, _ in drawn], "first": [b for _, b in drawn],
         })
 
     dealt = (
         placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"))
-        .groupBy("source").applyInPandas(deal, "source string, shard long, blocks long, passes long, extra long, stride long")
+        .groupBy("source").applyInPandas(deal, "source string, shard long, blocks long, passes long, extra long, stride long, first long")
     )
     w = Window.partitionBy("source", "shard").orderBy("mix_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     laid = placed.withColumn("end", F.sum("size").over(w)).withColumn("begin", F.col("end") - F.col("size"))
@@ -125,6 +133,6 @@ def mix(
     overlap = F.expr(f"""
         aggregate(
             if(size > 0 and extra > 0, sequence(begin div {block_tokens}, (end - 1) div {block_tokens}), cast(array() as array<bigint>)), 0L,
-            (taken, i) -> taken + if(pmod(i * stride + {seed}L, blocks) < extra,
+            (taken, i) -> taken + if(pmod(i * stride + first, blocks) < extra,
                 least(end, (i + 1) * {block_tokens}) - greatest(begin, i * {block_tokens}), 0L))""")
-    return both.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + overlap).cast("long").alias("taken"))
+    return both.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + overlap).cast("long").alias("taken"), "source")
