@@ -6,8 +6,9 @@ in rank order. A merge touches its two neighbours only, and puts the pairs that
 of pairs are the ranks of their joined bytes; when a merge makes a pair of lower rank, the other places of the
 current rank in that piece wait for it, which gives the same ids as merging each piece by itself.
 
-Defined results: a null or empty text has no ids; pieces that are a token by themselves keep that token; an
-empty table gives an empty result; other columns are ignored.
+Defined results: a null or empty text has no ids; pieces that are a token by themselves keep that token; a text
+of any length is read whole; rows that repeat an id are encoded each; an empty table gives an empty result; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -153,12 +154,13 @@ class Bpe:
 
     def encode_block(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.find(t) for t in texts]
+        distinct = dict.fromkeys(texts)  # copies of a text are encoded once a block
+        split = {t: self.find(t) for t in distinct}
         if len(self.known) > self.remember:  # what was met since the last turn stays for one more
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         fresh: dict[str, None] = {}
-        for s in split:
+        for s in split.values():
             for p in s:
                 if p not in known:
                     if p in older:
@@ -166,8 +168,10 @@ class Bpe:
                     else:
                         fresh[p] = None
         self.learn(fresh)
-        for s in split:
-            yield b"".join([known[p] for p in s])
+        for t, s in split.items():
+            distinct[t] = b"".join([known[p] for p in s])
+        for t in texts:
+            yield distinct[t]
 
     def decode(self, ids: bytes) -> bytes:
         tokens = self.tokens
@@ -217,7 +221,11 @@ def digests(docs: DataFrame, path: str, pattern: str, block_chars: int = 1 << 20
         c = coder(path, pattern)
         for b in batches:
             for ids, texts in _blocks(b, block_chars):
-                rows = [(len(p) // 4, hashlib.sha256(p).hexdigest(), hashlib.sha256(c.decode(p)).hexdigest()) for p in c.encode_block(texts)]
+                rows, done = [], {}
+                for p in c.encode_block(texts):
+                    if p not in done:
+                        done[p] = (len(p) // 4, hashlib.sha256(p).hexdigest(), hashlib.sha256(c.decode(p)).hexdigest())
+                    rows.append(done[p])
                 n, a, d = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())],
