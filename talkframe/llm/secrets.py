@@ -6,17 +6,19 @@ Base kinds are patterns: `assign` (a credential's name, a sign, a value of at le
 The method adds `random` spans. Candidates are maximal runs of `[A-Za-z0-9+/_-]` of at least 20 characters.
 Each has an inferred encoding (the smallest of ALPHABETS that holds it) and is tested against uniform draws from
 that alphabet: chi-squared over the alphabet (Wilson-Hilferty), runs above and below the alphabet's middle, and
-serial correlation of neighbours; the smallest of the three p-values times three must not fall below
-`uniform_level`. Against ordinary text stands the likelihood ratio of uniform draws from the inferred alphabet to
-text: classes follow each other by TEXT_NEXT, letters by the pairs counted in the table outside of candidates. Under
-text a ratio of r or more has a chance of 1 / r at most (Markov), after a share for each encoding that could have
-been inferred. These p-values are held to a false-discovery rate by Benjamini-Hochberg within each stratum of
-lengths, from counts in bins (a few thousand rows whatever the input). A candidate that passes both and overlaps
-no base span is a `random` span.
+serial correlation of neighbours; three times the smallest of the three p-values is the candidate's p-value. Within
+each stratum of lengths (powers of two) Benjamini-Hochberg finds those that aren't uniform draws, at `uneven_rate`:
+a long identifier fails on a small departure, a short secret isn't lost to one test of many. Of what is left, text
+that looks uniform is sorted out by the likelihood ratio of uniform draws from the inferred alphabet to text: classes
+follow each other by TEXT_NEXT, letters by the pairs counted in the table outside of candidates. Under text a ratio of
+r or more has a chance of 1 / r at most (Markov), after a share for each encoding that could have been inferred; these
+p-values are held to `rate` by Benjamini-Hochberg within the same strata. Both come from counts in bins (a few thousand
+rows whatever the input). A candidate that passes both and overlaps no base span is a `random` span.
 
 Spans are kind:start:end in code points, end exclusive, by start and then by kind as listed (assign, access,
 hex, random), comma-joined. Defined results: a null text counts as empty and has no spans; rows that repeat an
-id are scanned each; a null id stays null; an empty table gives an empty result; other columns are ignored.
+id are scanned each; a null id stays null; a text of any length and with any number of matches is read whole; an empty
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talkframe.llm.common import written
+
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # 18 characters in all
 HEX = r"[0-9a-f]{16,}"
@@ -56,19 +60,21 @@ def _quoted(pattern: str) -> str:
 
 
 def _spans(kind: int, pattern: str, value_at_least: int = 0) -> Column:
-    """array<struct<start, kind, end>> of a pattern's matches in `text`; places come from the pieces between matches."""
-    keep = f"filter({{}}, s -> length(element_at(values, s.i + 1)) >= {value_at_least})" if value_at_least else "{}"
+    """array<struct<start, kind, end>> of a pattern's matches in `text`; places come from the pieces between matches.
+
+    Lengths are summed in runs of about the root of their number, so many matches don't make it slow.
+    """
     values = f"regexp_extract_all(text, {_quoted(pattern)}, 2)" if value_at_least else "array('')"
-    walked = """aggregate(sequence(0, size(found) - 1),
-        struct(0 AS at, cast(array() AS array<struct<start: int, end: int, i: int>>) AS done),
-        (a, i) -> struct(
-            a.at + length(element_at(pieces, i + 1)) + length(element_at(found, i + 1)) AS at,
-            concat(a.done, array(struct(a.at + length(element_at(pieces, i + 1)) AS start,
-                                        a.at + length(element_at(pieces, i + 1)) + length(element_at(found, i + 1)) AS end, i AS i))) AS done)).done"""
-    with_parts = f"transform(array(struct(split(text, {_quoted(pattern)}, -1) AS pieces, regexp_extract_all(text, {_quoted(pattern)}, 0) AS found, {values} AS values)), p -> transform({keep.format(walked)}, s -> struct(s.start AS start, {kind} AS kind, s.end AS end)))[0]"
-    for name in ("pieces", "found", "values"):
-        with_parts = with_parts.replace(f"({name}", f"(p.{name}")
-    return F.expr(f"if(text rlike {_quoted(pattern)}, {with_parts}, cast(array() AS array<struct<start: int, kind: int, end: int>>))")
+    sizes = f"""transform(array(struct(split(text, {_quoted(pattern)}, -1) AS pieces, regexp_extract_all(text, {_quoted(pattern)}, 0) AS found, {values} AS vals)), p -> struct(
+        transform(p.found, (f, i) -> struct(length(get(p.pieces, i)) AS gap, length(f) AS size, {"length(get(p.vals, i))" if value_at_least else "0"} AS val)) AS m,
+        greatest(16, int(ceil(sqrt(size(p.found))))) AS per))"""
+    runs = f"transform({sizes}, p -> transform(sequence(0, (size(p.m) - 1) div p.per), c -> slice(p.m, int(c * p.per + 1), p.per)))[0]"
+    walked = """aggregate(run, struct(from AS at, cast(array() AS array<struct<start: int, end: int, val: int>>) AS done),
+        (a, x) -> struct(a.at + x.gap + x.size AS at, concat(a.done, array(struct(a.at + x.gap AS start, a.at + x.gap + x.size AS end, x.val AS val))) AS done)).done"""
+    starts = "aggregate(runs, struct(0 AS at, cast(array() AS array<int>) AS done), (a, r) -> struct(aggregate(r, a.at, (n, x) -> n + x.gap + x.size) AS at, concat(a.done, array(a.at)) AS done)).done"
+    all_ = f"transform(array({runs}), runs -> flatten(zip_with(runs, {starts}, (run, from) -> {walked})))[0]"
+    spans = f"transform(filter({all_}, s -> s.val >= {value_at_least}), s -> struct(s.start AS start, {kind} AS kind, s.end AS end))"
+    return F.expr(f"if(text rlike {_quoted(pattern)}, {spans}, cast(array() AS array<struct<start: int, kind: int, end: int>>))")
 
 
 def _joined(spans: str) -> str:
@@ -117,7 +123,7 @@ def _text_costs(pairs: Mapping[str, int]) -> Column:
 
 
 def battery(df: DataFrame, column: str = "candidates", keep: tuple[str, ...] = ("start", "end", "token"), pairs: Mapping[str, int] | None = None) -> DataFrame:
-    """Adds encoding, p_uniform (combined), score (-log10 p against ordinary text with these pairs of letters), stratum and bin to the structs of an array column, which have a `token`."""
+    """Adds encoding, p_uniform (combined), score (-log10 p against ordinary text with these pairs of letters), stratum, and the bins of both (`uneven` and `bin`) to the structs of an array column, which have a `token`."""
     costs = _text_costs(pairs or {})
     choices = len(ALPHABETS) + len(ONE_CASE)
 
@@ -170,8 +176,11 @@ def battery(df: DataFrame, column: str = "candidates", keep: tuple[str, ...] = (
         against = s["cost"] - (n - 1) * F.log10(s["k"]) - math.log10(choices)
         return {"p_uniform": F.least(3 * least, F.lit(1.0)), "score": F.greatest(against, F.lit(0.0))}
 
+    def binned(units):
+        return F.least((units * BINS_PER_UNIT).cast("int"), F.lit(MOST_BINS))
+
     def placed(s):
-        return {"stratum": F.least(F.log2(F.length(s["token"]).cast("double")).cast("int"), F.lit(16)), "bin": F.least((s["score"] * BINS_PER_UNIT).cast("int"), F.lit(MOST_BINS))}
+        return {"stratum": F.least(F.log2(F.length(s["token"]).cast("double")).cast("int"), F.lit(16)), "bin": binned(s["score"]), "uneven": binned(-F.log10(F.greatest(s["p_uniform"], F.lit(1e-300))))}
 
     df = _step(df, column, alphabet, keep)
     df = _step(df, column, plain, (*keep, "encoding"))
@@ -182,9 +191,9 @@ def battery(df: DataFrame, column: str = "candidates", keep: tuple[str, ...] = (
     return _step(df, column, placed, (*keep, "encoding", "p_uniform", "score"))
 
 
-def thresholds(tested: DataFrame, rate: float) -> DataFrame:
-    """(stratum, least_bin): the bin from which a stratum's candidates keep the false-discovery rate (Benjamini-Hochberg)."""
-    bins = tested.groupBy("stratum", "bin").agg(F.count("*").alias("n"))
+def thresholds(tested: DataFrame, column: str, rate: float) -> DataFrame:
+    """(stratum, least_bin): the bin of a column, -log10 of p, from which a stratum's candidates are discoveries at a false-discovery rate (Benjamini-Hochberg)."""
+    bins = tested.groupBy("stratum", F.col(column).alias("bin")).agg(F.count("*").alias("n"))
     steps = bins.groupBy("stratum").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("b"))  # at most 401 bins
     all_ = "aggregate(b, 0L, (a, x) -> a + x.n)"
     least = F.expr(f"array_min(transform(filter(b, x -> {all_} * pow(10D, -x.bin / {BINS_PER_UNIT}D) <= {rate}D * aggregate(filter(b, y -> y.bin >= x.bin), 0L, (a, y) -> a + y.n)), x -> x.bin))")
@@ -199,20 +208,25 @@ def _candidates(texts: DataFrame, based: bool) -> DataFrame:
     return out.withColumn("candidates", F.expr("""transform(candidates, s -> struct(s.start AS start, s.end AS end, substring(text, s.start + 1, s.end - s.start) AS token))"""))
 
 
-def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", uniform_level: float = 0.001, rate: float = 0.01) -> DataFrame:
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", uneven_rate: float = 0.01, rate: float = 0.01) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, n_random, base_spans and spans.
 
-    Three passes over the texts, all on the map side; between them the pairs of letters and each stratum's threshold (676 and 17 numbers at most).
+    uneven_rate: false-discovery rate at which candidates are found not to be uniform draws; rate: that at which they
+    are found not to be text. Two passes over the texts, on the map side: the pairs of letters, then everything else,
+    written without the texts; thresholds (17 strata of each kind at most) come from what is written.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     pairs = text_pairs(texts)
-    drawn = battery(_candidates(texts.where(F.col("text").rlike(CANDIDATE)), False).select("candidates"), pairs=pairs)
-    least = thresholds(drawn.select(F.inline("candidates")), rate).collect()
-    limit = F.lit(None).cast("int")
-    of = lambda s: F.coalesce(*(F.when(s["stratum"] == r["stratum"], F.lit(r["least_bin"])) for r in least), limit)
-    found = battery(_candidates(texts, True).drop("text"), pairs=pairs)
+    found = battery(_candidates(texts, True).drop("text"), keep=("start", "end", "token"), pairs=pairs)
+    found = written(found.withColumn("candidates", F.transform("candidates", lambda s: s.dropFields("token"))))
+    tested = found.select(F.inline("candidates"))
+    limit = lambda column, r, only=None: {x["stratum"]: x["least_bin"] for x in thresholds(tested if only is None else tested.where(only), column, r).collect()}
+    at = lambda s, by: F.coalesce(*(F.when(s["stratum"] == k, F.lit(v)) for k, v in by.items()), F.lit(MOST_BINS + 1))
+    odd = limit("uneven", uneven_rate)
+    even = F.coalesce(*(F.when(F.col("stratum") == k, F.col("uneven") < v) for k, v in odd.items()), F.lit(True))
+    strange = limit("bin", rate, even)
     base = F.concat("assign", "access", "hex")
-    passed = F.filter("candidates", lambda s: (s["p_uniform"] >= uniform_level) & (s["bin"] >= of(s)))
+    passed = F.filter("candidates", lambda s: (s["uneven"] < at(s, odd)) & (s["bin"] >= at(s, strange)))
     found = found.withColumns({"base": base, "passed": passed})
     free = F.expr("transform(filter(passed, s -> NOT exists(base, b -> b.start < s.end AND s.start < b.end)), s -> struct(s.start AS start, 3 AS kind, s.end AS end))")
     found = found.withColumn("random", free)
