@@ -1,11 +1,18 @@
 """Media columns: MPEG transport streams (ISO/IEC 13818-1).
 
-`mux` stores bytes as access units in PES packets of a one-programme stream; `demux` parses any 188-byte
-stream: programme association and map tables with their CRC, continuity counters, elementary packets, time
-stamps, random-access points. Bytes are stored as they are, so a round trip is lossless.
+`mux` stores bytes as access units in PES packets of a one-programme stream; `demux` parses any stream of 188-byte
+packets: programme association and map tables with their CRC, over as many packets as a section takes, continuity
+counters, elementary packets, time stamps, random-access points. Bytes are stored as they are, so a round trip is
+lossless.
+
+Of damaged streams: a section that never gets complete is dropped, one with a wrong CRC or without room for its header
+is counted in crc_errors; an elementary packet without room for its header is dropped and one that is shorter than it
+says is kept as far as it goes, both counted in cut_units; packets with the error bit, scrambled ones and ones whose
+adaptation field is too long are counted in bad_packets and skipped. A stream that isn't whole packets raises ValueError.
 
 Defined results: a null text counts as empty and has a payload of padding only; every payload has at least one
-access unit; equal texts have equal values; an empty table gives an empty result; other columns are ignored.
+access unit; equal texts have equal values, so rows that repeat an id or a text each have their own; a text of any
+length is stored whole; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -116,18 +123,83 @@ class Stream:
     continuity_errors: int = 0
     crc_errors: int = 0
     clocks: int = 0
+    cut_units: int = 0
+    bad_packets: int = 0
 
 
 def _read_stamp(b: bytes) -> int:
     return (b[0] >> 1 & 7) << 30 | b[1] << 22 | (b[2] >> 1) << 15 | b[3] << 7 | b[4] >> 1
 
 
-def _sections(data: bytes) -> Iterator[bytes]:
-    at = 1 + data[0]
-    while at + 3 <= len(data) and data[at] != 0xFF:
-        size = 3 + ((data[at + 1] & 0x0F) << 8 | data[at + 2])
-        yield data[at : at + size]
-        at += size
+class _Sections:
+    """Sections of one PID, put together over packets."""
+
+    def __init__(self):
+        self.open: bytearray | None = None
+
+    def feed(self, data: bytes, start: bool) -> Iterator[bytes]:
+        if start:
+            skip = data[0] if data else 0
+            if self.open is not None:  # the rest of the section before
+                self.open += data[1 : 1 + skip]
+                yield from self._complete()
+            self.open = bytearray(data[1 + skip :])
+        elif self.open is not None:
+            self.open += data
+        yield from self._complete()
+
+    def _complete(self) -> Iterator[bytes]:
+        at, data = 0, self.open or b""
+        while at + 3 <= len(data) and data[at] != 0xFF:
+            size = 3 + ((data[at + 1] & 0x0F) << 8 | data[at + 2])
+            if at + size > len(data):
+                break
+            yield bytes(data[at : at + size])
+            at += size
+        if self.open is not None:
+            del self.open[:at]
+            if self.open[:1] == b"\xff":  # stuffing up to the next start
+                self.open = None
+
+
+#: Stream ids whose PES packets have no flags and no time stamps: maps, padding, private stream 2, ECM, EMM, DSM-CC, H.222.1 type E, directory.
+_PLAIN_PES = {0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF}
+
+
+def _unit(pid: int, random: bool, pes: bytes, got: Stream) -> None:
+    """Add an elementary packet to what was found."""
+    if pes[:3] != b"\x00\x00\x01":
+        return
+    size = pes[4] << 8 | pes[5] if len(pes) >= 6 else 0
+    plain = len(pes) >= 6 and pes[3] in _PLAIN_PES
+    if len(pes) < (6 if plain else 9):
+        got.cut_units += 1
+        return
+    got.cut_units += bool(size) and len(pes) < 6 + size
+    pes = pes[: 6 + size] if size else pes
+    if plain:
+        got.units.append((pid, pes[3], None, None, random, pes[6:]))
+        return
+    if len(pes) < 9 or len(pes) < 9 + pes[8]:
+        got.cut_units += 1
+        return
+    head = pes[9 : 9 + pes[8]]
+    pts = _read_stamp(head[:5]) if pes[7] & 0x80 and len(head) >= 5 else None
+    dts = _read_stamp(head[5:10]) if pes[7] & 0x40 and len(head) >= 10 else pts
+    got.units.append((pid, pes[3], pts, dts, random, pes[9 + pes[8] :]))
+
+
+def _read_section(s: bytes, got: Stream) -> None:
+    if len(s) < 12 or crc32_mpeg(s):
+        got.crc_errors += 1
+    elif s[0] == 0:
+        body = s[8:-4]
+        got.programs |= {n: p & 0x1FFF for n, p in struct.iter_unpack(">HH", body[: len(body) // 4 * 4]) if n}
+    elif s[0] == 2:
+        x, end = 12 + ((s[10] & 0x0F) << 8 | s[11]), len(s) - 4
+        while x + 5 <= end:
+            got.streams[(s[x + 1] & 0x1F) << 8 | s[x + 2]] = s[x]
+            x += 5 + ((s[x + 3] & 0x0F) << 8 | s[x + 4])
 
 
 def demux(stream: bytes) -> Stream:
@@ -141,22 +213,19 @@ def demux(stream: bytes) -> Stream:
     pids = ((rows[:, 1] & 0x1F).astype(np.int32) << 8 | rows[:, 2]).tolist()
     starts = (rows[:, 1] & 0x40 != 0).tolist()
     control, extra = rows[:, 3].tolist(), rows[:, 4].tolist()
+    bad = ((rows[:, 1] & 0x80 != 0) | (rows[:, 3] & 0xC0 != 0) | ((rows[:, 3] & 0x20 != 0) & (rows[:, 4] > PACKET - 5))) & (np.array(pids) != NULL_PID)
+    got.bad_packets = int(bad.sum())
+    bad = bad.tolist()
     last: dict[int, int] = {}
     open_: dict[int, list] = {}
+    tables: dict[int, _Sections] = {}
 
     def close(pid: int) -> None:
         random, parts = open_.pop(pid)
-        pes = b"".join(parts)
-        if pes[:3] != b"\x00\x00\x01":
-            return
-        size = pes[4] << 8 | pes[5]
-        pes = pes[: 6 + size] if size else pes
-        pts = _read_stamp(pes[9:14]) if pes[7] & 0x80 else None
-        dts = _read_stamp(pes[14:19]) if pes[7] & 0x40 else pts
-        got.units.append((pid, pes[3], pts, dts, random, pes[9 + pes[8] :]))
+        _unit(pid, random, b"".join(parts), got)
 
     for i, (pid, start, c) in enumerate(zip(pids, starts, control, strict=True)):
-        if pid == NULL_PID:
+        if pid == NULL_PID or bad[i]:
             continue
         at, random, jump = i * PACKET + 4, False, False
         if c & 0x20:
@@ -172,21 +241,14 @@ def demux(stream: bytes) -> Stream:
         if pid in last and not jump:
             if count == last[pid]:  # a packet may be sent twice
                 continue
-            got.continuity_errors += count != (last[pid] + 1) & 15
+            if count != (last[pid] + 1) & 15:
+                got.continuity_errors += 1
+                tables.pop(pid, None)
         last[pid] = count
         data = stream[at : (i + 1) * PACKET]
         if pid == PAT_PID or pid in got.programs.values():
-            if start:
-                for s in _sections(data):
-                    if crc32_mpeg(s):
-                        got.crc_errors += 1
-                    elif s[0] == 0:
-                        got.programs |= {n: p & 0x1FFF for n, p in struct.iter_unpack(">HH", s[8:-4]) if n}
-                    elif s[0] == 2:
-                        x = 12 + ((s[10] & 0x0F) << 8 | s[11])
-                        while x < len(s) - 4:
-                            got.streams[(s[x + 1] & 0x1F) << 8 | s[x + 2]] = s[x]
-                            x += 5 + ((s[x + 3] & 0x0F) << 8 | s[x + 4])
+            for s in tables.setdefault(pid, _Sections()).feed(data, start):
+                _read_section(s, got)
         elif pid in got.streams:
             if start:
                 if pid in open_:
@@ -204,62 +266,56 @@ def padded(data: bytes, unit: int = UNIT) -> bytes:
 
 
 SCHEMA = (
-    "doc_id long, media binary, n_bytes long, payload binary, programs long, streams long, packets long, pes long, units long, "
-    "random_access long, first_pts long, last_pts long, pts_list array<long>, random_access_list array<long>, clocks long, continuity_errors long, crc_errors long"
+    "doc_id long, n_bytes long, media binary, payload binary, programs long, streams long, packets long, clocks long, continuity_errors long, crc_errors long, "
+    "pts array<long>, random_access array<long>"
 )
-
-
-def _stored(data: bytes) -> tuple[bytes, bytes, Stream]:
-    media = mux(padded(data))
-    got = demux(media)
-    return media, b"".join(u[5] for u in got.units), got
-
-
-def to_transport_streams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: the stored stream, the payload read back from it, and what the parser found."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part, rows = b.slice(at, 256), []
-                for i, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    media, payload, got = _stored(x)
-                    stamps = [u[2] for u in got.units]
-                    rows.append((
-                        i, media, len(x), payload, len(got.programs), len(got.streams), got.packets, len(got.units), len(payload) // UNIT, sum(u[4] for u in got.units),
-                        stamps[0], stamps[-1], stamps, [u[2] for u in got.units if u[4]], got.clocks, got.continuity_errors, got.crc_errors,
-                    ))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
-
-    data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), data.alias("data")).mapInArrow(run, SCHEMA)
-
-
 _KINDS = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 _TYPES = [_KINDS[x.split()[1]] for x in SCHEMA.split(", ")]
+#: Bytes of text after which a batch of streams is handed on.
+BATCH = 1 << 22
+
 
+def to_transport_streams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: the stored stream (media), the payload read back from it, and what the parser found.
 
-def digests(docs: DataFrame) -> DataFrame:
-    """The digest columns of the stored streams; the bytes themselves stay inside the tasks."""
+    pts has the time stamp of every elementary packet and random_access those at random-access points, in 90 kHz ticks.
+    """
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            rows, size = [], 0
             for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 data = x.as_py()
-                media, payload, got = _stored(data)
-                stamps, random = [u[2] for u in got.units], [u[2] for u in got.units if u[4]]
-                feature = (
-                    f"programs={len(got.programs)};streams={len(got.streams)};packets={got.packets};pes={len(got.units)};units={len(payload) // UNIT};"
-                    f"pts={stamps[0]}..{stamps[-1]};random_access={len(random)};clocks={got.clocks};continuity_errors={got.continuity_errors};crc_errors={got.crc_errors}"
-                )
-                rows.append((i, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+                media = mux(padded(data))
+                got = demux(media)
+                rows.append((
+                    i, len(data), media, b"".join(u[5] for u in got.units), len(got.programs), len(got.streams), got.packets, got.clocks,
+                    got.continuity_errors, got.crc_errors, [u[2] for u in got.units], [u[2] for u in got.units if u[4]],
+                ))
+                size += len(data)
+                if size >= BATCH:
+                    yield batch(rows)
+                    rows, size = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                yield batch(rows)
+
+    data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), data.alias("data")).mapInArrow(run, SCHEMA)
+
 
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), data.alias("data")).mapInArrow(run, schema)
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The digest columns of the stored streams, with the time stamps and the random-access points."""
+    feature = F.concat_ws(
+        ";", *(F.concat(F.lit(f"{k}="), F.col(k).cast("string")) for k in ("programs", "streams", "packets")), F.concat(F.lit("pes="), F.size("pts").cast("string")),
+        F.concat(F.lit("units="), (F.length("payload") / UNIT).cast("long").cast("string")), F.concat(F.lit("pts="), F.get("pts", F.lit(0)), F.lit(".."), F.element_at("pts", -1)),
+        F.concat(F.lit("random_access="), F.size("random_access").cast("string")), *(F.concat(F.lit(f"{k}="), F.col(k).cast("string")) for k in ("clocks", "continuity_errors", "crc_errors")),
+    )
+    tail = F.crc32(F.expr("substring(payload, -32, 32)"))
+    return to_transport_streams(docs, id_col, text_col).select(
+        "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), tail.alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"), "pts", "random_access",
+    )
