@@ -4,12 +4,14 @@ One gated recurrent unit reads a window of bytes forwards, another backwards; a
 every position, and a document's probabilities are the mean over all its positions. The network is trained here,
 in numpy, by backpropagation through time (Adam). Texts are read whole, as consecutive windows of `WINDOW` bytes.
 
-Training takes at most `per_language` labelled documents a language, chosen by a seeded hash of the id, and
-`cuts` stretches of each at seeded places; both bounds are parameters. Only bytes reach the network.
+Training takes at most `per_language` labelled documents a language, chosen by a seeded hash of the id among those of
+at most `longest` bytes; both bounds on rows are parameters. Their texts are used whole, as consecutive windows, and
+there are as many steps as it takes to see each window at least once. Only bytes reach the network.
 
 Defined results: a null text and a text without a letter are `und` with score 0; without any labelled row every
 text is `und`; rows that repeat an id are predicted each; ties go to the first language in code-point order; an
-empty table gives an empty result; other columns are ignored.
+empty table gives an empty result; a text of any length is predicted whole; other columns pass unchanged or, in
+`language_id`, are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -162,7 +164,7 @@ class Network:
         for at in range(0, len(doc), columns):
             s, size = start[at : at + columns], left[at : at + columns]
             real = step < size[None, :]
-            x = np.where(real, data[s[None, :] + step], PAD)
+            x = np.where(real, data[s[None, :] + step].astype(np.int64), PAD)
             p = self.positions(x)
             if (size < WINDOW).any():
                 p *= real[:, None, :]
@@ -178,21 +180,32 @@ class Network:
         return out
 
 
-def train(samples: list[tuple[str, bytes]], steps: int = 260, batch: int = 96, length: int = 64, hidden: int = HIDDEN, rate: float = 0.02, seed: int = 3) -> Network:
-    """A network from (language, bytes) stretches; each batch has as many of every language."""
+def windows_of(texts: list[bytes], length: int) -> np.ndarray:
+    """All consecutive windows of whole texts, a row each; the last one of a text is padded."""
+    out = np.full((sum(-(-len(t) // length) for t in texts), length), PAD, np.int16)
+    at = 0
+    for t in texts:
+        n = -(-len(t) // length)
+        out[at : at + n].reshape(-1)[: len(t)] = np.frombuffer(t, np.uint8)
+        at += n
+    return out
+
+
+def train(samples: list[tuple[str, bytes]], steps: int = 300, batch: int = 256, length: int = 64, hidden: int = HIDDEN, rate: float = 0.02, seed: int = 3) -> Network:
+    """A network from (language, whole text) rows, in at least `steps` steps; each has as many windows of every language."""
     rng = np.random.default_rng(seed)
-    languages = sorted({s for s, _ in samples})
-    by = [[b for s, b in samples if s == lang] for lang in languages]
+    languages = sorted({s for s, t in samples if t})
+    by = [windows_of([t for s, t in samples if s == lang], length) for lang in languages]
     net = Network(languages, Direction.random(rng, hidden), Direction.random(rng, hidden), rng.normal(0, 0.3, (len(languages), 2 * hidden + 1)).astype(np.float32))
     if len(languages) < 2:
         return net
+    each = max(1, batch // len(languages))
+    steps = max(steps, -(-max(map(len, by)) // each))
+    y = np.repeat(np.arange(len(languages)), each)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
+    turns = [rng.permutation(len(w)) for w in by]
     for step in range(1, steps + 1):
-        y = np.arange(max(batch, len(languages))) % len(languages)
-        x = np.full((length, len(y)), PAD, np.int64)
-        for c, k in enumerate(y):
-            b = by[k][rng.integers(len(by[k]))][:length]
-            x[: len(b), c] = np.frombuffer(b, np.uint8)
+        x = np.concatenate([np.take(w, turn[np.arange((step - 1) * each, step * each) % len(w)], axis=0) for w, turn in zip(by, turns, strict=True)]).T.astype(np.int64)
         _, grads = net.gradients(x, y)
         norm = np.sqrt(sum(float((g.astype(np.float64) ** 2).sum()) for g in grads))
         lr = rate * min(1.0, 3 * (1 - step / (steps + 1)))
@@ -206,22 +219,23 @@ def train(samples: list[tuple[str, bytes]], steps: int = 260, batch: int = 96, l
     return net
 
 
-def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, cuts: int = 4, length: int = 64, seed: int = 9) -> Network | None:
+def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, longest: int = 1 << 18, length: int = 64, seed: int = 9) -> Network | None:
     """A network from a bounded sample of the usable rows with a language; None without any."""
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
         F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("b"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("draw")
-    )
-    n = rows.groupBy("lang").count()
+    ).where(F.length("b") <= longest)
+    # each language is an output of the network, so its counts are few
+    n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not n:
+        return None
     # enough of each language in expectation, then the first by hash; the driver never sees more than a few times the bound
-    drawn = rows.join(F.broadcast(n), "lang").where(F.pmod("draw", F.lit(1_000_003)) < F.lit(1_000_003 * 2.0 * per_language) / F.col("count"))
-    places = F.expr(f"transform(sequence(1, {cuts}), k -> substring(b, 1 + cast(pmod(xxhash64(draw, k), greatest(length(b) - {length}, 0) + 1) as int), {length}))")
-    got = sorted((r["lang"], r["draw"], [bytes(x) for x in r["cut"]]) for r in drawn.select("lang", "draw", places.alias("cut")).collect())
+    share = F.element_at(F.create_map(*(x for lang, k in n.items() for x in (F.lit(lang), F.lit(1_000_003 * 2.0 * per_language / k)))), F.col("lang"))
+    got = sorted((r["lang"], r["draw"], bytes(r["b"])) for r in rows.where(F.pmod("draw", F.lit(1_000_003)) < share).collect())
     taken: dict[str, list] = {}
-    for lang, _, cut in got:
+    for lang, _, text in got:
         if len(taken.setdefault(lang, [])) < per_language:
-            taken[lang].append(cut)
-    samples = [(lang, b) for lang, rows_ in taken.items() for cut in rows_ for b in cut if b]
-    return train(samples, length=length) if samples else None
+            taken[lang].append(text)
+    return train([(lang, t) for lang, texts in taken.items() for t in texts], length=length)
 
 
 def predicted(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
