@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 #: White space of the operators here: the blank and the five ASCII controls from tab to carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
+_FALLBACK = "TALKFRAME_LOCAL_FOLDER"
 #: Byte values that separate words.
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
@@ -20,12 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only where everything runs in this process."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = getattr(shared_dir, "fallback", None) or tempfile.mkdtemp(prefix="talkframe-")
-        shared_dir.fallback = configured
-    return configured
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if _FALLBACK not in os.environ:
+        os.environ[_FALLBACK] = tempfile.mkdtemp(prefix="talkframe-")
+    return os.environ[_FALLBACK]
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ AWKWARD = [
 
 def frame(spark, rows, extra=False):
     df = spark.createDataFrame(rows, SCHEMA)
-    return df.selectExpr("*", "doc_id AS id", "'x' AS size", "1 AS taken", "'y' AS kept", "0 AS score", "'z' AS token", "2 AS component", "3 AS owner") if extra else df
+    return df.selectExpr("*", "doc_id AS id", "'x' AS size", "1 AS taken", "'y' AS kept", "0 AS score", "'z' AS token", "2 AS component", "3 AS owner", "4 AS removed", "5 AS fingerprint", "'w' AS line", "6 AS lines") if extra else df
 
 
 def lowered(text):

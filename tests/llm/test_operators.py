@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -86,6 +87,50 @@ def test_language_held_out_accuracy(spark):
     assert got.score.between(0, 1).all()
 
 
+def test_training_reads_whole_texts():
+    texts = [b"a" * 200, b"xyz", bytes(range(128))]
+    w = language.windows_of(texts, 64)
+    assert w.shape == (4 + 1 + 2, 64) and [bytes(x[x != language.PAD].astype(np.uint8)) for x in w] == [b"a" * 64] * 3 + [b"a" * 8, b"xyz", bytes(range(64)), bytes(range(64, 128))]
+    # only the ends of long texts tell the languages apart
+    same = b"qrst " * 60
+    net = language.train([("aa", same + b"abab abba baab " * 20)] * 8 + [("zz", same + b"xyzx yzzy xxyz " * 20)] * 8, steps=120, hidden=4)
+    assert net.label_positions(b"abba baab " * 12)[60] == "aa" and net.label_positions(b"xyzx yzzy " * 12)[60] == "zz"
+
+
+def plain_probabilities(net, text):
+    """Probabilities of a text by loops over its bytes, with scalars and small lists only."""
+    def run(d, x):
+        h, out = [0.0] * d.h, []
+        for b in x:
+            def row(k, gate, h=h, b=b):
+                return float(d.w[k, b]) + gate * sum(float(d.u[k, j]) * h[j] for j in range(d.h))
+
+            z = [1 / (1 + math.exp(-row(k, 1))) for k in range(d.h)]
+            r = [1 / (1 + math.exp(-row(d.h + k, 1))) for k in range(d.h)]
+            n = [math.tanh(row(2 * d.h + k, r[k])) for k in range(d.h)]
+            h = [z[k] * h[k] + (1 - z[k]) * n[k] for k in range(d.h)]
+            out.append(h)
+        return out
+
+    sums = [0.0] * len(net.languages)
+    for at in range(0, len(text), language.WINDOW):
+        x = text[at : at + language.WINDOW]
+        for f, b in zip(run(net.forward, x), run(net.backward, x[::-1])[::-1], strict=True):
+            e = [math.exp(sum(float(w) * v for w, v in zip(row, [*f, *b, 1.0], strict=True))) for row in net.out]
+            sums = [s + v / sum(e) for s, v in zip(sums, e, strict=True)]
+    return [s / len(text) for s in sums]
+
+
+def test_language_query_equals_plain_version(spark, sf, texts):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    net = language.fit(docs, language.fold(language.F.col("doc_id"), 3) != 1)
+    got = {r["doc_id"]: r for r in queries.op1_language_id(spark, sf).collect()}
+    for d, t in sorted(texts, key=lambda x: len(x[1] or ""))[20:60]:
+        if any(c.isalpha() for c in t or ""):
+            p = plain_probabilities(net, t.encode())
+            assert got[d]["lang_pred"] == net.languages[int(np.argmax(p))] and abs(got[d]["score"] - max(p)) < 1e-3
+
+
 def test_language_labels_positions_and_whole_texts():
     net = language.train([("aa", b"abab abba baab" * 4)] * 8 + [("zz", b"xyzx yzzy xxyz" * 4)] * 8, steps=60, hidden=4)
     text = b"abba baab " * 30 + b"xyzx yzzy " * 30
@@ -187,6 +232,30 @@ def test_secrets_of_every_encoding_pass_the_control(spark, texts, alphabet):
     assert sum(got[i] for i in range(180, 340)) <= 2
 
 
+def test_thresholds_equal_benjamini_hochberg(spark):
+    rng = random.Random(12)
+    rows = [(k, min(400, int(-10 * math.log10(rng.random() ** rng.choice([1, 1, 1, 20]))))) for k in (4, 5, 6) for _ in range(300)] + [(7, 0)] * 9
+    got = {r["stratum"]: r["least_bin"] for r in secrets.thresholds(spark.createDataFrame(rows, "stratum int, bin int"), "bin", 0.05).collect()}
+    for k in (4, 5, 6, 7):
+        p = sorted(10 ** (-b / 10) for s, b in rows if s == k)
+        found = max((i for i, x in enumerate(p, 1) if x <= 0.05 * i / len(p)), default=0)
+        assert (k in got) == bool(found) and (not found or {b for s, b in rows if s == k and b >= got[k]} == {b for s, b in rows if s == k and 10 ** (-b / 10) <= p[found - 1]})
+
+
+def test_many_matches_stay_linear(spark):
+    import time
+
+    def took(n):
+        text = " ".join(f"{i:016x} key-{i}" for i in range(n))
+        began = time.time()
+        got = secrets.secret_spans(H.frame(spark, [(1, text, None, None, None)])).collect()[0]
+        assert got["n_hex"] == n and got["base_spans"] == base_spans(text)
+        return time.time() - began
+
+    small, large = took(500), took(8000)
+    assert large < small + 4
+
+
 def test_secrets_awkward(spark):
     got = secrets.secret_spans(H.frame(spark, H.AWKWARD, True)).collect()
     assert len(got) == len(H.AWKWARD) and all(r["spans"] == "" for r in got)
@@ -269,23 +338,77 @@ def test_exact_groups(spark):
 # --- 6 toxicity
 
 
-def test_kneser_ney_sums_to_one():
-    model = toxicity.KneserNey({(0, "abba"): 3, (0, "bab"): 2, (1, "abab"): 2, (1, "bad"): 4})
-    below = toxicity.KneserNey._shared([{g: 1 for g in toxicity.grams("abba") + toxicity.grams("bad")}, {}], toxicity.ORDER)
-    alphabet = "abd\x03"
-    assert abs(sum(below("\x02\x02ab"[-4:] + c) for c in alphabet) - 1) < 0.3 and model.gram and model.context
+def plain_kneser_ney(words, n0, n1, order=toxicity.ORDER, discount=toxicity.DISCOUNT):
+    """P(class, gram) and the weight of backing off from a context, by dictionaries."""
+    from collections import Counter
+
+    grams = lambda w: [(chr(2) * (order - 1) + w + chr(3))[i : i + order] for i in range(len(w) + 1)]
+    top = [Counter(), Counter()]
+    for w, *n in zip(words, n0, n1, strict=True):
+        for c in (0, 1):
+            for g in grams(w) if n[c] else []:
+                top[c][g] += int(n[c])
+    levels, types = {}, set(top[0]) | set(top[1])
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in types)
+        types = set(levels[k])
+    alphabet = len(levels[1]) + 1
+
+    def below(g):
+        if not g:
+            return 1 / alphabet
+        of = {x: n for x, n in levels[len(g)].items() if x[:-1] == g[:-1]}
+        return below(g[1:]) if not of else max(of.get(g, 0) - discount, 0) / sum(of.values()) + discount * len(of) / sum(of.values()) * below(g[1:])
+
+    def back(c, h):
+        of = [n for x, n in top[c].items() if x[:-1] == h]
+        return discount * len(of) / sum(of) if of else 1.0
 
+    def prob(c, g):
+        of = [n for x, n in top[c].items() if x[:-1] == g[:-1]]
+        return (max(top[c][g] - discount, 0) / sum(of) if of else 0) + back(c, g[:-1]) * below(g[1:])
 
-def test_scorer_tables_equal_the_model():
+    return prob, back, grams, set(top[0]) | set(top[1])
+
+
+def test_kneser_ney_equals_a_plain_version_and_sums_to_one():
     rng = random.Random(4)
-    data = {(c, "".join(rng.choice("abcde") for _ in range(rng.randrange(1, 7)))): rng.randrange(1, 5) for c in (0, 1) for _ in range(60)}
-    model = toxicity.KneserNey(data)
-    scorer = toxicity.Scorer.of(model, 0.1)
-    names = [w for _, w in data] + ["zzz", "abz", "e" * 30]
-    scorer.learn(sorted(set(names)))
-    for w in names:
-        want = sum(model.gram.get(g, model.context.get(g[:-1], 0.0)) for g in toxicity.grams(w))
-        assert abs(scorer.known[w] - want) < 1e-4
+    names = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(40)})
+    n0, n1 = (np.array([rng.randrange(0, 4) for _ in names]) for _ in range(2))
+    used = (n0 + n1) > 0
+    names, n0, n1 = [w for w, u in zip(names, used, strict=True) if u], n0[used], n1[used]
+    prob, back, grams, types = plain_kneser_ney(names, n0, n1)
+    for c in (0, 1):
+        for h in sorted({g[:-1] for g in types})[:20]:
+            # all signs, and the one that stands for those never seen
+            assert abs(sum(prob(c, h + x) for x in "abc" + chr(3) + "?") - 1) < 1e-9
+    scorer = toxicity.Scorer(toxicity.kneser_ney(names, n0, n1), toxicity.whole_words(names, n0, n1), 0.1)
+    more = sorted({*names, "zzz", "abz", "c" * 30})
+    scorer.learn(more)
+    for w in more:
+        want = sum(math.log(prob(1, g) / prob(0, g)) if g in types else math.log(back(1, g[:-1]) / back(0, g[:-1])) for g in grams(w))
+        assert abs(scorer.ratios[0][scorer.known[w]] - want) < 1e-4
+
+
+def test_whole_words_sum_to_one():
+    rng = np.random.default_rng(3)
+    n0, n1 = rng.integers(0, 6, 300), rng.integers(0, 3, 300)
+    n0[:2], n1[:2] = 1, 0
+    both = (n0 > 0).astype(int) + (n1 > 0)
+    p = [(n - toxicity.discounts(n)) / n.sum() + toxicity.discounts(n).sum() / n.sum() * both / both.sum() for n in (n0, n1)]
+    assert all(abs(x.sum() - 1) < 1e-9 for x in p)
+    names = [f"w{i}" for i in range(300)]
+    keys, values = toxicity.whole_words(names, n0, n1)
+    at = np.searchsorted(keys, words.hashed(np.frombuffer(" ".join(names).encode(), np.uint8))[2])
+    seen = both > 0
+    assert np.allclose(values[at][seen], np.log(p[1][seen] / p[0][seen]), atol=1e-4)
+
+
+def test_toxicity_quality(spark):
+    d = "/root/testdata/sf0.1"
+    got = queries.op6_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").toPandas()
+    hit = ((got.predicted == 1) & (got.toxic == 1)).sum()
+    assert hit / (got.toxic == 1).sum() >= 0.9 and hit / (got.predicted == 1).sum() >= 0.93
 
 
 def test_toxicity_held_out(spark):
@@ -335,12 +458,13 @@ def lines_removed(rows, run=2, long=50):
     return {d: "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in gone[d]) for d, t in rows}
 
 
-def test_line_dedup_matches_brute_force(spark, texts):
-    rng = random.Random(6)
+@pytest.mark.parametrize("run, long", [(2, 50), (1, 50), (3, 50), (5, 50), (4, 1)])
+def test_line_dedup_matches_brute_force(spark, texts, run, long):
+    rng = random.Random(6 + run)
     pool = [f"line {i}" for i in range(12)] + [word_soup(rng, 55), "", "  "]
-    rows = [(d, "\n".join(rng.choice(pool) for _ in range(rng.randrange(0, 9)))) for d in range(60)] + [(1000 + d, t) for d, t in texts]
-    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(spark.createDataFrame([(d, t, None, None, None) for d, t in rows], H.SCHEMA)).collect()}
-    assert got == lines_removed(rows)
+    rows = [(d, "\n".join(rng.choice(pool[: rng.choice([3, 15])]) for _ in range(rng.randrange(0, 14)))) for d in range(60)] + [(1000 + d, t) for d, t in texts]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(spark.createDataFrame([(d, t, None, None, None) for d, t in rows], H.SCHEMA), run_lines=run, long_words=long).collect()}
+    assert got == lines_removed(rows, run, long)
 
 
 def test_line_dedup_awkward(spark):
@@ -350,6 +474,18 @@ def test_line_dedup_awkward(spark):
     assert line_dedup.line_dedup(H.frame(spark, [], True)).count() == 0
 
 
+def test_line_dedup_posts_window_minima_only(spark):
+    lines = spark.createDataFrame([(1, [0, 1, 2, 3, 4, 5], [5, 1, 4, 2, 2, 9], [0] * 6, [False] * 6)], "doc_id long, line array<int>, h array<long>, g array<long>, long array<boolean>")
+    got = sorted((r["fingerprint"], r["at"], [x["h"] for x in r["around"]]) for r in line_dedup._places(lines, 3).collect())
+    assert got == [(1, 1, [None, 5, 1, 4, 2]), (2, 4, [4, 2, 2, 9, None])]
+
+
+def test_one_line_in_every_document(spark):
+    rows = [(d, f"head {d}\nboilerplate one\ntail {d}", None, None, None) for d in (3, 1, 2)]
+    got = lambda **k: {r["doc_id"]: r["text"].count("boilerplate") for r in line_dedup.line_dedup(H.frame(spark, rows), **k).collect()}
+    assert got() == {1: 1, 2: 1, 3: 1} and got(run_lines=1) == {1: 1, 2: 0, 3: 0} and got(long_words=2) == {1: 1, 2: 0, 3: 0}
+
+
 # --- 8 transport streams
 
 
@@ -383,12 +519,84 @@ def test_demux_finds_faults():
     assert media.crc32_mpeg(b"123456789") == 0x0376E6E7
 
 
+def packets(pid, data, start=True, counter=0):
+    """Packets of one PID that carry data, the last one stuffed by an adaptation field."""
+    out = []
+    for k, at in enumerate(range(0, len(data), 184)):
+        part, c = data[at : at + 184], (counter + k) & 15
+        head = bytes((0x47, (0x40 if start and not k else 0) | pid >> 8, pid & 0xFF))
+        out.append(head + (bytes((0x10 | c,)) if len(part) == 184 else bytes((0x30 | c,)) + media._stuffed(b"", 184 - len(part))) + part)
+    return b"".join(out)
+
+
+def programme(streams):
+    pat = packets(0, b"\0" + media._section(0, 1, bytes((0, 1, 0xF0, 0x00))))
+    body = bytes((0xE1, 0x00, 0xF0, 0x00)) + b"".join(bytes((6, 0xE0 | p >> 8, p & 0xFF, 0xF0, 0)) for p in streams)
+    return pat, b"\0" + media._section(2, 1, body)
+
+
+def test_sections_over_packets():
+    pids = [0x100 + k for k in range(60)]
+    pat, pmt = programme(pids)
+    assert len(pmt) > 184
+    got = media.demux(pat + packets(0x1000, pmt))
+    assert got.programs == {1: 0x1000} and got.streams == dict.fromkeys(pids, 6) and not got.crc_errors
+    rows = packets(0x1000, pmt)
+    assert media.demux(pat + rows[:188]).streams == {}  # never complete
+    broken = bytearray(rows)
+    broken[250] ^= 4
+    assert media.demux(pat + bytes(broken)).crc_errors == 1
+    # a section that ends where the next one starts, by the pointer of the second packet
+    one, two = media._section(2, 1, pmt[9:-4]), media._section(2, 2, bytes((0xE1, 0x00, 0xF0, 0x00, 27, 0xE2, 0x00, 0xF0, 0)))
+    rest = one[183:]
+    second = bytes((0x47, 0x50, 0x00, 0x11)) + (bytes((len(rest),)) + rest + two).ljust(184, b"\xff")
+    got = media.demux(pat + packets(0x1000, b"\0" + one[:183]) + second)
+    assert got.streams == dict.fromkeys(pids, 6) | {0x200: 27} and not got.crc_errors
+
+
+@pytest.mark.parametrize("pes", [b"\0\0\1", b"\0\0\1\xbd", b"\0\0\1\xbd\0\0\x80", b"\0\0\1\xbd\0\3\x80\x80\5", b"\0\0\1\xbd\0\x40\x84\x80\5" + media._stamp(77) + b"short"])
+def test_short_elementary_packets(pes):
+    pat, pmt = programme([0x100])
+    got = media.demux(pat + packets(0x1000, pmt) + packets(0x100, pes))
+    assert got.cut_units == 1 and [(u[2], u[5]) for u in got.units] == ([(77, b"short")] if pes.endswith(b"short") else [])
+
+
+def test_stamps_and_plain_packets():
+    pat, pmt = programme([0x100])
+    pes = b"\0\0\1\xe0\0\0\x80\xc0\x0a" + media._stamp(2**33 - 1) + media._stamp(90_000) + b"data"
+    got = media.demux(pat + packets(0x1000, pmt) + packets(0x100, pes) + packets(0x100, b"\0\0\1\xbf\0\4four", counter=1))
+    assert got.units == [(0x100, 0xE0, 2**33 - 1, 90_000, False, b"data"), (0x100, 0xBF, None, None, False, b"four")]
+
+
+def test_demux_survives_noise():
+    rng = random.Random(7)
+    stream = bytearray(media.mux(media.padded(b"y" * 9000)))
+    for _ in range(200):
+        bad = bytearray(stream)
+        for _ in range(rng.randrange(1, 30)):
+            at = rng.randrange(len(bad))
+            if at % 188:
+                bad[at] = rng.randrange(256)
+        media.demux(bytes(bad))
+    bad = bytearray(stream)
+    bad[188 * 3 + 1] |= 0x80
+    assert media.demux(bytes(bad)).bad_packets == 1
+
+
 def test_media_awkward(spark):
     got = media.digests(H.frame(spark, H.AWKWARD, True)).collect()
     by = {r["doc_id"]: r for r in got}
     assert len(got) == len(H.AWKWARD) and by[1]["n_bytes"] == by[2]["n_bytes"] == 0 and by[1]["payload_bytes"] == 576
     assert by[1]["payload_sha256"] == hashlib.sha256(b"\xff" * 576).hexdigest() and by[1]["tail_crc32"] == zlib.crc32(b"\xff" * 32)
     assert media.digests(H.frame(spark, [], True)).count() == 0
+    for r in got:
+        text = next((t or "").encode() for d, t, *_ in H.AWKWARD if d == r["doc_id"])
+        payload = media.padded(text)
+        stream = media.mux(payload)
+        n = -(-len(payload) // (576 * 48))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stream), hashlib.sha256(stream).hexdigest()) and f"pes={n};units={len(payload) // 576};pts=0..{(n - 1) * 48 * 3600};" in r["feature"]
+        assert r["pts"] == [k * 48 * 3600 for k in range(n)] and r["random_access"] == r["pts"][::8]
     full = media.to_transport_streams(H.frame(spark, H.AWKWARD, True)).collect()
     assert all(hashlib.sha256(r["media"]).hexdigest() == by[r["doc_id"]]["media_sha256"] for r in full if r["doc_id"] is not None)
 
@@ -444,6 +652,48 @@ def test_near_dedup_awkward(spark):
     assert near_dedup.near_dedup(H.frame(spark, H.AWKWARD, True)).count() == len(H.AWKWARD) - 1
 
 
+def twins():
+    """Two words of 1,024 letters, each the other with a and b exchanged (Thue and Morse): any linear hash of bytes modulo 2 ** 64 takes them for one."""
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_linear_hashes_confuse(spark):
+    a, b = twins()
+    rows = [(1, a), (2, b), (3, a[:40]), (4, b[:40])]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_components(H.frame(spark, [(d, t, None, None, None) for d, t in rows])).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+    tail = " ".join(f"t{i}" for i in range(12))
+    rows = [(1, f"{a} {tail}"), (2, f"{b} {tail}"), (3, f"{b} {tail}")]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.substring_dedup(H.frame(spark, [(d, t, None, None, None) for d, t in rows])).collect()}
+    assert got == H.windows_removed(rows) and got[3][1] == 13
+
+
+def test_near_dedup_rows_that_repeat_an_id(spark):
+    x, y = (" ".join(f"{c}{i}" for i in range(30)) for c in "xy")
+    rows = [(1, x), (5, x), (5, y), (2, y), (7, "alone in the world of words"), (7, x + " more")]
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_components(H.frame(spark, [(d, t, None, None, None) for d, t in rows])).collect())
+    assert got == [(1, 1, True), (2, 1, False), (5, 1, False), (5, 1, False), (7, 1, False), (7, 1, False)]
+
+
+def test_near_dedup_finds_nine_in_ten_at_least(spark):
+    """Recall over pairs just above the threshold, against brute force."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(300):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([40, 90, 200]))]
+        edit = list(base)
+        for _ in range(max(1, len(base) // 36)):
+            edit[rng.randrange(len(edit))] = "changed"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(edit))]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_components(H.frame(spark, [(d, t, None, None, None) for d, t in rows])).collect()}
+    want = {d: c for d, (_, c) in H.near(rows).items()}
+    linked = [d for d in want if want[d] != d]
+    assert len(linked) > 100 and sum(got[d] == want[d] for d in linked) >= 0.99 * len(linked) and all(got[d] == d for d in want if want[d] == d)
+
+
 # --- 10 BPE
 
 

@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
-from talkframe.llm import mixing, queries
+from talkframe.llm import mixing, queries, toxicity
 from tests.llm import helpers as H
 from tests.llm.test_operators import lines_removed, reference  # noqa: F401  (a fixture)
 
@@ -33,6 +33,9 @@ def test_pipeline_equals_brute_force(spark, sf, reference):  # noqa: F811
     assert clean.columns == columns
     left = dict(as_rows(clean))
     assert all(left[d] == t for d, t in as_rows(docs) if d in left)
+    scorer = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"), toxicity.fold(toxicity.F.col("doc_id"), 4) != 2)
+    score = {r["doc_id"]: r["score"] for r in toxicity.scored(docs.select("doc_id", "text"), scorer).collect()}
+    assert set(left) == {d for d, x in score.items() if x < pipeline.REJECTED}
     assert sum(labels.get(d) == 0 for d in left) >= 0.98 * sum(v == 0 for v in labels.values())
 
     lined = STAGES["line dedup"](spark, clean, sf)
@@ -49,6 +52,10 @@ def test_pipeline_equals_brute_force(spark, sf, reference):  # noqa: F811
     for d, r in taken.items():
         ratio = r["taken"] / r["size"] if r["size"] else 0
         assert int(ratio) <= copies[d] <= int(ratio) + (ratio > int(ratio)) <= 2
+    # the words of a source stay within its largest document of what the mix takes
+    for source in {r["source"] for r in taken.values()}:
+        mine = [r for r in taken.values() if r["source"] == source]
+        assert abs(sum(copies[r["doc_id"]] * r["size"] - r["taken"] for r in mine)) <= max(r["size"] for r in mine)
     assert as_rows(mixed) == as_rows(STAGES["mixing"](spark, unique.repartition(3), sf))
 
     got = sorted(map(tuple, STAGES["bpe"](spark, mixed, sf).collect()))
@@ -59,6 +66,15 @@ def test_pipeline_equals_brute_force(spark, sf, reference):  # noqa: F811
     assert got == sorted(want)
 
 
+def test_toxicity_stage_catches_toxic_documents(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    left = {r["doc_id"] for r in STAGES["toxicity"](spark, docs, d).collect()}
+    assert sum(x == 1 and i not in left for i, x in labels.items()) >= 0.75 * sum(x == 1 for x in labels.values())
+    assert sum(x == 0 and i in left for i, x in labels.items()) >= 0.98 * sum(x == 0 for x in labels.values())
+
+
 def test_run_equals_its_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for _, stage in pipeline.STAGES:
