@@ -24,6 +24,7 @@ an empty table gives an empty result; other columns are ignored, whatever their
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import ahocorasick
@@ -41,44 +42,46 @@ SPAN, GRAM, BITS, DOCS_PER_SHARD = 13, 7, 1 << 27, 256
 _find = bytes.split
 
 
-def _anchored(ids: np.ndarray, texts: list[bytes], span: int, gram: int, places: bool = True):
-    """Of every window of a block of documents: its document, anchor, hash, 32 more bits of hash, and the anchor's first place among the block's words."""
-    data = np.frombuffer(b" ".join(texts), np.uint8)
-    starts, _, h = words.hashed(data)
-    firsts = np.cumsum([0] + [len(t) + 1 for t in texts])
-    row = np.searchsorted(firsts, starts, side="right") - 1
-    n = len(h) - span + 1
-    if n <= 0:
-        none = np.zeros(0, np.uint64)
-        return np.zeros(0, np.int64), none, none, np.zeros(0, np.int32), np.zeros(0, np.int64)
-    inside = np.flatnonzero(row[:n] == row[span - 1 :])
-    g, reach = words.rolled(h, gram), span - gram + 1
-    low = g[:n].copy()
-    for j in range(1, reach):
-        np.minimum(low, g[j : n + j], out=low)
-    first = np.arange(n)
-    if places:
-        for j in range(reach - 1, -1, -1):
-            hit = np.flatnonzero(g[j : n + j] == low)
+class _Block:
+    """The windows of a block of documents: their documents, anchors, hashes, and the first places of anchors among the block's words."""
+
+    def __init__(self, ids: np.ndarray, texts: list[bytes], span: int, gram: int):
+        data = np.frombuffer(b" ".join(texts), np.uint8)
+        starts, _, self.h = words.hashed(data)
+        self.span, self.n = span, max(0, len(self.h) - span + 1)
+        firsts = np.cumsum([0] + [len(t) + 1 for t in texts])
+        row = np.searchsorted(firsts, starts, side="right") - 1
+        self.inside = np.flatnonzero(row[: self.n] == row[span - 1 :]) if self.n else np.zeros(0, np.int64)
+        self.doc = ids[row[self.inside]] if self.n else np.zeros(0, np.int64)
+        self.grams, self.reach = words.rolled(self.h, gram), span - gram + 1
+        low = self.grams[: self.n].copy()
+        for j in range(1, self.reach):
+            np.minimum(low, self.grams[j : self.n + j], out=low)
+        self.lowest, self.low = low, low[self.inside]
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """A hash of each window, and 32 bits of another."""
+        return words.rolled(self.h, self.span)[self.inside], words.summed(self.h, self.span)[self.inside]
+
+    def places(self) -> np.ndarray:
+        """The first place of each window's anchor."""
+        first = np.arange(self.n)
+        for j in range(self.reach - 1, -1, -1):
+            hit = np.flatnonzero(self.grams[j : self.n + j] == self.lowest)
             first[hit] = hit + j
-    return ids[row[inside]], low[inside], words.rolled(h, span)[inside], words.summed(h, span)[inside], first[inside]
+        return first[self.inside]
 
 
-def _block_windows(batches, span, gram):
+def _blocks(batches, span, gram) -> Iterator[_Block]:
     for b in batches:
         ids = b.column(0).to_numpy()
         for first, texts in words.blocks(b):
-            yield _anchored(ids[first : first + len(texts)], texts, span, gram, places=False)[:4]
+            yield _Block(ids[first : first + len(texts)], texts, span, gram)
 
 
-def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct rows, ordered by the first column, then the next."""
-    order = np.lexsort(columns[::-1])
-    columns = tuple(c[order] for c in columns)
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
-    return tuple(c[new] for c in columns)
+def _together(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """An order in which equal pairs of key and document stand together."""
+    return np.argsort(key + doc.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
 def _ends(*key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,10 +94,13 @@ def _ends(*key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _anchors(span: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, low, _, _ in _block_windows(batches, span, gram):
+        for block in _blocks(batches, span, gram):
+            low, doc = block.low, block.doc
             change = np.ones(len(low), bool)
             change[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
-            a, _ = _distinct(low[change], doc[change])
+            low, doc = low[change], doc[change]
+            order = _together(low, doc)
+            a = np.sort(low[order][_ends(low[order], doc[order])[0]])  # an anchor once a document
             first, last = _ends(a)
             yield pa.RecordBatch.from_arrays([pa.array(a[first].view(np.int64)), pa.array((last - first + 1).astype(np.int64))], names=["anchor", "n"])
 
@@ -112,16 +118,23 @@ def _candidates(span: int, gram: int, bits: int, anchors, confirmed=None):
 
         shared = np.frombuffer(anchors.value, np.uint8)
         known = None if confirmed is None else np.frombuffer(confirmed.value, np.uint8)
-        for doc, low, window, more in _block_windows(batches, span, gram):
-            ok = np.flatnonzero(may(shared, low))
-            if known is not None:
-                ok = ok[may(known, window[ok])]
-            w, m, d = _distinct(window[ok], more[ok], doc[ok])
+        for block in _blocks(batches, span, gram):
+            ok = np.flatnonzero(may(shared, block.low))
+            w, m = (x[ok] for x in block.windows())
+            d = block.doc[ok]
             if known is None:
-                first, last = _ends(w, m)
-                yield pa.RecordBatch.from_arrays([pa.array(w[first].view(np.int64)), pa.array(m[first]), pa.array(d[first]), pa.array(d[last])], names=["window", "more", "lo", "hi"])
+                order = np.argsort(w)
+                w, m, d = w[order], m[order], d[order]
+                first, _ = _ends(w, m)
+                lo, hi = (f.reduceat(d, first) if len(d) else d for f in (np.minimum, np.maximum))
+                yield pa.RecordBatch.from_arrays([pa.array(w[first].view(np.int64)), pa.array(m[first]), pa.array(lo), pa.array(hi)], names=["window", "more", "lo", "hi"])
             else:
-                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(m), pa.array(d)], names=["window", "more", "doc"])
+                hit = may(known, w)
+                w, m, d = w[hit], m[hit], d[hit]
+                order = _together(w, d)
+                w, m, d = w[order], m[order], d[order]
+                first, _ = _ends(w, m, d)
+                yield pa.RecordBatch.from_arrays([pa.array(w[first].view(np.int64)), pa.array(m[first]), pa.array(d[first])], names=["window", "more", "doc"])
 
     return run
 
@@ -158,7 +171,7 @@ class Phrases:
     """Passages of a shard, and an Aho-Corasick automaton of the anchor phrases of their windows.
 
     An anchor phrase is the `gram` words in a window with the smallest hash, so a window that stands in a document
-    brings its anchor phrase along. The automaton runs over numbers of words (from 1); where it finds a phrase, the
+    brings its anchor phrase along. The automaton runs over numbers of words (from 1), two signs for each; where it finds a phrase, the
     match grows both ways over equal words, and a run of at least `span` words counts.
     """
 
@@ -183,11 +196,14 @@ class Phrases:
                 number[w] = len(number) + 1
         ids = [number[w] for w in found]
         # word positions with a place that equals nothing (-1) before each passage
-        *_, first = _anchored(np.arange(len(texts)), texts, self.span, self.gram)
+        first = _Block(np.arange(len(texts)), texts, self.span, self.gram).places()
+        self.base = math.isqrt(len(number)) + 1
+        signs = self._signs(np.array(ids, np.int64))
         sizes = np.array([t.count(b" ") + 1 for t in texts], np.int64)
         shift = np.repeat(np.arange(len(texts)), sizes) + 1
         self.flat = np.full(len(ids) + len(texts) + 1, -1, np.int64)
         self.flat[np.arange(len(ids)) + shift] = ids
+        self.near = self.flat.tolist()
         self.owners = np.repeat([o for o, _ in self.passages], sizes + 1).tolist() + [0]
         seen: dict[tuple, int] = {}
         for at in np.unique(first).tolist():
@@ -195,11 +211,15 @@ class Phrases:
             k = seen.setdefault(key, len(self.places))
             if k == len(self.places):
                 self.places.append([])
-                self.automaton.add_word(key, k)
+                self.automaton.add_word(signs[2 * at : 2 * (at + self.gram)], k)
             self.places[k].append(at + int(shift[at]))
         if len(self.automaton):
             self.automaton.make_automaton()
 
+    def _signs(self, ids: np.ndarray) -> tuple[int, ...]:
+        """Two signs for each word number, from two ranges: few branches at a node, and no match between words."""
+        return tuple(np.stack([ids // self.base, ids % self.base + self.base + 1], axis=1).reshape(-1).tolist())
+
     def gone(self, doc: int, found: list[bytes]) -> bytearray:
         """1 for each word of a document that stands in a phrase of a smaller one."""
         if self.automaton is None:
@@ -207,11 +227,12 @@ class Phrases:
         gone = bytearray(len(found))
         if not len(self.automaton) or len(found) < self.span:
             return gone
-        get, flat, owners, reach, gram = self.number.get, self.flat, self.owners, self.span - self.gram, self.gram
+        get, flat, near, owners, reach, gram, n = self.number.get, self.flat, self.near, self.owners, self.span - self.gram, self.gram, len(found)
         ids = [get(w, 0) for w in found]  # 0 stands in no phrase
         mine = np.array(ids, np.int64)
         upto: dict[int, int] = {}  # by diagonal, where the last run ended
-        for end, k in self.automaton.iter(tuple(ids)):
+        for end, k in self.automaton.iter(self._signs(mine)):
+            end //= 2
             p = end - gram + 1
             # every window around this phrase is gone already: copies and repetitive texts cost no more than others
             low, high = max(0, p - reach), end + 1 + reach
@@ -220,9 +241,16 @@ class Phrases:
             for q in self.places[k]:
                 if owners[q] >= doc or upto.get(p - q, -1) > p:
                     continue
-                left, right = _grown(mine, flat, p, q, gram)
-                upto[p - q] = right
-                if right - left >= self.span:
+                # a few words beside the phrase say whether a window can match
+                x, y, least = p - 1, q - 1, max(0, p - reach)
+                while x >= least and ids[x] == near[y]:
+                    x, y = x - 1, y - 1
+                left, x, y, most = x + 1, end + 1, q + gram, min(n, high)
+                while x < most and ids[x] == near[y]:
+                    x, y = x + 1, y + 1
+                if x - left >= self.span:
+                    left, right = _grown(mine, flat, left, left - p + q, x - left)
+                    upto[p - q] = right
                     gone[left:right] = b"\x01" * (right - left)
                     if gone.find(0, low, high) < 0:
                         break

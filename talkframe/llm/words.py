@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -15,6 +16,7 @@ _SPACE[list(SPACE_BYTES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _Q = 0xD6E8FEB86659FD93
+_Q_INV = pow(_Q, -1, 2**64)
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of the first 0 to 8 bytes of a little-endian integer.
 _FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
@@ -59,16 +61,22 @@ def hashed(data: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarra
     return starts, ends, h
 
 
+@lru_cache(maxsize=4)
+def _powers(n: int, base: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base))
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
 def rolled(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each k consecutive word hashes."""
+    """Hash of each k consecutive word hashes, by differences of running sums."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = h[:n].copy()
-    for j in range(1, k):
-        out *= np.uint64(_Q)
-        out += h[j : n + j]
-    return mixed(out)
+    most = 1 << len(h).bit_length()
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _powers(most, _Q)[: len(h)], out=sums[1:])
+    return mixed((sums[k:] - sums[:n]) * _powers(most, _Q_INV)[:n])
 
 
 def summed(h: np.ndarray, k: int) -> np.ndarray:
