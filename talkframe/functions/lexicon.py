@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable
-
 # Results depend on them as they stand.
 
 SESSION_GAP_MINUTES = 30
@@ -147,21 +144,6 @@ OTHER_SPEAKER = "对方"
 BANNER_STARTS = ("消息记录", "消息分组", "消息对象", "===========")
 
 
-def alternation(words: Iterable[str]) -> str:
-    """A pattern of words, longer ones first; equal lengths keep the order of first appearance."""
-    return "|".join(re.escape(w) for w in sorted(dict.fromkeys(words), key=len, reverse=True))
-
-
-def fragments(words: Iterable[str], lo: int = 2, hi: int = 5) -> set[str]:
-    """All substrings of lo to hi characters."""
-    return {w[i : i + n] for w in words for n in range(lo, hi + 1) for i in range(len(w) - n + 1)}
-
-
-def noise_fragments() -> set[str]:
-    """Pieces of generic words, of stop phrases and of ASCII laughs."""
-    return fragments((*GENERIC_WORDS, *STOP_PHRASES)) | {f for f in fragments(LAUGH_WORDS) if f.isascii()}
-
-
 # Fixed values of review, evaluation and packing.
 
 SERVICE_PHRASES = ("您好", "不客气", "很高兴能帮助", "请问还有什么", "感谢您的理解", "作为 AI")
@@ -172,7 +154,6 @@ CORRECTIONS = {
     "场景用错": "重新判断当前情绪与意图；仅在相似语境下参考该接法",
     "事实错误": "不要复述未经当前对话确认的经历、地点或承诺，记不清就承认",
 }
-COUNTER_MARKS = ("不", "没", "别", "从来", "其实")
 GENERIC_ITEM = r"^(?:性格|风格|特点|TA)?[：: ]*(?:幽默风趣|嘴硬心软|说话自然|关心对方|善解人意|活泼开朗|温柔体贴|表达简洁|自然随性)[。！! ]*$"
 TIMING_RULE = r"秒回|隔.*(?:分钟|小时).*回|回消息(?:快|慢)|夜里更活跃|深夜型"
 ABSOLUTE_RULE = r"从不|永不|绝不|一律不"
@@ -192,3 +173,19 @@ SECTION_TITLES = {
     "同事": ("共事时间线", "一起去过 / 提到的地方", "你们之间的固定说法", "分歧与摩擦", "配合默契的瞬间", "互相怎么称呼"),
     "家人": ("关系时间线", "一起去过的地方", "家里的梗", "争执模式", "温暖瞬间", "称呼与专属用语"),
 }
+
+# Fixed values of citations and pages.
+
+#: Before a quoted claim: a bracket, a date or time, a name with its colon.
+CITED_BRACKET = r"[\[【][^\]】]{0,32}[\]】]"
+CITED_STAMP = r"\d{1,4}[\d\-/.月日:：]{0,18}"
+CITED_NAME = r"([^\s:：]{1,20})\s*[:：]\s*"
+CLAIM_BREAK = r"[\s,，:：]+"
+#: Tags that end a line.
+BLOCK_TAGS = frozenset(("br", "p", "div", "tr", "li", "h1", "h2", "h3", "h4", "td", "table"))
+#: Heading of a sampled window, and what stands for a missing time or month.
+SAMPLE_HEADING = "【会话 {session} / 窗口 {window}；与其他会话独立】"
+SAMPLE_UNTIMED, SAMPLE_NO_MONTH = "[时间未知]", "未知"
+SCENE_CONFLICT, SCENE_PLAN, SCENE_EVERYDAY = "摩擦", "商量", "日常"
+#: Off a sampled window for each one chosen before of its month, scene and session.
+SAMPLE_PENALTIES = (3, 3, 4)

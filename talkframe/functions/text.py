@@ -15,6 +15,21 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def alternation(words: Iterable[str]) -> str:
+    """A pattern of words, longer ones first; equal lengths keep the order of first appearance."""
+    return "|".join(re.escape(w) for w in sorted(dict.fromkeys(words), key=len, reverse=True))
+
+
+def fragments(words: Iterable[str], lo: int = 2, hi: int = 5) -> set[str]:
+    """All substrings of lo to hi characters."""
+    return {w[i : i + n] for w in words for n in range(lo, hi + 1) for i in range(len(w) - n + 1)}
+
+
+def noise_fragments() -> set[str]:
+    """Pieces of generic words, of stop phrases and of ASCII laughs."""
+    return fragments((*L.GENERIC_WORDS, *L.STOP_PHRASES)) | {f for f in fragments(L.LAUGH_WORDS) if f.isascii()}
+
+
 def any_of(text: Column | str, words: Iterable[str]) -> Column:
     """Whether the text contains any of the words."""
     found = F.lit(False)
@@ -31,7 +46,7 @@ def occurrences(text: Column | str, word: str) -> Column:
 
 def matches(text: Column | str, words: Iterable[str]) -> Column:
     """Non-overlapping matches of the words, longer ones first."""
-    return F.regexp_count(col(text), F.lit(L.alternation(words))).cast("long")
+    return F.regexp_count(col(text), F.lit(alternation(words))).cast("long")
 
 
 def squeezed(text: Column | str) -> Column:
@@ -105,7 +120,7 @@ def is_noise(token: Column | str, fragments: Iterable[str] | None = None) -> Col
     """Empty, untrimmed, without a letter, with brackets, or a piece of a generic word."""
     t = col(token)
     found = (t == "") | (stripped(t) != t) | t.rlike(r"(?U)^[\W\d_]+$") | t.contains("[") | t.contains("]")
-    return found | t.isin(*sorted(L.noise_fragments() if fragments is None else fragments))
+    return found | t.isin(*sorted(noise_fragments() if fragments is None else fragments))
 
 
 def is_cjk(text: Column | str) -> Column:

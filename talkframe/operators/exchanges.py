@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,42 +99,51 @@ def ranked_situations(pairs: DataFrame) -> DataFrame:
     return by.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("sessions"), "first")))
 
 
-def choose(pairs: list[dict], limit: int) -> list[int]:
-    """Greedy choice by action, new characters, length, and few repeats of a situation or a session; places in the list."""
-    seen, pool = set(), []
-    for k, p in enumerate(pairs):
-        key = (tuple(p["incoming"]), tuple(p["reply"]))
-        if key not in seen:
-            seen.add(key)
-            pool.append(k)
-    labels, sessions, used, out = defaultdict(int), defaultdict(int), set(), []
-
-    def score(k: int) -> float:
-        p = pairs[k]
-        said = "".join(p["reply"])
-        fresh = len(set(said) - used) / max(1, len(set(said)))
-        return 3 * bool(p["action"]) + 2 * fresh + min(len(said), 30) / 30 - 3 * labels[p["label"]] - 2 * sessions[p["session_id"]]
-
-    while pool and len(out) < limit:
-        best = max(pool, key=score)
-        pool.remove(best)
-        out.append(best)
-        labels[pairs[best]["label"]] += 1
-        sessions[pairs[best]["session_id"]] += 1
-        used |= set("".join(pairs[best]["reply"]))
-    return out
-
-
 def selected(pairs: DataFrame, limit: int = 8, by: Sequence[str] = ("conv_id",)) -> DataFrame:
-    """The chosen pairs of each conversation with their rank; a conversation's pairs are one bounded group."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.assign(__at=[x[0] for x in pdf["reply_messages"]]).sort_values("__at", kind="stable").to_dict("records")
-        at = choose([{**r, "incoming": list(r["incoming"]), "reply": list(r["reply"])} for r in rows], limit)
-        return pd.DataFrame([{**{c: rows[k][c] for c in pdf.columns}, "rank": i} for i, k in enumerate(at, 1)], columns=[*pdf.columns, "rank"])
+    """The chosen pairs of each conversation (or other group) with their rank.
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
-    return pairs.groupBy(*by).applyInPandas(run, f"{fields}, rank long")
+    Equal pairs count once, with their first place. Each pick is worth 3 for an action, 2 for the share of its reply's
+    characters that no earlier pick has, up to 1 for length, less 3 for each earlier pick of its label and 2 for each
+    of its session; ties go to the earlier pair. A pick is one aggregation over all pairs, in the JVM; between picks
+    only what was chosen is kept, so a long conversation is never in memory.
+    """
+    by, place = list(by), F.get("reply_messages", F.lit(0))
+    columns = F.struct(*pairs.columns)
+    once = pairs.groupBy(*by, F.col("incoming").alias("__in"), F.col("reply").alias("__out")).agg(F.min_by(columns, place).alias("pair"), F.min(place).alias("at"))
+    said = F.array_join("pair.reply", "")
+    worth = F.when(F.col("pair.action") != "", 3).otherwise(0)
+    rows = once.select(*by, "pair", "at", worth.alias("worth"), F.array_distinct(F.regexp_extract_all(said, F.lit("(?s)."), F.lit(0))).alias("signs"), (F.least(F.length(said), F.lit(30)) / 30.0).alias("long"))
+    pick = F.struct("at", "pair", "signs")
+    chosen = rows.select(*by).distinct().withColumn("chosen", F.array().cast(f"array<{rows.select(pick.alias('x')).schema['x'].dataType.simpleString()}>"))
+    for _ in range(max(0, limit)):
+        each = rows.join(chosen, by)
+        new = F.size(F.array_except("signs", F.flatten(F.col("chosen.signs"))))
+        again = lambda of: F.size(F.filter("chosen", lambda c: c["pair"][of] == F.col("pair")[of]))
+        score = F.col("worth") + 2 * (new / F.greatest(F.size("signs"), F.lit(1))) + F.col("long") - 3 * again("label") - 2 * again("session_id")
+        open_ = ~F.array_contains("chosen.at", F.col("at"))
+        best = F.max_by(pick, F.when(open_, F.struct(score, -F.col("at"))))
+        chosen = each.groupBy(*by).agg(F.any_value("chosen").alias("chosen"), best.alias("best"))
+        chosen = chosen.select(*by, F.concat("chosen", F.array_compact(F.array("best"))).alias("chosen"))
+    return chosen.select(F.posexplode("chosen").alias("rank", "x")).select("x.pair.*", (F.col("rank") + 1).cast("long").alias("rank"))
+
+
+def demonstrations(pairs: DataFrame, limit: int = 8) -> DataFrame:
+    """Chosen pairs as lines of a demonstration: conv_id, rank, shown."""
+    wrap = lambda c: F.array_join(F.transform(c, lambda x: F.concat(F.lit("「"), x, F.lit("」"))), "")
+    return selected(pairs, limit).select("conv_id", "rank", F.concat(F.lit("对方："), wrap("incoming"), F.lit(" → 我："), wrap("reply")).alias("shown"))
+
+
+def chat_turns(turns: DataFrame, most: int = 20, asking: str = "user") -> DataFrame:
+    """The last turns of each conversation (conv_id, turn, role, text) that aren't blank, up to the last one of the asking side."""
+    w = Window.partitionBy("conv_id")
+    said = turns.where(X.stripped("text") != "").withColumn("__last", F.max(F.when(F.col("role") == asking, F.col("turn"))).over(w)).where("turn <= __last")
+    return said.withColumn("__n", F.row_number().over(w.orderBy(F.desc("turn")))).where(F.col("__n") <= most).drop("__last", "__n")
+
+
+def looked_up(rows: DataFrame, by: DataFrame, key: str, defaults: Mapping[str, Column]) -> DataFrame:
+    """rows with the columns of a look-up table that has each key once; a key that isn't there gets the defaults."""
+    out = rows.join(by, key, "left")
+    return out.withColumns({c: F.coalesce(F.col(c), d) for c, d in defaults.items()})
 
 
 def signals(pairs: DataFrame, most: int = 6) -> DataFrame:
@@ -195,22 +202,21 @@ def coverage(pairs: DataFrame, routes: DataFrame, m: DataFrame, sides: DataFrame
 
 
 def pack(units: Sequence[str], limit: int, bins: int, separator: str = "\n\n---\n\n") -> tuple[list[str], int]:
-    """First-fit decreasing of whole units into at most `bins` strings of at most `limit` characters; the rest is counted."""
-    if limit <= 0 or bins <= 0:
-        return [], int(any(u.strip() for u in units))
-    held: list[list[int]] = []
-    sizes: list[int] = []
-    left = 0
-    kept = [u.strip() for u in units if u.strip()]
-    for i in sorted(range(len(kept)), key=lambda i: -len(kept[i])):
-        n = len(kept[i])
-        slot = next((k for k, s in enumerate(sizes) if s + len(separator) + n <= limit), None)
-        if n <= limit and slot is not None:
-            held[slot].append(i)
-            sizes[slot] += len(separator) + n
-        elif n <= limit and len(held) < bins:
-            held.append([i])
-            sizes.append(n)
-        else:
-            left += 1
-    return [separator.join(kept[i] for i in sorted(b)) for b in sorted(held, key=min)], left
+    """Whole units, the longest first, into the first of `bins` strings of at most `limit` characters that has room.
+
+    Returns the strings, in the order of their first units, and the number of units that found no room.
+    """
+    texts = dict(enumerate(t for u in units if (t := u.strip())))
+    # a unit takes its separator along, for which each string has room once more
+    room = [limit + len(separator)] * max(0, bins)
+    placed: dict[int, int] = {}
+    for i, text in sorted(texts.items(), key=lambda x: len(x[1]), reverse=True):
+        need = len(text) + len(separator)
+        for k, free in enumerate(room):
+            if need <= free:
+                placed[i], room[k] = k, free - need
+                break
+    strings: dict[int, list[str]] = {}
+    for i in sorted(placed):
+        strings.setdefault(placed[i], []).append(texts[i])
+    return [separator.join(s) for s in strings.values()], len(texts) - len(placed)

@@ -102,7 +102,7 @@ def word_counts(m: DataFrame, words: Sequence[str], undouble: bool = False) -> D
 
 def laugh_counts(m: DataFrame, words: Sequence[str] = L.LAUGH_WORDS) -> DataFrame:
     """Laughs, longer ones first, and doubled CJK characters that aren't part of one."""
-    laughs = F.regexp_extract_all("text", F.lit(L.alternation(words)), F.lit(0))
+    laughs = F.regexp_extract_all("text", F.lit(X.alternation(words)), F.lit(0))
     doubled = F.regexp_extract_all("text", F.lit(r"([\x{4e00}-\x{9fa5}])\1"), F.lit(0))
     known = F.array(*map(F.lit, words))
     other = F.filter(doubled, lambda d: ~F.exists(known, lambda w: w.contains(d)))

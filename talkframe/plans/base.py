@@ -98,7 +98,7 @@ def values(name: str, columns: str, rows: list[tuple]) -> str:
 
 
 def words_re(words) -> str:
-    from talkframe.functions.lexicon import alternation
+    from talkframe.functions.text import alternation
 
     return literal(alternation(words))
 

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -47,11 +48,31 @@ def test_situations_take_the_first_rule(spark):
     assert [r["label"] for r in E.classified(df).orderBy("id").collect()] == ["被催或被提醒", "对方表达感谢", L.EVERYDAY, L.EVERYDAY]
 
 
-def test_choose_spreads_sessions_and_drops_repeats():
+def plain_choice(rows, limit):
+    """Places of picks, valuing all rows each time."""
+    rows = [(k, r) for k, r in enumerate(rows) if (r["incoming"], r["reply"]) not in [(x["incoming"], x["reply"]) for x in rows[:k]]]
+    picked = []
+    for _ in range(min(limit, len(rows))):
+        used = {c for k in picked for c in dict(rows)[k]["reply"][0]}
+        worth = {
+            k: 3 * bool(r["action"]) + 2 * len(set(r["reply"][0]) - used) / max(1, len(set(r["reply"][0]))) + min(len(r["reply"][0]), 30) / 30
+            - 3 * sum(dict(rows)[p]["label"] == r["label"] for p in picked) - 2 * sum(dict(rows)[p]["session_id"] == r["session_id"] for p in picked)
+            for k, r in rows if k not in picked
+        }
+        picked.append(min(worth, key=lambda k: (-worth[k], k)))
+    return picked
+
+
+def test_selected_equals_a_plain_choice(spark):
+    rng = random.Random(2)
     row = lambda s, said, label="x", action="do": {"incoming": ["i" + said], "reply": [said], "session_id": s, "label": label, "action": action}
     rows = [row(1, "abc"), row(1, "abc"), row(1, "abd"), row(2, "xyz"), row(3, "q", "y", "")]
-    assert E.choose(rows, 3) == [3, 0, 2] or E.choose(rows, 3)[0] in (0, 3)
-    assert len(E.choose(rows, 9)) == 4 and E.choose(rows, 0) == []
+    rows += [row(rng.randrange(6), "".join(rng.choice("abcdefgh漢字") for _ in range(rng.randrange(1, 40))), rng.choice("xyz"), rng.choice(["", "do"])) for _ in range(40)]
+    schema = "conv_id string, incoming array<string>, reply array<string>, session_id long, label string, action string, reply_messages array<long>"
+    df = spark.createDataFrame([("c", r["incoming"], r["reply"], r["session_id"], r["label"], r["action"], [k]) for k, r in enumerate(rows)], schema)
+    for limit in (0, 1, 5, 8):
+        got = E.selected(df.repartition(3), limit).orderBy("rank").collect()
+        assert [r["reply_messages"][0] for r in got] == plain_choice(rows, limit)
 
 
 def test_scenarios_and_routes(spark):
@@ -68,7 +89,7 @@ def test_pack_first_fit_decreasing():
     units = ["a" * 19, "b" * 19, "c" * 200, "d" * 19]
     packed, left = E.pack(units, 45, 2)
     assert left == 1 and packed == ["a" * 19 + "\n\n---\n\n" + "b" * 19, "d" * 19]
-    assert E.pack(units, 0, 2) == ([], 1) and E.pack([], 5, 5) == ([], 0)
+    assert E.pack(units, 0, 2) == ([], 4) and E.pack([], 5, 5) == ([], 0) and E.pack(["x"], 5, 0) == ([], 1)
 
 
 def test_multiset_additions(spark):

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,6 +60,23 @@ def test_samples_respect_the_budget(spark):
     assert K.samples(zh(spark), target, 60).count() == 0
 
 
+def test_spread_choice_equals_valuing_all_each_time():
+    rng = random.Random(5)
+    for _ in range(40):
+        units = [(rng.randrange(0, 41) / 40, (rng.choice("abc"), rng.choice("xy"), rng.randrange(4)), rng.randrange(20, 200)) for _ in range(rng.randrange(0, 30))]
+        budget, left, out, used = rng.randrange(0, 900), list(range(len(units))), [], 0
+        while left:
+            seen = lambda j, k: sum(units[o][1][j] == units[k][1][j] for o in out)  # noqa: E731, B023
+            best = min(left, key=lambda k: (-(units[k][0] - 3 * seen(0, k) - 3 * seen(1, k) - 4 * seen(2, k)), k))
+            left.remove(best)
+            cost = units[best][2] + 7 * bool(out)
+            if used + cost <= budget:
+                used += cost
+                out.append(best)
+        assert K.spread_choice(units, budget, 7, (3, 3, 4)) == out
+    assert K.window_numbers([10, 9, 30, 5, 4, 25, 1], 20) == [0, 0, None, 1, 1, None, 2]
+
+
 def test_packs_are_whole_or_absent(tmp_path):
     root = tmp_path / "pack"
     archive = K.write_pack(root, {"a.md": "one", "sub/b.bin": b"\0", "empty.md": ""})

@@ -1,8 +1,11 @@
 import json
 import mailbox
+import re
 import sqlite3
 from datetime import datetime
 
+import pytest
+
 from talkframe.functions import udfs
 from talkframe.sources import files as S
 from talkframe.sources import times
@@ -84,3 +87,26 @@ def test_times():
     assert times.parse("2024年3月1日 9:05:61") == datetime(2024, 3, 1, 9, 5, 59) and times.parse("3-1 09:05", 2020) == datetime(2020, 3, 1, 9, 5)
     assert times.parse("1960-01-01 00:00") is None or times.parse("1960-01-01 00:00").year == 1960
     assert times.parse("") is times.parse(None) is times.parse("soon") is times.parse(-5) is None
+
+
+@pytest.mark.parametrize("page", ["<p>a&nbsp;&amp; b</p><br>c", "<!DOCTYPE html><title>t</title><script>var t=\"</p>\"; a < b</script><style>p{margin:0}</style>x", "a < b <i title='x>y'>c</i> <!-- <p> --> d &copy &#8364; &middot;", "<TD>1<Td/>2<table\n x>3<px>4</px>", "", "plain & simple"])
+def test_page_text_equals_the_parser(page):
+    from html.parser import HTMLParser
+
+    out = []
+    parser = HTMLParser(convert_charrefs=True)
+    parser.handle_data = out.append
+    parser.handle_starttag = lambda tag, attrs: out.append("\n" * (tag in udfs.L.BLOCK_TAGS))
+    parser.handle_endtag = lambda tag: out.append("\n" * (tag in udfs.L.BLOCK_TAGS))
+    parser.feed(page)
+    parser.close()
+    want = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", "".join(out).replace("\xa0", " ")))
+    assert udfs.html_text(page) == want
+
+
+def test_claim_forms():
+    known = frozenset({"小雨"})
+    assert udfs.without_citation("[09-21 01:05] 小雨: 早点睡吧", known) == "早点睡吧" and udfs.without_citation("他说: 我不去", known) == "他说: 我不去"
+    assert udfs.without_citation("2024-03-15 【x】 小雨：小雨: 好", known) == "好" and udfs.without_citation("小雨:", known) == "小雨:"
+    assert udfs.needles("2024-03-15 小雨: 早点睡吧", known) == ["20240315小雨早点睡吧", "早点睡吧", "小雨早点睡吧"]
+    assert udfs.needles("a b c d e f g h", frozenset()) == ["abcdefgh", "gh", "fgh", "efgh", "defgh"]
