@@ -47,7 +47,7 @@ ACROSS = "substring(text, greatest(1, length(text) - 39), 40)"
 
 
 @query(f"""WITH {CORPUS}, fl AS (SELECT conv_id, string_agg(norm, '' ORDER BY line_id) AS flat FROM co GROUP BY 1),
-    cs AS (SELECT conv_id, seq AS claim_id, {ACROSS} || ' ' || left(lead(text) OVER (PARTITION BY conv_id ORDER BY seq), 40) || CASE WHEN seq % 2 = 0 THEN ' qqq' ELSE '' END AS claim FROM cv)
+    cs AS (SELECT conv_id, seq AS claim_id, {ACROSS} || ' ' || left(lead(text) OVER (PARTITION BY conv_id ORDER BY seq), 40) || CASE WHEN seq % 2 = 0 THEN ' qqq' ELSE '' END AS claim FROM cv),
     pt AS (SELECT *, list_filter(regexp_split_to_array(claim, {literal(L.CLAIM_BREAK)}), lambda x: x <> '') AS parts FROM cs),
     fm AS (SELECT *, list_transform(range(1, least(6, len(parts))), lambda k: {FOLD.format("array_to_string(list_slice(parts, len(parts) - k + 1, len(parts)), ' ')")}) AS tails FROM pt)
     SELECT conv_id, claim_id, contains(flat, {FOLD.format('claim')}) OR len(list_filter(tails, lambda t: length(t) >= 2 AND contains(flat, t))) > 0 AS found FROM fm JOIN fl USING (conv_id) WHERE claim IS NOT NULL""")
