@@ -18,6 +18,7 @@ import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -129,7 +130,7 @@ class Bpe:
         flat = left[alive].astype("<u4").tobytes()
         return [flat[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
-    def learn(self, pieces: Iterable[str], block_bytes: int = 1 << 17) -> None:
+    def learn(self, pieces: Iterable[str], block_bytes: int = 1 << 15) -> None:
         """Encode the pieces that aren't known yet, in blocks of bounded size."""
         todo: list[str] = []
         raw: list[bytes] = []
@@ -159,23 +160,17 @@ class Bpe:
         if len(self.known) > self.remember:  # what was met since the last turn stays for one more
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        fresh: dict[str, None] = {}
-        for s in split.values():
-            for p in s:
-                if p not in known:
-                    if p in older:
-                        known[p] = older[p]
-                    else:
-                        fresh[p] = None
-        self.learn(fresh)
+        fresh = set(chain.from_iterable(split.values())).difference(known)
+        again = fresh.intersection(older)
+        known.update((p, older[p]) for p in again)
+        self.learn(sorted(fresh - again))
         for t, s in split.items():
-            distinct[t] = b"".join([known[p] for p in s])
+            distinct[t] = b"".join(map(known.__getitem__, s))
         for t in texts:
             yield distinct[t]
 
     def decode(self, ids: bytes) -> bytes:
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 @lru_cache(maxsize=2)
