@@ -189,3 +189,17 @@ SAMPLE_UNTIMED, SAMPLE_NO_MONTH = "[时间未知]", "未知"
 SCENE_CONFLICT, SCENE_PLAN, SCENE_EVERYDAY = "摩擦", "商量", "日常"
 #: Off a sampled window for each one chosen before of its month, scene and session.
 SAMPLE_PENALTIES = (3, 3, 4)
+
+# Fixed values of documents and states.
+
+TOPICS_TITLE, EVIDENCE_TITLE, GUIDE_TITLE = "# 主题档案", "# 结论与原文依据", "# 参考资料"
+COVERAGE_TITLE, SPECIFICITY_TITLE = "## 情境覆盖矩阵", "## 具体性评分"
+EVIDENCE_MARKS = {"verified": "原话命中", "fuzzy": "近似命中", "unverified": "未找到依据"}
+COVERAGE_LABELS = {"covered": "已覆盖", "evidence_insufficient": "证据不足", "missing_response": "缺失接法"}
+STATUS_LABELS = {"fact": "事实", "plan": "计划", "promise": "承诺", "mentioned": "提及", "joke": "玩笑", "uncertain": "不确定"}
+IDENTITY_GIVEN, IDENTITY_NOTICE = "用户补充（未经聊天记录核实）：{0}", "记录里没有直接的身份信息；建议用 --desc 补充职业、关系、认识方式等背景"
+CURRENT_SITUATION = "【当前情境参考】"
+#: Characters after which a joined line needs no blank: CJK punctuation and kana, ideographs, full-width forms.
+CJK_RANGES = "　-ヿ一-鿿＀-￯"
+#: Longest and shortest sides of an exchange that may serve as an example: incoming from, to; reply to; replies.
+EXAMPLE_LIMITS = (4, 28, 26, 3)

@@ -99,6 +99,11 @@ def verified(claims: DataFrame, m: DataFrame, threshold: float = L.FUZZY_THRESHO
     )
 
 
+def findings_summary(found: DataFrame) -> DataFrame:
+    """Claims by status."""
+    return found.groupBy("status").agg(F.count("*").alias("n"))
+
+
 def located(claims: DataFrame, m: DataFrame, threshold: float = L.CITE_THRESHOLD) -> DataFrame:
     """The line that each claim cites, if its coverage suffices."""
     lines = corpus_lines(m)

@@ -16,6 +16,29 @@ def in_order(*more: str) -> WindowSpec:
     return Window.partitionBy("conv_id", *more).orderBy("seq")
 
 
+def message_at(m: DataFrame, index: Column | int) -> DataFrame:
+    """The message of each conversation with this number."""
+    return m.where(F.col("seq") == index)
+
+
+def with_ordinals(rows: DataFrame, by: list[str], order: str = "seq", name: str = "ordinal") -> DataFrame:
+    """Rows numbered from 1 within their group."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(order)))
+
+
+def with_speaker(m: DataFrame) -> DataFrame:
+    """Messages whose speaker has a name."""
+    return m.where(F.trim(F.coalesce("speaker", F.lit(""))) != "")
+
+
+def counted(m: DataFrame, column: str = "speaker", most: int | None = None) -> DataFrame:
+    """Per conversation a map of a column's values to their numbers, the `most` frequent ones; ties go to the first in code-point order."""
+    by = m.groupBy("conv_id", column).agg(F.count("*").alias("n"))
+    entries = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), column)))
+    kept = entries if most is None else F.slice(entries, 1, most)
+    return by.groupBy("conv_id").agg(F.map_from_entries(F.transform(kept, lambda x: F.struct(x[column], -x["less"]))).alias("counts"))
+
+
 def messages(df: DataFrame, **columns: Column) -> DataFrame:
     """A messages frame from columns by name; missing ones are null timestamps and empty strings."""
     default = {"ts": F.lit(None), "source_id": F.lit(""), "reply_to": F.lit("")}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talkframe.functions import text as X
 from talkframe.operators import changes as C
+from talkframe.operators.messages import message_at
 from talkframe.plans.base import chats, cv, ev, query, table, zh
 from talkframe.plans.sessions import KEY
 
@@ -37,12 +38,12 @@ def u04_multiset_difference(spark, sf):
 MARKS = ("not", "pas", "nicht")
 
 
-@query("""WITH f AS (SELECT DISTINCT conv_id, seq AS memory_id, substr(text, pos, 2) AS gram FROM (SELECT conv_id, seq, text, unnest(range(1, length(text))) AS pos FROM cv WHERE seq = 1) WHERE regexp_full_match(substr(text, pos, 2), '[a-z]{2}')),
+@query("""WITH f AS (SELECT DISTINCT conv_id, seq AS memory_id, substr(text, pos, 2) AS gram FROM (SELECT conv_id, seq, text, unnest(range(1, length(text))) AS pos FROM cv WHERE seq <= 2) WHERE regexp_full_match(substr(text, pos, 2), '[a-z]{2}')),
     a AS (SELECT conv_id, seq, row_number() OVER (PARTITION BY conv_id ORDER BY seq) AS message, text FROM cv WHERE seq > 2)
     SELECT DISTINCT a.conv_id, memory_id, message, text AS quote FROM a JOIN f ON f.conv_id = a.conv_id AND contains(a.text, gram) WHERE contains(text, 'not') OR contains(text, 'pas') OR contains(text, 'nicht')""")
 def j07_memory_conflicts(spark, sf):
     m = cv(spark, sf)
-    facts = m.where("seq = 1").select("conv_id", F.col("seq").alias("memory_id"), F.lit("fact").alias("status"), F.col("text").alias("quote"))
+    facts = m.where("seq <= 2").select("conv_id", F.col("seq").alias("memory_id"), F.lit("fact").alias("status"), F.col("text").alias("quote"))
     return C.conflicts(C.additions(m.where("seq <= 2"), m.where("seq > 2")), facts, marks=MARKS, cjk=False)
 
 
@@ -59,15 +60,8 @@ def q12_holdout(spark, sf):
     return C.holdout(ev(spark, sf), 20).select("conv_id", "seq", "session_id", "test")
 
 
-@query("""SELECT doc_id AS id FROM documents WHERE doc_id % 5 = 1 AND NOT EXISTS (SELECT 1 FROM benchmark WHERE contains(documents.text, benchmark.text))""")
-def j13_training_feedback(spark, sf):
-    feedback = table(spark, sf, "documents").where("doc_id % 5 = 1").select(F.col("doc_id").alias("id"), "text")
-    return C.training_feedback(feedback, table(spark, sf, "benchmark").select("text"), least=24).select("id")
-
-
 @query("""SELECT doc_id AS id FROM documents WHERE NOT EXISTS (SELECT 1 FROM benchmark WHERE contains(documents.text, benchmark.text))""")
-def j13_training_feedback_whole(spark, sf):
-    """All documents; `j13_training_feedback` and its SQL take a fifth of them."""
+def j13_training_feedback(spark, sf):
     feedback = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     return C.training_feedback(feedback, table(spark, sf, "benchmark").select("text"), least=24).select("id")
 
@@ -121,7 +115,7 @@ def j05_manual_links(spark, sf):
 
 @query("SELECT conv_id, seq, speaker, text FROM chats WHERE seq = 2")
 def j16_point_lookup(spark, sf):
-    return chats(spark, sf).where("seq = 2").select("conv_id", "seq", "speaker", "text")
+    return message_at(chats(spark, sf), 2).select("conv_id", "seq", "speaker", "text")
 
 
 @query("SELECT d.doc_id, d.lang, l.toxic, CASE WHEN l.quality = 1 THEN 'kept' WHEN l.quality = 0 THEN 'rejected' ELSE 'pending' END AS state FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")

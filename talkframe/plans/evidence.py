@@ -247,4 +247,4 @@ def p02_folded(spark, sf):
 
 @query()
 def a29_findings_summary(spark, sf):
-    return V.verified(_claims(spark), zh(spark)).groupBy("status").agg(F.count("*").alias("n"))
+    return V.findings_summary(V.verified(_claims(spark), zh(spark)))

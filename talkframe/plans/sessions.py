@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talkframe.functions import text as X
 from talkframe.operators import sessions as S
+from talkframe.operators.messages import with_ordinals
 from talkframe.plans.base import chats, cv, dv, ev, query
 
 KEY = "sha256(CASE WHEN ts IS NULL THEN '' WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END || chr(10) || speaker || chr(10) || text)"
@@ -68,7 +69,7 @@ def w08_message_index(spark, sf):
 
 @query("SELECT conv_id, seq, row_number() OVER (PARTITION BY conv_id, speaker ORDER BY seq) AS ordinal FROM dv")
 def w09_ordinals(spark, sf):
-    return dv(spark, sf).select("conv_id", "seq", F.row_number().over(Window.partitionBy("conv_id", "speaker").orderBy("seq")).alias("ordinal"))
+    return with_ordinals(dv(spark, sf), ["conv_id", "speaker"]).select("conv_id", "seq", "ordinal")
 
 
 @query("""SELECT conv_id, count(*) AS sessions, max(n) AS longest FROM (SELECT conv_id, session_id, count(*) AS n FROM ev_s GROUP BY 1, 2) GROUP BY conv_id""")

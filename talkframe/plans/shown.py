@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from talkframe.functions import lexicon as L
 from talkframe.functions import text as X
-from talkframe.operators import changes as C
 from talkframe.operators import exchanges as E
+from talkframe.operators import messages as M
 from talkframe.operators import packs as K
 from talkframe.operators import profile as P
 from talkframe.operators import render as W
+from talkframe.operators import trials as T
 from talkframe.plans.base import chats, cv, ev, literal, query, sides, table, values, zh
 from talkframe.plans.exchanges import zh_pairs
 
@@ -50,7 +51,7 @@ def s17_transcript_rows(spark, sf):
 @query("SELECT conv_id, seq, speaker, text FROM cv WHERE trim(speaker) <> 'system'")
 def s18_rows_with_speaker(spark, sf):
     rows = cv(spark, sf).withColumn("speaker", F.when(F.col("speaker") == "system", " ").otherwise(F.col("speaker")))
-    return rows.where(F.trim("speaker") != "").select("conv_id", "seq", "speaker", "text")
+    return M.with_speaker(rows).select("conv_id", "seq", "speaker", "text")
 
 
 @query("SELECT conv_id, seq FROM chats WHERE length(text) BETWEEN 2 AND 28 AND NOT regexp_matches(text, '^(\\s*\\[[^\\[\\]]*\\]\\s*)+$')")
@@ -60,8 +61,7 @@ def p11_usable_lines(spark, sf):
 
 @query("SELECT conv_id, map_from_entries(list((speaker, n) ORDER BY speaker)) ['view'] AS views, len(list(speaker)) AS speakers FROM (SELECT conv_id, speaker, count(*) AS n FROM ev GROUP BY 1, 2) GROUP BY conv_id")
 def c02_count_maps(spark, sf):
-    by = ev(spark, sf).groupBy("conv_id", "speaker").agg(F.count("*").alias("n")).groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("speaker", "n"))).alias("m"))
-    return by.select("conv_id", F.try_element_at("m", F.lit("view")).alias("views"), F.size("m").alias("speakers"))
+    return M.counted(ev(spark, sf)).select("conv_id", F.try_element_at("counts", F.lit("view")).alias("views"), F.size("counts").alias("speakers"))
 
 
 @query("SELECT conv_id, seq, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' ELSE '.' || strftime(ts, '%f') END AS iso, ts AS back FROM ev")
@@ -72,15 +72,7 @@ def d04_iso_round_trip(spark, sf):
 
 @query()
 def q13_holdout_cases(spark, sf):
-    test = C.holdout(zh(spark), 40).where("test").drop("session_id", "test")
-    return E.classified(E.exchanges(test, sides(spark))).select("conv_id", F.array_join("incoming", " ").alias("prompt"), "reply", "label")
-
-
-@query("SELECT a.lang, count(*) AS runs, count(*) FILTER (a.n_chars > b.n_chars) AS wins, avg(a.n_chars - b.n_chars) AS lead FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 GROUP BY a.lang")
-def q14_comparisons(spark, sf):
-    d = table(spark, sf, "documents")
-    other = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("n_chars").alias("other"))
-    return d.join(other, "doc_id").groupBy("lang").agg(F.count("*").alias("runs"), F.count_if(F.col("n_chars") > F.col("other")).alias("wins"), F.avg(F.col("n_chars") - F.col("other")).alias("lead"))
+    return T.holdout_cases(zh(spark), sides(spark), 40).select("conv_id", "id", "prompt", "allowed_quotes", "label")
 
 
 @query(f"SELECT conv_id, seq, CASE WHEN regexp_matches(text, {literal(L.DISTRESS)}) THEN 'comfort' WHEN length(text) <= 4 THEN 'follow_up' ELSE 'chat' END AS intent FROM chats")
@@ -92,7 +84,5 @@ def q03_intent(spark, sf):
 @query("SELECT conv_id, count(*) AS rows, max(seq) AS last FROM (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY seq DESC) <= 200) GROUP BY conv_id")
 def r06_bounded_tail(spark, sf):
     """The last 200 rows of each log, as the feature is."""
-    from pyspark.sql import Window
-
-    tail = ev(spark, sf).withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("seq")))).where("n <= 200")
+    tail = T.last_rows(ev(spark, sf), "conv_id", "seq")
     return tail.groupBy("conv_id").agg(F.count("*").alias("rows"), F.max("seq").alias("last"))

@@ -4,8 +4,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from talkframe.operators import layer as Y
 from talkframe.operators import packs as K
 from talkframe.operators import review as R
+from talkframe.operators import trials as T
 from talkframe.plans import review as Q
 from talkframe.plans.base import zh
 
@@ -123,7 +125,7 @@ def test_training_feedback_holds_every_document_against_the_benchmark(spark, tmp
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = [(i, f"document {i} says {passage} in full" if i % 2 else f"document {i} says nothing of it") for i in range(10)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert sorted(r["id"] for r in registry.QUERIES["j13_training_feedback_whole"](spark, str(tmp_path)).collect()) == [0, 2, 4, 6, 8]
+    assert sorted(r["id"] for r in registry.QUERIES["j13_training_feedback"](spark, str(tmp_path)).collect()) == [0, 2, 4, 6, 8]
 
 
 def test_every_sentence_of_a_passage_is_matched(spark, tmp_path):
@@ -136,3 +138,73 @@ def test_every_sentence_of_a_passage_is_matched(spark, tmp_path):
     got = {(r["claim_id"], r["sentence"]): r for r in registry.QUERIES["j04_bigram_candidates"](spark, str(tmp_path)).collect()}
     assert set(got) == {(7, 0), (7, 1), (7, 2)}
     assert got[7, 0]["score"] < 1 and got[7, 1]["score"] == got[7, 2]["score"] == 1 and got[7, 1]["line_id"] != got[7, 2]["line_id"]
+
+
+def test_versions_locks_and_inventory(tmp_path):
+    root = tmp_path / "pack"
+    K.write_pack(root, {"a.md": "one\ntwo", "b.json": "{}"})
+    first = K.snapshot(root, "made")
+    K.write_pack(root, {"a.md": "one\n2", "c.md": "new"})
+    K.snapshot(root, "changed")
+    assert [v["reason"] for v in K.versions(root)] == ["changed", "made"]
+    d = K.difference(root, first)
+    assert (d["added"], d["removed"], d["changed"], d["cut"]) == (["c.md"], ["b.json"], ["a.md"], []) and "-two" in d["diffs"]["a.md"] and "+2" in d["diffs"]["a.md"]
+    assert K.difference(root, first, most=2)["cut"] == ["a.md"]
+    assert K.inventory(root) == ["a.md", "c.md"]
+    (root / ".state/current.json").unlink()
+    assert K.inventory(root) == ["a.md", "c.md"] and K.inventory(tmp_path / "none") == []
+    with K.locked(root), K.locked(root):
+        pass
+
+
+def test_logs_and_baselines(spark, tmp_path):
+    schema = "conv_id string, at long, note string"
+    log = str(tmp_path / "log")
+    for k in range(3):
+        T.append_log(spark.createDataFrame([("c", 10 * k + i, f"n{k}{i}") for i in range(4)], schema).coalesce(1), log)
+    (tmp_path / "log" / "broken.json").write_text('{"conv_id": "c", "at": \n')
+    assert [r["at"] for r in T.log_tail(spark, log, schema, "at", 5).collect()] == [23, 22, 21, 20, 13]
+    assert T.log_tail(spark, log, schema, "at", 5, by="conv_id").count() == 5
+    T.save_baseline(zh(spark), str(tmp_path / "base"), "v1")
+    back = T.baseline(spark, str(tmp_path / "base"), "v1")
+    assert back.columns == zh(spark).columns and back.count() == zh(spark).count() and back.where("text LIKE '%13800138000%'").count() == 0
+    with pytest.raises(Exception):
+        T.save_baseline(zh(spark), str(tmp_path / "base"), "v1")
+
+
+def test_increment_marks_what_it_may_cancel(spark):
+    from tests.test_exchanges import chat
+
+    known = chat(spark, [(0, "a", "周末去公园"), (1, "b", "好")])
+    incoming = chat(spark, [(0, "a", "周末去公园"), (9, "a", "公园取消了")])
+    ledger = spark.createDataFrame([("c", 1, "plan"), ("c", 2, "fact")], "conv_id string, memory_id long, status string")
+    quotes = spark.createDataFrame([("c", 1, "去公园"), ("c", 2, "早睡")], "conv_id string, memory_id long, quote string")
+    sections = spark.createDataFrame([("s", 1, "old"), ("s", 2, "both")], "section string, ordinal int, text string")
+    analyse = lambda added: spark.createDataFrame([("s", 1, "both"), ("s", 2, f"new {added.count()}")], "section string, ordinal int, text string")
+    got = T.applied_increment(known, incoming, sections, ledger, quotes, analyse)
+    assert [(r["seq"], r["text"]) for r in got.messages.orderBy("seq").collect()] == [(1, "周末去公园"), (2, "好"), (3, "公园取消了")]
+    assert {r["memory_id"]: r["status"] for r in got.ledger.collect()} == {1: "uncertain", 2: "fact"}
+    assert [r["text"] for r in got.sections.orderBy("ordinal").collect()] == ["old", "both", "new 1"]
+
+
+def test_comparisons_are_blind_until_all_are_chosen(spark):
+    cases = spark.createDataFrame([("c", f"x{k}") for k in range(20)], "conv_id string, id string")
+    run = T.comparison(cases, 3)
+    assert {r["first"] for r in run.collect()} == {"a", "b"} and sorted(map(tuple, run.collect())) == sorted(map(tuple, T.comparison(cases.repartition(5), 3).collect()))
+    results = run.selectExpr("conv_id", "id", "explode(array('a', 'b')) AS side", "'r' AS reply")
+    votes = spark.createDataFrame([("c", "x0", "a", 1), ("c", "x0", "b", 2), ("c", "x1", "tie", 1), ("c", "x2", "odd", 1)], "conv_id string, id string, choice string, at int")
+    chosen = {r["id"]: r["side"] for r in T.choices(run, results, votes).collect()}
+    second = {r["id"]: r["second"] for r in run.collect()}
+    assert chosen == {"x0": second["x0"], "x1": "tie"}
+    assert T.choices(run, results.where("side = 'a'"), votes).count() == 0
+    assert tuple(T.verdict(run, T.choices(run, results, votes)).collect()[0])[1:3] == (20, 2)
+
+
+def test_layer_texts(spark):
+    df = spark.createDataFrame([("一句\n两句\n三句\n四句", "a"), ("one\ntwo\n\nthree\nfour", "b"), ("a\nb", "c"), ("混\nab\n排\nx", "d")], "t string, k string")
+    got = {r["k"]: r["u"] for r in df.select("k", Y.unwrapped(df["t"]).alias("u")).collect()}
+    assert got == {"a": "一句两句三句四句", "b": "one two three four", "c": "a\nb", "d": "混ab排x"}
+    docs = spark.createDataFrame([("zh", "a.md", "打 13800138000"), ("zh", "none.md", " ")], "conv_id string, path string, body string")
+    files = {r["path"]: r for r in Y.assembled(docs, zh(spark), 500).collect()}
+    assert set(files) >= {"a.md", "README.md"} and "13800138000" not in files["a.md"]["body"] and all(r["bytes"] == len(r["body"].encode()) for r in files.values())
+    assert any(p.startswith("transcript/") for p in files)
