@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from talkframe.functions import lexicon as L
 from talkframe.functions import text as X
+from talkframe.operators.evidence import quoting
 from talkframe.operators.sessions import with_sessions
 
 
@@ -55,10 +56,9 @@ def holdout(m: DataFrame, percent: int) -> DataFrame:
 
 def training_feedback(feedback: DataFrame, test: DataFrame, least: int = 4) -> DataFrame:
     """Feedback (id, text) without rows that contain a test message of `least` characters and more."""
-    quotes = test.where(F.length("text") >= least).select(F.col("text").alias("quote")).distinct().withColumn("gram", F.left("quote", F.lit(least)))
-    grams = feedback.select("id", F.explode(X.ngrams("text", least, least)).alias("gram")).join(quotes.select("gram").distinct(), "gram", "left_semi").distinct()
-    hit = grams.join(quotes, "gram").join(feedback.select("id", "text"), "id").where(F.expr("contains(text, quote)")).select("id").distinct()
-    return feedback.join(hit, "id", "left_anti")
+    quotes = test.where(F.length("text") >= least).select(F.lit("").alias("conv_id"), F.col("text").alias("claim")).distinct().withColumn("item_id", F.xxhash64("claim"))
+    hit = quoting(quotes, feedback.select(F.lit("").alias("conv_id"), F.col("id").alias("seq"), "text"))
+    return feedback.join(hit.select(F.col("seq").alias("id")).distinct(), "id", "left_anti")
 
 
 def version_changes(old: DataFrame, new: DataFrame) -> DataFrame:
