@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -44,6 +45,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Collect the driver's garbage: Spark removes shuffle files and broadcasts of finished steps only once their plans are gone."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fold(doc_id: Column, of: int) -> Column:
     """crc32 of the id's text, modulo `of`; a null id has fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % of, F.lit(0))

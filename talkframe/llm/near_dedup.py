@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from talkframe.llm import words
 from talkframe.llm.bitmaps import pruned
-from talkframe.llm.common import written
-from talkframe.llm.graph import components
+from talkframe.llm.common import released, written
+from talkframe.llm.graph import components, merged, roots
 
 SHINGLE, COORDINATES, MATCHES, BLOCK = 5, 64, 30, 64
 #: Coordinates of the long sketches; two sets of similarity 0.75 agree in fewer than LONG_MATCHES once in millions.
@@ -196,19 +196,20 @@ def _labelled(df: DataFrame, comp: DataFrame, column: str, label: str) -> DataFr
     return df.join(comp.select(F.col("id").alias(column), F.col("component").alias("__label")), column, "left").withColumn(label, F.coalesce("__label", column)).drop("__label")
 
 
-def _linked(clusters: DataFrame, edges: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Components of edges, whose components are `comp`, and of all links inside clusters (rep, cluster).
+def _linked(clusters: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Components (id, component), of which `comp` are known, after all links inside clusters (rep, cluster).
 
     Both passes leave out the same core: whatever has not joined it by the second pass was compared with the first
     block in the first one. A component that outgrows the core in between is still compared with all blocks.
     """
     members = _labelled(clusters, comp, "rep", "component")
     cores = _cores(members)
-    links = written(edges.unionAll(_links(members, cores, sets, percent, True)))
-    comp = components(links)
+    comp = merged(comp, written(_links(members, cores, sets, percent, True)))
     # a component's name is one of its members, so the core's name leads to the component that it is in now
+    if cores.where("blocks > 1").isEmpty():  # the first block was all of every cluster
+        return comp
     cores = written(_labelled(cores.withColumnRenamed("core", "was"), comp, "was", "core").select("cluster", "core", "blocks"))
-    return components(links.unionAll(written(_links(_labelled(clusters, comp, "rep", "component"), cores, sets, percent, False))))
+    return merged(comp, written(_links(_labelled(clusters, comp, "rep", "component"), cores, sets, percent, False)))
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, matches: int = MATCHES) -> DataFrame:
@@ -238,17 +239,22 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select(F.col("leader").alias("a"), F.col("rep").alias("b"))
     )
     # an id's rows of different classes are one document
-    several = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
-    same_id = member.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
-    edges = written(_confirmed(written(tried), texts, percent).unionAll(same_id))
-    comp = components(edges)
-
+    several = written(member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a"))
+    released(docs.sparkSession)
+    # each class has one leader at most, which is smaller, so the first links are lines of parents
+    comp = roots(_confirmed(written(tried), texts, percent).select(F.col("b").alias("id"), F.col("a").alias("parent")))
+    if not several.isEmpty():
+        comp = merged(comp, written(member.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))))
+
+    released(docs.sparkSession)
     labelled = _labelled(posted, comp, "rep", "component")
     open_lists = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("leader")).where("lo <> hi")
     spokes = labelled.join(open_lists.select("token", "leader"), "token").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     clusters = components(spokes).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
     sets = written(_sets_of(written(clusters.select(F.col("rep").alias("id"))), texts, True))
-    comp = _linked(clusters, edges, comp, sets, percent)
+    released(docs.sparkSession)
+    comp = _linked(clusters, comp, sets, percent)
+    released(docs.sparkSession)
 
     final = member.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     out = light.select("doc_id", "n_shingles").join(final, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))

@@ -55,6 +55,19 @@ def test_components(spark):
     assert {got[100 + i] for i in range(41)} == {100} and {got[200 + i] for i in range(50)} == {200}
 
 
+def test_roots_and_merged(spark):
+    parents = [(2, 1), (3, 2), (4, 3), (9, 1), (12, 11), (40, 30)] + [(100 + i, 99 + i) for i in range(1, 30)]
+    known = graph.roots(spark.createDataFrame(parents, "id long, parent long"))
+    got = {r["id"]: r["component"] for r in known.collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 9: 1, 11: 11, 12: 11, 30: 30, 40: 30} | {100 + i: 100 for i in range(30)} and known.count() == len(got)
+    links = [(4, 12), (40, 129), (500, 501), (501, 3), (2, 9)]
+    after = graph.merged(known, spark.createDataFrame(links, "a long, b long"))
+    want = got | {11: 1, 12: 1, 500: 1, 501: 1} | {100 + i: 30 for i in range(30)}
+    assert {r["id"]: r["component"] for r in after.collect()} == want and after.count() == len(want)
+    assert graph.merged(known, spark.createDataFrame([(2, 9)], "a long, b long")).count() == len(got)
+    assert graph.roots(spark.createDataFrame([], "id long, parent long")).count() == 0
+
+
 # --- 1 language id
 
 
@@ -641,7 +654,7 @@ def test_core_outgrown_between_passes(spark):
     table = spark.createDataFrame(rows, "id long, shingles array<long>, sketch binary")
     clusters = spark.createDataFrame([(i, 1) for i in sets], "rep long, cluster long")
     edges = spark.createDataFrame([(min(x, i), max(x, i)) for i in a], "a long, b long")
-    got = near_dedup._linked(clusters, edges, graph.components(edges), table, 75).collect()
+    got = near_dedup._linked(clusters, graph.components(edges), table, 75).collect()
     assert {r["id"] for r in got} == set(sets) and {r["component"] for r in got} == {min(sets)}
 
 
