@@ -52,12 +52,14 @@ def _places(lines: DataFrame, run_lines: int) -> DataFrame:
     windows = f"transform(if(size(h) >= {t}, sequence(0, size(h) - {t}), cast(array() AS array<int>)), i -> reverse(slice(h, i + 1, {t})))"
     selected = F.expr(f"array_distinct(transform({windows}, (w, i) -> int(i + {t} - array_position(w, array_min(w)))))")
     alone = F.expr("filter(transform(long, (x, i) -> if(x, i, null)), i -> i IS NOT NULL)")
-    posted = F.concat(F.transform(selected, lambda p: F.struct(p.alias("at"), F.lit(t).alias("run"))), F.transform(alone, lambda p: F.struct(p.alias("at"), F.lit(1).alias("run"))))
-    around = F.expr("transform(sequence(p.at - p.run + 1, p.at + p.run - 1), k -> struct(get(h, k) AS h, get(g, k) AS g, get(line, k) AS line))")
-    each = lines.select("doc_id", "line", "h", "g", F.explode(posted).alias("p"))
+    around_of = "transform(sequence(p.at - p.run + 1, p.at + p.run - 1), k -> struct(get(h, k) AS h, get(g, k) AS g, get(line, k) AS line))"
     # a line that is a run by itself is told apart by its last bit
-    fingerprint = F.expr("get(h, p.at) ^ if(p.run = 1, 1L, 0L)")
-    return each.select("doc_id", fingerprint.alias("fingerprint"), "p.at", "p.run", around.alias("around"))
+    fingerprint_of = "get(h, p.at) ^ if(p.run = 1, 1L, 0L)"
+    posted = F.concat(F.transform(selected, lambda p: F.struct(p.alias("at"), F.lit(t).alias("run"))), F.transform(alone, lambda p: F.struct(p.alias("at"), F.lit(1).alias("run"))))
+    # places take their lines along before they become rows, so that no row carries its whole text's hashes
+    narrow = F.expr(f"transform(posted, p -> struct({fingerprint_of} AS fingerprint, p.at AS at, p.run AS run, {around_of} AS around))")
+    each = lines.select("doc_id", "line", "h", "g", posted.alias("posted")).select("doc_id", F.explode(narrow).alias("p"))
+    return each.select("doc_id", "p.*")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_lines: int = 2, long_words: int = 50) -> DataFrame:
@@ -95,9 +97,12 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_lines: int = 2, long_words: int = 50) -> DataFrame:
     """docs with the later repeated runs of lines taken out of their texts."""
-    gone = repeated_lines(docs, id_col, text_col, run_lines, long_words).select(F.struct(F.col("doc_id").alias("id"), "removed").alias("__gone"))
-    text = F.array_join(F.filter(F.split(docs[text_col], "\n", -1), lambda x, i: ~F.array_contains("__gone.removed", i)), "\n")
-    out = docs.join(gone, docs[id_col] == F.col("__gone.id"), "left")
-    text = F.when(F.col("__gone").isNull(), docs[text_col]).otherwise(text)
+    gone = written(repeated_lines(docs, id_col, text_col, run_lines, long_words).select(F.col("doc_id").alias("__id"), "removed"))
+    with_id = docs.withColumn("__id", F.col(id_col).cast("long"))
+    rest = pruned(with_id, "__id", gone, outside=True).select(docs.columns)
+    # both sides in linear time: the numbers that stay by a hash set, their lines by position
+    text = F.expr(f"array_join(transform(array(split(`{text_col}`, '\\n', -1)), x -> transform(array_except(sequence(0, size(x) - 1), __removed), i -> x[i]))[0], '\\n')")
+    text = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(text)
     columns = {text_col: text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
-    return out.select(*(columns[c].alias(c) if c in columns else docs[c] for c in docs.columns))
+    met = pruned(with_id, "__id", gone).join(gone.select(F.col("__id").alias("__of"), F.col("removed").alias("__removed")), F.col("__id") == F.col("__of"), "left")
+    return met.select(*(columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns)).unionByName(rest)
