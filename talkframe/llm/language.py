@@ -223,14 +223,18 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     """A network from a bounded sample of the usable rows with a language; None without any."""
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
         F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("b"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("draw")
-    ).where(F.length("b") <= longest)
-    # each language is an output of the network, so its counts are few
-    n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not n:
+    )
+    # each language is an output of the network, so its counts are few; one that has only longer texts learns from its shortest
+    short = F.length("b") <= longest
+    seen = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count_if(short).alias("n")).collect()}
+    if not seen:
         return None
+    n, rare = {lang: k for lang, k in seen.items() if k}, [lang for lang, k in seen.items() if not k]
+    got = [(r["lang"], r["draw"], bytes(r["b"])) for r in rows.where(F.col("lang").isin(rare)).groupBy("lang").agg(F.min_by(F.struct("draw", "b"), F.struct(F.length("b"), "draw")).alias("x")).select("lang", "x.*").collect()] if rare else []
     # enough of each language in expectation, then the first by hash; the driver never sees more than a few times the bound
-    share = F.element_at(F.create_map(*(x for lang, k in n.items() for x in (F.lit(lang), F.lit(1_000_003 * 2.0 * per_language / k)))), F.col("lang"))
-    got = sorted((r["lang"], r["draw"], bytes(r["b"])) for r in rows.where(F.pmod("draw", F.lit(1_000_003)) < share).collect())
+    share = F.lit(0.0) if not n else F.element_at(F.create_map(*(x for lang, k in n.items() for x in (F.lit(lang), F.lit(1_000_003 * 2.0 * per_language / k)))), F.col("lang"))
+    drawn = rows.where(short & (F.pmod("draw", F.lit(1_000_003)) < share)) if n else None
+    got = sorted(got + [(r["lang"], r["draw"], bytes(r["b"])) for r in (drawn.collect() if n else [])])
     taken: dict[str, list] = {}
     for lang, _, text in got:
         if len(taken.setdefault(lang, [])) < per_language:
