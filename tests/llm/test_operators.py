@@ -144,6 +144,16 @@ def test_language_query_equals_plain_version(spark, sf, texts):
             assert got[d]["lang_pred"] == net.languages[int(np.argmax(p))] and abs(got[d]["score"] - max(p)) < 1e-3
 
 
+def test_language_of_long_texts_only_is_learned(spark):
+    rng = random.Random(4)
+    text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(n))
+    rows = [(i, text("abcde", 20), "aa", None, None) for i in range(30)] + [(100 + i, text("vwxyz", 400 + i), "zz", None, None) for i in range(8)]
+    net = language.fit(spark.createDataFrame(rows, H.SCHEMA), language.F.lit(True), longest=1000)
+    assert net.languages == ["aa", "zz"]
+    p = net.document_probabilities([text("vwxyz", 30).encode(), text("abcde", 30).encode()])
+    assert p[0, 1] > 0.5 > p[1, 1]
+
+
 def test_language_labels_positions_and_whole_texts():
     net = language.train([("aa", b"abab abba baab" * 4)] * 8 + [("zz", b"xyzx yzzy xxyz" * 4)] * 8, steps=60, hidden=4)
     text = b"abba baab " * 30 + b"xyzx yzzy " * 30
@@ -305,16 +315,67 @@ def test_water_fill():
 
 def test_mix_meets_targets(spark):
     rows = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).toPandas()
-    source = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source").toPandas()
-    both = rows.merge(source, on="doc_id")
-    for _, g in both.groupby("source"):
+    for _, g in rows.groupby("source", dropna=False):
         assert g["size"].sum() == g.source_size.iloc[0] and abs(g.taken.sum() - g.target.iloc[0]) <= max(40, 0.01 * g.target.iloc[0])
     assert (rows.taken <= 2 * rows["size"]).all() and (rows.taken >= 0).all()
-    assert abs(both.groupby("source").target.first().sum() - 1.5 * rows["size"].sum()) < 1e-3
+    assert abs(rows.groupby("source", dropna=False).target.first().sum() - 1.5 * rows["size"].sum()) < 1e-3
     again = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(7)).toPandas()
     assert sorted(again.itertuples(index=False)) == sorted(rows.itertuples(index=False))
 
 
+def test_mix_equals_brute_force(spark):
+    """All blocks of all shards, one by one: quotas by the highest quotient, drawn blocks by the permutation, words by their place."""
+    import math
+
+    rng = random.Random(8)
+    docs = [(i, "w " * rng.choice([0, 1, 7, 8, 9, 40, 300]), None, rng.choice(["a", "b", "b", "b", None]), None) for i in range(400)]
+    df, block, per_shard, seed = spark.createDataFrame(docs, H.SCHEMA), 8, 16, 20240229
+    got = {r["doc_id"]: (r["size"], r["source_size"], round(r["target"], 6), r["taken"]) for r in mixing.mix(df, rows_per_shard=per_shard).collect()}
+    keys = {r["doc_id"]: r["k"] for r in df.selectExpr("doc_id", f"xxhash64({seed}, doc_id) AS k").collect()}
+    shard_keys = {r["doc_id"]: r["k"] for r in df.selectExpr("doc_id", f"xxhash64(xxhash64({seed}, doc_id)) AS k").collect()}
+
+    def quotas(votes, seats, caps):
+        out = [0] * len(votes)
+        for _ in range(seats):
+            best = max((i for i in range(len(votes)) if out[i] < caps[i] and votes[i]), key=lambda i: (votes[i] / (2 * out[i] + 1), -i), default=None)
+            if best is not None:
+                out[best] += 1
+        return out
+
+    by = {}
+    for d, t, _, s, _ in docs:
+        by.setdefault(s, []).append((d, len(t.split())))
+    sources = sorted(by, key=lambda s: (s is None, s or ""))
+    sizes, weights = [sum(n for _, n in by[s]) for s in sources], [5, 2, 1]
+    targets, left, open_ = [0.0] * 3, 1.5 * sum(sizes), set(range(3))
+    while open_:  # excess goes to the others by weight until none is above
+        share = {i: left * weights[i] / sum(weights[j] for j in open_) for i in open_}
+        over = {i for i in open_ if share[i] > 2 * sizes[i]}
+        if not over:
+            for i in open_:
+                targets[i] = share[i]
+            break
+        for i in over:
+            targets[i], left = 2.0 * sizes[i], left - 2 * sizes[i]
+        open_ -= over
+    seats = quotas(targets, round(sum(targets) / block), [2 * math.ceil(n / block) for n in sizes])
+    for source, size, target, quota in zip(sources, sizes, targets, seats, strict=True):
+        n = max(1, math.ceil(len(by[source]) / max(per_shard, math.isqrt(len(by[source])))))
+        shards = {}
+        for d, k in by[source]:
+            shards.setdefault(shard_keys[d] % n, []).append((keys[d], d, k))
+        order = sorted(shards)
+        totals = [sum(k for *_, k in shards[s]) for s in order]
+        for s, total, blocks in zip(order, totals, quotas(totals, quota, [2 * math.ceil(x / block) for x in totals]), strict=True):
+            count = max(1, math.ceil(total / block))
+            a, b = mixing.keyed_permutation(count, seed, source, s)
+            times = [blocks // count + ((i * a + b) % count < blocks % count) for i in range(count)]
+            at = 0
+            for _, d, k in sorted(shards[s]):
+                assert got[d] == (k, size, round(target, 6), sum(times[w // block] for w in range(at, at + k))), d
+                at += k
+
+
 def test_mix_awkward(spark):
     got = mixing.mix(H.frame(spark, H.AWKWARD, True)).collect()
     assert len(got) == len(H.AWKWARD) and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
@@ -487,6 +548,20 @@ def test_line_dedup_awkward(spark):
     assert line_dedup.line_dedup(H.frame(spark, [], True)).count() == 0
 
 
+def test_line_dedup_is_linear_in_lines(spark):
+    import time
+
+    def seconds(n):
+        text = "\n".join(f"line number {i}" for i in range(n))
+        began = time.time()
+        got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(spark.createDataFrame([(1, text), (2, text), (3, None)], "doc_id long, text string")).collect()}
+        assert got == {1: text, 2: "", 3: None}
+        return time.time() - began
+
+    seconds(1000)  # compiles
+    assert seconds(80_000) <= 2.2 * seconds(40_000) + 1
+
+
 def test_line_dedup_posts_window_minima_only(spark):
     lines = spark.createDataFrame([(1, [0, 1, 2, 3, 4, 5], [5, 1, 4, 2, 2, 9], [0] * 6, [False] * 6)], "doc_id long, line array<int>, h array<long>, g array<long>, long array<boolean>")
     got = sorted((r["fingerprint"], r["at"], [x["h"] for x in r["around"]]) for r in line_dedup._places(lines, 3).collect())
