@@ -24,7 +24,6 @@ empty bands; scores are exact below 2^53; an empty table gives an empty result;
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
