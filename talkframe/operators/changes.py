@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from talkframe.functions import lexicon as L
 from talkframe.functions import text as X
+from talkframe.operators import scans
 from talkframe.operators.evidence import quoting
 from talkframe.operators.sessions import with_sessions
 
@@ -26,7 +27,7 @@ def additions(known: DataFrame, incoming: DataFrame) -> DataFrame:
     """
     had = keyed(known).groupBy("conv_id", "key").agg(F.count("*").alias("had"))
     new = keyed(incoming).join(had, ["conv_id", "key"], "left").where(F.col("copy") > F.coalesce("had", F.lit(0))).drop("had", "copy")
-    return new.withColumn("message", F.row_number().over(Window.partitionBy("conv_id").orderBy("seq")))
+    return scans.numbered(new, "message", ["conv_id"], ["seq"], scans.by_number())
 
 
 def conflicts(added: DataFrame, facts: DataFrame, marks: Sequence[str] = L.CONFLICT_MARKS, stop: Sequence[str] = L.CONFLICT_STOP_GRAMS, cjk: bool = True) -> DataFrame:

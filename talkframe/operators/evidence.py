@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from talkframe.functions import lexicon as L
 from talkframe.functions import text as X
 from talkframe.functions.udfs import needles, nfkc_fold, ordered_coverage
-from talkframe.operators.messages import in_order
+from talkframe.operators import scans
 from talkframe.operators.sessions import with_sessions
 
 
@@ -20,7 +19,7 @@ def corpus_lines(m: DataFrame) -> DataFrame:
     """Lines of at least two folded characters: conv_id, line_id, seq, speaker, ts, raw, norm."""
     rows = m.select("conv_id", "seq", "ts", "speaker", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "raw"))
     rows = rows.withColumn("raw", X.stripped("raw")).withColumn("norm", nfkc_fold("raw")).where(F.length("norm") >= 2)
-    return rows.withColumn("line_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("seq", "pos"))).drop("pos")
+    return scans.numbered(rows, "line_id", ["conv_id"], ["seq", "pos"], scans.by_number()).drop("pos")
 
 
 def claims_of(items: DataFrame) -> DataFrame:
@@ -76,13 +75,15 @@ def contained(claims: DataFrame, m: DataFrame, lines: DataFrame) -> DataFrame:
     """
     wanted = _needle_rows(claims, m).where(F.length("needle") >= 2).withColumn("size", F.least(F.length("needle"), F.lit(4)))
     pieces = wanted.select("conv_id", "claim_id", "form", "size", F.length("needle").alias("n"), F.posexplode(F.expr("transform(sequence(1, length(needle) - size + 1), i -> substring(needle, i, size))")).alias("i", "gram"))
-    w = Window.partitionBy("conv_id").orderBy("line_id")
     # every line has two characters, so the next two hold what a gram needs beyond its line
-    after = F.concat(F.coalesce(F.lead("norm").over(w), F.lit("")), F.coalesce(F.lead("norm", 2).over(w), F.lit("")))
-    start = F.coalesce(F.sum(F.length("norm")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    laid = lines.select("conv_id", "norm", F.concat("norm", F.left(after, F.lit(3))).alias("reach"), start.alias("start"))
-    sizes = F.explode(F.array(*map(F.lit, (2, 3, 4)))).alias("size")
-    grams = laid.select("*", sizes).select("conv_id", "size", "start", F.posexplode(F.expr("transform(sequence(1, length(norm)), i -> substring(reach, i, size))")).alias("at", "gram")).where("length(gram) = size")
+    placed = scans.running_sum(lines.select("conv_id", "line_id", "norm"), "end", F.length("norm"), ["conv_id"], ["line_id"], scans.by_number("line_id"))
+    near = scans.beside(placed.withColumn("own", F.left("norm", F.lit(3))), {"next": "own"}, ["conv_id"], ["line_id"], scans.by_number("line_id"), after=True)
+    near = scans.beside(near, {"second": "next"}, ["conv_id"], ["line_id"], scans.by_number("line_id"), after=True)
+    after = F.concat(F.coalesce("next", F.lit("")), F.coalesce("second", F.lit("")))
+    laid = near.select("conv_id", "norm", F.concat("norm", F.left(after, F.lit(3))).alias("reach"), (F.col("end") - F.length("norm")).alias("start"))
+    # a conversation's lines are cut into grams of the sizes that its claims ask for
+    sizes = wanted.groupBy("conv_id").agg(F.collect_set("size").alias("sizes"))
+    grams = laid.join(sizes, "conv_id").select("*", F.explode("sizes").alias("size")).select("conv_id", "size", "start", F.posexplode(F.expr("transform(sequence(1, length(norm)), i -> substring(reach, i, size))")).alias("at", "gram")).where("length(gram) = size")
     hits = grams.join(pieces, ["conv_id", "size", "gram"]).groupBy("conv_id", "claim_id", "form", "n", "size", (F.col("start") + F.col("at") - F.col("i")).alias("begin")).agg(F.count("*").alias("hits"))
     return hits.where(F.col("hits") == F.col("n") - F.col("size") + 1).select("conv_id", "claim_id").distinct()
 
@@ -140,40 +141,75 @@ def month_span(m: DataFrame) -> DataFrame:
     return m.where("ts IS NOT NULL").groupBy("conv_id").agg(F.concat_ws(" ~ ", F.min(month), F.max(month)).alias("span"))
 
 
-def _quote_key(claim: Column) -> Column:
-    """struct<kind, gram> under which a claim is looked for.
+#: Words, or characters of a claim without inner words, of the keys that claims are looked for by.
+KEY_WORDS, KEY_CHARS = (4, 3, 2, 1), (4, 2)
+#: Messages of a key from which its rows are dealt out.
+HOT_KEY = 4096
 
-    Its words but the first and the last stand whole wherever the claim stands: the longest run of up to four of them
-    (kind 1 to 4). A claim without such words is looked for by its first characters, four or two (kind -4, -2).
+
+def _claim_keys(claims: DataFrame) -> DataFrame:
+    """conv_id, claim, kind and gram: every key that a claim could be looked for by.
+
+    Its words but the first and the last stand whole wherever it stands: all their runs of up to four (kind 1 to 4). A
+    claim without such words is looked for by its grams of four characters, or of two (kind -4, -2).
+    """
+    words = F.split("claim", r"\s+")
+    rows = claims.select("conv_id", "claim", words.alias("w"), F.least(F.size(words) - 2, F.lit(KEY_WORDS[0])).alias("n"))
+    runs = F.transform(F.sequence(F.lit(2), F.size("w") - F.col("n")), lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))
+    k = F.when(F.length("claim") >= KEY_CHARS[0], KEY_CHARS[0]).otherwise(KEY_CHARS[1])
+    parts = F.expr(f"transform(sequence(1, length(claim) - if(length(claim) >= {KEY_CHARS[0]}, {KEY_CHARS[0]}, {KEY_CHARS[1]}) + 1), i -> substring(claim, i, if(length(claim) >= {KEY_CHARS[0]}, {KEY_CHARS[0]}, {KEY_CHARS[1]})))")
+    of_words = rows.where("n >= 1").select("conv_id", "claim", F.col("n").alias("kind"), F.explode(F.array_distinct(runs)).alias("gram"))
+    of_chars = rows.where("n < 1").select("conv_id", "claim", (-k).alias("kind"), F.explode(F.array_distinct(parts)).alias("gram"))
+    return of_words.unionAll(of_chars)
+
+
+def _message_keys(m: DataFrame, keys: DataFrame) -> DataFrame:
+    """conv_id, seq, kind and each key that a message has, of the kinds that its conversation's claims have; each text is split once."""
+    kinds = keys.groupBy("conv_id").agg(F.collect_set("kind").alias("kinds"))
+    rows = m.select("conv_id", "seq", "text").join(kinds, "conv_id").select("conv_id", "seq", "text", "kinds", F.split("text", r"\s+").alias("w"))
+    runs = lambda n: F.expr(f"if(size(w) >= {n}, transform(sequence(1, size(w) - {n} + 1), i -> array_join(slice(w, i, {n}), ' ')), cast(array() AS array<string>))")
+    grams = F.when(F.col("kind") == KEY_WORDS[0], runs(KEY_WORDS[0]))
+    for n in KEY_WORDS[1:]:
+        grams = grams.when(F.col("kind") == n, runs(n))
+    for n in KEY_CHARS:
+        grams = grams.when(F.col("kind") == -n, X.ngrams("text", n, n))
+    each = rows.select("conv_id", "seq", "text", "w", F.explode("kinds").alias("kind"))
+    return each.select("conv_id", "seq", "kind", F.explode(F.array_distinct(grams)).alias("gram"))
+
+
+def rarest_keys(claims: DataFrame, m: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(conv_id, claim, kind, gram, n), and (conv_id, seq, kind, gram) of the messages that have a chosen key.
+
+    Of a claim's keys the one that the fewest messages of its conversation have, n of them; a claim of which a key stands
+    nowhere is left out, since it stands nowhere itself.
     """
-    inner = F.split(claim, r"\s+")
-    n = F.least(F.size(inner) - 2, F.lit(4))
-    runs = F.transform(F.sequence(F.lit(2), F.size(inner) - n), lambda i: F.array_join(F.slice(inner, i, n), " "))
-    longest = F.array_max(F.transform(runs, lambda x: F.struct(F.length(x).alias("size"), x.alias("run"))))["run"]
-    k = F.when(F.length(claim) >= 4, 4).otherwise(2)
-    return F.when(n >= 1, F.struct(n.alias("kind"), longest.alias("gram"))).otherwise(F.struct((-k).alias("kind"), F.substring(claim, F.lit(1), k).alias("gram")))
+    keys = _claim_keys(claims.select("conv_id", "claim").distinct())
+    asked = keys.select("conv_id", "kind", "gram").distinct()
+    held = _message_keys(m, keys).join(asked, ["conv_id", "kind", "gram"], "left_semi")
+    counts = held.groupBy("conv_id", "kind", "gram").agg(F.count("*").alias("n"))
+    counted = keys.join(counts, ["conv_id", "kind", "gram"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    chosen = counted.groupBy("conv_id", "claim").agg(F.min(F.struct("n", "kind", "gram")).alias("k")).select("conv_id", "claim", "k.kind", "k.gram", "k.n").where("n > 0")
+    return chosen, held.join(chosen.select("conv_id", "kind", "gram").distinct(), ["conv_id", "kind", "gram"], "left_semi")
 
 
-def _text_keys(m: DataFrame, kind: int) -> DataFrame:
-    """conv_id, seq, kind and each key of that kind that a message has."""
-    if kind < 0:
-        rows = m.select("conv_id", "seq", X.ngrams("text", -kind, -kind).alias("keys"))
-    else:
-        # words are a column, so that a text is split once
-        rows = m.select("conv_id", "seq", F.split("text", r"\s+").alias("w")).where(F.size("w") >= kind)
-        rows = rows.select("conv_id", "seq", F.transform(F.sequence(F.lit(1), F.size("w") - kind + 1), lambda i: F.array_join(F.slice("w", i, kind), " ")).alias("keys"))
-    return rows.select("conv_id", "seq", F.lit(kind).alias("kind"), F.explode(F.array_distinct("keys")).alias("gram"))
+def candidates(claims: DataFrame, m: DataFrame, hot: int = HOT_KEY) -> DataFrame:
+    """conv_id, claim and seq of the messages that share a claim's rarest key.
+
+    A key of more than `hot` messages is dealt out to parts of about that many, and its claims go to each part.
+    """
+    chosen, held = rarest_keys(claims, m)
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / hot)).cast("int")
+    spread = chosen.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    of = chosen.groupBy("conv_id", "kind", "gram").agg(F.max(parts).alias("parts"))
+    dealt = held.join(of, ["conv_id", "kind", "gram"]).withColumn("part", F.pmod(F.xxhash64("seq"), F.col("parts")).cast("int"))
+    return dealt.join(spread, ["conv_id", "kind", "gram", "part"]).select("conv_id", "claim", "seq")
 
 
 def quoting(items: DataFrame, m: DataFrame) -> DataFrame:
-    """Messages that contain a claim (conv_id, item_id, claim of 2 characters and more), by an equi-join on a key of the claim before the containment is tested."""
-    wanted = items.where(F.length("claim") >= 2).select("conv_id", "item_id", "claim", _quote_key(F.col("claim")).alias("k")).select("conv_id", "item_id", "claim", "k.*")
-    kinds = sorted(r["kind"] for r in wanted.select("kind").distinct().collect())  # of six at most
-    if not kinds:
-        return m.join(wanted.select("conv_id", "item_id", "claim"), "conv_id").where(F.lit(False))
-    keys = reduce(DataFrame.unionAll, (_text_keys(m, k) for k in kinds)).join(wanted.select("conv_id", "kind", "gram").distinct(), ["conv_id", "kind", "gram"], "left_semi")
-    near = keys.join(wanted, ["conv_id", "kind", "gram"]).select("conv_id", "seq", "item_id", "claim").distinct()
-    return near.join(m, ["conv_id", "seq"]).where(F.expr("contains(text, claim)")).dropDuplicates(["conv_id", "item_id", "seq"])
+    """Messages that contain a claim (conv_id, item_id, claim of 2 characters and more): those that share its rarest key are tested."""
+    wanted = items.where(F.length("claim") >= 2).select("conv_id", "item_id", "claim").distinct()
+    near = candidates(wanted, m).join(m, ["conv_id", "seq"]).where(F.expr("contains(text, claim)"))
+    return near.join(wanted, ["conv_id", "claim"]).dropDuplicates(["conv_id", "item_id", "seq"])
 
 
 def token_edge(m: DataFrame, target: DataFrame) -> DataFrame:
@@ -270,6 +306,5 @@ def counter_evidence(items: DataFrame, m: DataFrame, target: DataFrame, most: in
 
 def neighbours_of(found: DataFrame, m: DataFrame) -> DataFrame:
     """The message before and after each found one (conv_id, seq)."""
-    w = in_order()
-    around = m.select("conv_id", "seq", F.lag("text").over(w).alias("before"), F.lead("text").over(w).alias("after"))
+    around = scans.around(m.select("conv_id", "seq", "text"), "text", ["conv_id"], ["seq"], scans.by_number()).drop("text")
     return found.join(around, ["conv_id", "seq"], "left")

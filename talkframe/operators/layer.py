@@ -12,6 +12,7 @@ from talkframe.functions import text as X
 from talkframe.operators import evidence as V
 from talkframe.operators import mining as N
 from talkframe.operators import packs as K
+from talkframe.operators import scans
 
 
 def named(column: Column, names: Mapping[str, str]) -> Column:
@@ -54,8 +55,7 @@ def evidence_rows(items: DataFrame, m: DataFrame) -> DataFrame:
     claims = V.claims_of(items.select("conv_id", "item_id", "section", "text")).withColumn("claim_id", F.row_number().over(order).cast("long"))
     found = V.verified(claims.select("conv_id", "claim_id", "claim"), m)
     lines = V.corpus_lines(m)
-    w = Window.partitionBy("conv_id").orderBy("line_id")
-    near = lines.select("conv_id", "raw", "line_id", F.lag("raw").over(w).alias("before"), F.lead("raw").over(w).alias("after"))
+    near = scans.around(lines.select("conv_id", "raw", "line_id"), "raw", ["conv_id"], ["line_id"], scans.by_number("line_id"))
     near = near.groupBy("conv_id", F.col("raw").alias("nearest")).agg(F.min_by(F.struct("before", "after"), "line_id").alias("around"))
     # a claim found word for word is shown with the line that holds it, where one line does
     exact = V.quoting(claims.select("conv_id", F.col("claim_id").alias("item_id"), "claim"), lines.select("conv_id", F.col("line_id").alias("seq"), F.col("raw").alias("text")))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from talkframe.operators import scans
+
 SCHEMA = T.StructType([
     T.StructField("conv_id", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
     T.StructField("speaker", T.StringType()), T.StructField("text", T.StringType()), T.StructField("source_id", T.StringType()), T.StructField("reply_to", T.StringType()),
@@ -51,7 +53,8 @@ def from_conversations(df: DataFrame) -> DataFrame:
 
 def from_events(df: DataFrame) -> DataFrame:
     """A conversation for every ten users; event types speak."""
-    numbered = df.withColumn("conv", F.floor(F.col("user_id") / 10)).withColumn("n", F.row_number().over(Window.partitionBy("conv").orderBy("ts", "event_id")))
+    # numbered day by day, so that a conversation may be of any length
+    numbered = scans.numbered(df.withColumn("conv", F.floor(F.col("user_id") / 10)), "n", ["conv"], ["ts", "event_id"], F.to_date("ts"))
     return messages(numbered, conv_id=F.col("conv"), seq=F.col("n"), ts=F.col("ts"), speaker=F.col("event_type"), text=F.col("props"), source_id=F.col("event_id"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from talkframe.functions import lexicon as L
 from talkframe.functions import text as X
-from talkframe.operators.sessions import closers, minutes_between, reply_gaps, starters, with_burst, with_sessions
+from talkframe.operators.sessions import closers, reply_gaps, starters, with_burst, with_previous, with_sessions
 
 
 def share(part: Column, whole: Column, digits: int = 1) -> Column:
@@ -111,8 +111,7 @@ def laugh_counts(m: DataFrame, words: Sequence[str] = L.LAUGH_WORDS) -> DataFram
 
 def style(m: DataFrame) -> DataFrame:
     """Length, end punctuation, sentence kinds and bursts of messages that aren't blank."""
-    w = Window.partitionBy("conv_id").orderBy("seq")
-    rows = m.withColumn("again", F.coalesce(F.lag("speaker").over(w) == F.col("speaker"), F.lit(False)))
+    rows = with_previous(m, __who="speaker").withColumn("again", F.coalesce(F.col("__who") == F.col("speaker"), F.lit(False)))
     again = rows.groupBy("conv_id", "speaker").agg(F.count_if("again").alias("bursts"))
     t, n = X.stripped("text"), F.count("*")
     ends = lambda *e: F.count_if(t.rlike("(" + "|".join(map(_escaped, e)) + ")$"))

@@ -7,27 +7,60 @@ from pyspark.sql import functions as F
 
 from talkframe.functions import lexicon as L
 from talkframe.functions import text as X
-from talkframe.operators.messages import in_order
+from talkframe.operators import scans
 
 
 def minutes_between(later: Column, earlier: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", earlier, later) / 60e6
 
 
-def with_sessions(m: DataFrame, gap_minutes: int = L.SESSION_GAP_MINUTES) -> DataFrame:
-    """session_id from 0: a new one where a timed message goes back, or is more than the gap after the last timed one."""
-    w = in_order()
-    last = F.last("ts", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.col("ts").isNotNull() & last.isNotNull() & ((F.col("ts") < last) | (minutes_between(F.col("ts"), last) > gap_minutes))
-    return m.withColumn("__open", opens.cast("long")).withColumn("session_id", F.sum("__open").over(w)).drop("__open")
+_CONV = ["conv_id"]
 
 
-def with_runs(m: DataFrame) -> DataFrame:
+def with_sessions(m: DataFrame, gap_minutes: int = L.SESSION_GAP_MINUTES, size: int = scans.SEGMENT) -> DataFrame:
+    """session_id from 0: a new one where a timed message goes back, or is more than the gap after the last timed one.
+
+    size: numbers of seq that a segment spans; a conversation may have any number of them.
+    """
+    rows = scans.cut(m, scans.by_number(size=size))
+    opens = lambda ts, last: F.coalesce((ts < last) | (minutes_between(ts, last) > gap_minutes), F.lit(False))
+    preceding = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    local = preceding(Window.partitionBy("conv_id", "__segment").orderBy("seq"))
+    # of a segment: its first and last time, and what opens whatever was before
+    folded = rows.select("conv_id", "__segment", "seq", "ts", opens(F.col("ts"), F.last("ts", ignorenulls=True).over(local)).alias("__open")).groupBy("conv_id", "__segment").agg(
+        F.min_by("ts", F.when(F.col("ts").isNotNull(), F.col("seq"))).alias("__first"), F.max_by("ts", F.when(F.col("ts").isNotNull(), F.col("seq"))).alias("__last"), F.count_if("__open").alias("__opens"),
+    )
+    order = preceding(scans.along(_CONV))
+    carried = folded.withColumn("ts", F.last("__last", ignorenulls=True).over(order))
+    carried = carried.withColumn("session_id", F.coalesce(F.sum(F.col("__opens") + opens(F.col("__first"), F.col("ts")).cast("long")).over(order), F.lit(0)))
+    both = scans.begun(rows, carried.select("conv_id", "__segment", "ts", "session_id"))
+    w = scans.inside(_CONV, ["seq"])
+    opened = opens(F.col("ts"), F.last("ts", ignorenulls=True).over(preceding(w))).cast("long")
+    numbered = both.withColumn("__open", F.when(F.col("__carry") == 1, F.col("session_id")).otherwise(opened))
+    return scans.ended(numbered.withColumn("session_id", F.sum("__open").over(w)).drop("__open"))
+
+
+def with_runs(m: DataFrame, size: int = scans.SEGMENT) -> DataFrame:
     """session_id, and run_id from 0 within the session: consecutive messages of one speaker."""
-    m = m if "session_id" in m.columns else with_sessions(m)
-    w = in_order("session_id")
-    changes = (F.lag("speaker").over(w) != F.col("speaker")).cast("long")
-    return m.withColumn("__change", F.coalesce(changes, F.lit(0))).withColumn("run_id", F.sum("__change").over(w)).drop("__change")
+    rows = scans.cut(m if "session_id" in m.columns else with_sessions(m, size=size), scans.by_number(size=size))
+    turned = lambda who, session, who_before, session_before: F.coalesce((session == session_before) & (who != who_before), F.lit(False)).cast("long")
+    local = Window.partitionBy("conv_id", "__segment").orderBy("seq")
+    changes = turned(F.col("speaker"), F.col("session_id"), F.lag("speaker").over(local), F.lag("session_id").over(local))
+    end = F.struct("speaker", "session_id")
+    # of a segment: its first and last message, and the changes of its last session
+    marked = rows.select("conv_id", "__segment", "seq", "speaker", "session_id", changes.alias("__change"))
+    folded = marked.groupBy("conv_id", "__segment", "session_id").agg(F.sum("__change").alias("n"), F.min_by(end, "seq").alias("first"), F.max_by(end, "seq").alias("last"), F.min("seq").alias("from"), F.max("seq").alias("to"))
+    folded = folded.groupBy("conv_id", "__segment").agg(F.min_by("first", "from").alias("__first"), F.max_by("last", "to").alias("__last"), F.max_by("n", "to").alias("__tail"))
+    order = scans.along(_CONV)
+    folded = folded.withColumn("__before", F.lag("__last").over(order))
+    goes_on = F.coalesce(F.col("__before.session_id") == F.col("__last.session_id"), F.lit(False))
+    first = F.when(goes_on, turned(F.col("__first.speaker"), F.col("__first.session_id"), F.col("__before.speaker"), F.col("__before.session_id"))).otherwise(0)
+    last_run = folded.withColumns({"__session": F.col("__last.session_id"), "__step": F.col("__tail") + first}).withColumn("__run", F.sum("__step").over(scans.along(_CONV, "__session")))
+    carried = last_run.select("conv_id", "__segment", F.col("__before.speaker").alias("speaker"), F.col("__before.session_id").alias("session_id"), F.lag("__run").over(order).alias("run_id"))
+    both, w = scans.begun(rows, carried), scans.inside(_CONV, ["seq"])
+    change = turned(F.col("speaker"), F.col("session_id"), F.lag("speaker").over(w), F.lag("session_id").over(w))
+    stepped = both.withColumn("__change", F.when(F.col("__carry") == 1, F.col("run_id")).otherwise(change))
+    return scans.ended(stepped.withColumn("run_id", F.sum("__change").over(scans.inside(_CONV, ["seq"], "session_id"))).drop("__change"))
 
 
 def runs(m: DataFrame) -> DataFrame:
@@ -40,18 +73,21 @@ def runs(m: DataFrame) -> DataFrame:
     )
 
 
+def with_previous(m: DataFrame, **columns: str) -> DataFrame:
+    """New columns with those of the message before in the conversation."""
+    return scans.beside(m, columns, _CONV, ["seq"], scans.by_number())
+
+
 def with_burst(m: DataFrame, gap_minutes: int = L.SESSION_GAP_MINUTES) -> DataFrame:
     """burst: the message before is the same speaker's, and no time is missing or back or beyond the gap."""
-    w = in_order()
-    who, before = F.lag("speaker").over(w), F.lag("ts").over(w)
-    near = before.isNull() | F.col("ts").isNull() | minutes_between(F.col("ts"), before).between(0, gap_minutes)
-    return m.withColumn("burst", F.coalesce((who == F.col("speaker")) & near, F.lit(False)))
+    near = F.col("__when").isNull() | F.col("ts").isNull() | minutes_between(F.col("ts"), F.col("__when")).between(0, gap_minutes)
+    out = with_previous(m, __who="speaker", __when="ts")
+    return out.withColumn("burst", F.coalesce((F.col("__who") == F.col("speaker")) & near, F.lit(False))).drop("__who", "__when")
 
 
 def reply_gaps(m: DataFrame, gap_minutes: int = L.SESSION_GAP_MINUTES) -> DataFrame:
     """conv_id, seq, speaker, gap: minutes since the message before, where the speaker changes and the gap is 0 to 30."""
-    w = in_order()
-    out = m.withColumns({"__who": F.lag("speaker").over(w), "gap": minutes_between(F.col("ts"), F.lag("ts").over(w))})
+    out = with_previous(m.select("conv_id", "seq", "speaker", "ts"), __who="speaker", __when="ts").withColumn("gap", minutes_between(F.col("ts"), F.col("__when")))
     return out.where((F.col("__who") != F.col("speaker")) & F.col("gap").between(0, gap_minutes)).select("conv_id", "seq", "speaker", "gap")
 
 
@@ -69,8 +105,8 @@ def closers(m: DataFrame) -> DataFrame:
 
 def silences(m: DataFrame, days: int = 14) -> DataFrame:
     """Gaps of at least so many days between consecutive dated messages, in time order."""
-    w = Window.partitionBy("conv_id").orderBy("ts", "seq")
-    out = m.where("ts IS NOT NULL").withColumn("until", F.lead("ts").over(w)).withColumn("days", F.floor(minutes_between(F.col("until"), F.col("ts")) / 1440).cast("long"))
+    timed = m.where("ts IS NOT NULL").select("conv_id", "ts", "seq")
+    out = scans.beside(timed, {"until": "ts"}, _CONV, ["ts", "seq"], F.to_date("ts"), after=True).withColumn("days", F.floor(minutes_between(F.col("until"), F.col("ts")) / 1440).cast("long"))
     return out.where(F.col("days") >= days).select("conv_id", F.col("ts").alias("since"), "until", "days")
 
 
@@ -98,8 +134,7 @@ def busiest_months(m: DataFrame, most: int = 3) -> DataFrame:
 
 def message_index(m: DataFrame) -> DataFrame:
     """Message numbers, ids, content keys, dates and sessions from 1."""
-    w = in_order()
-    return with_sessions(m).withColumn("index", F.row_number().over(w)).select(
+    return scans.numbered(with_sessions(m), "index", _CONV, ["seq"], scans.by_number()).select(
         "conv_id", "index", X.message_id("index", "ts", "speaker", "text").alias("id"), X.content_key("ts", "speaker", "text").alias("key"),
         F.when(F.col("ts").isNotNull(), X.iso("ts")).alias("time"), F.date_format("ts", "yyyy-MM-dd").alias("date"), "speaker", "text",
         (F.col("session_id") + 1).alias("session"), "source_id", "reply_to",
@@ -109,5 +144,4 @@ def message_index(m: DataFrame) -> DataFrame:
 def neighbours(m: DataFrame) -> DataFrame:
     """Each line with the one before and the one after."""
     rows = m.select("conv_id", "seq", F.posexplode(X.lines("text")).alias("pos", "line"))
-    w = Window.partitionBy("conv_id").orderBy("seq", "pos")
-    return rows.withColumns({"before": F.lag("line").over(w), "after": F.lead("line").over(w)})
+    return scans.around(rows, "line", _CONV, ["seq", "pos"], scans.by_number())

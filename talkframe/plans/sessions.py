@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from talkframe.functions import text as X
@@ -106,8 +105,7 @@ def d01_date_parts(spark, sf):
 
 @query("""SELECT conv_id, seq, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 60e6 AS minutes FROM ev WINDOW w AS (PARTITION BY conv_id ORDER BY seq)""")
 def d02_minutes_since(spark, sf):
-    w = Window.partitionBy("conv_id").orderBy("seq")
-    return ev(spark, sf).select("conv_id", "seq", S.minutes_between(F.col("ts"), F.lag("ts").over(w)).alias("minutes"))
+    return S.with_previous(ev(spark, sf), before="ts").select("conv_id", "seq", S.minutes_between(F.col("ts"), F.col("before")).alias("minutes"))
 
 
 @query(f"SELECT conv_id, seq, {KEY} AS key FROM chats")
