@@ -25,7 +25,9 @@ def additions(known: DataFrame, incoming: DataFrame) -> DataFrame:
 
     `message` numbers the additions from 1.
     """
-    had = keyed(known).groupBy("conv_id", "key").agg(F.count("*").alias("had"))
+    # of what is known only keys that come in are counted
+    came = incoming.select("conv_id", X.content_key("ts", "speaker", "text").alias("key")).distinct()
+    had = known.select("conv_id", X.content_key("ts", "speaker", "text").alias("key")).join(came, ["conv_id", "key"], "left_semi").groupBy("conv_id", "key").agg(F.count("*").alias("had"))
     new = keyed(incoming).join(had, ["conv_id", "key"], "left").where(F.col("copy") > F.coalesce("had", F.lit(0))).drop("had", "copy")
     return scans.numbered(new, "message", ["conv_id"], ["seq"], scans.by_number())
 

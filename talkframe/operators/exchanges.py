@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from talkframe.functions import lexicon as L
 from talkframe.functions import text as X
-from talkframe.operators import scans
+from talkframe.operators.messages import in_order
 from talkframe.operators.sessions import minutes_between, with_runs
 
 COLUMNS = ("conv_id", "session_id", "incoming", "reply", "incoming_messages", "reply_messages", "pairing")
@@ -21,16 +21,17 @@ def adjacent(m: DataFrame, sides: DataFrame, most_lines: int = 3, most_chars: in
     A run keeps at most most_lines lines, so a long monologue is counted and not collected.
     """
     worded = (X.stripped("text") != "") & ~X.is_media_only("text")
-    rows = with_runs(m).withColumns({"worded": worded, "line": X.stripped("text"), "blocked": (F.col("reply_to") != "") | X.has_unresolved_reply("text")})
-    rows = scans.running_sum(rows, "rank", F.col("worded"), ["conv_id", "session_id", "run_id"], ["seq"], scans.by_number())
+    rows = with_runs(m, size=None).withColumns({"worded": worded, "line": X.stripped("text"), "blocked": (F.col("reply_to") != "") | X.has_unresolved_reply("text")})
+    rank = F.sum(F.col("worded").cast("long")).over(in_order("session_id", "run_id"))
+    rows = rows.withColumn("rank", rank)
     kept = F.when(F.col("worded") & (F.col("rank") <= most_lines), F.struct("seq", "line"))
     run = rows.groupBy("conv_id", "session_id", "run_id", "speaker").agg(
         F.max("blocked").alias("blocked"), F.count_if("worded").alias("n"), F.sum(F.when(F.col("worded"), F.length("line")).otherwise(0)).alias("chars"),
         F.array_sort(F.collect_list(kept)).alias("kept"),
     )
     run = run.withColumns({"lines": F.col("kept.line"), "numbers": F.col("kept.seq"), "fits": ~F.col("blocked") & F.col("n").between(1, most_lines) & (F.col("chars") <= most_chars)})
-    run = run.withColumn("run", F.struct("speaker", "fits", "lines", "numbers"))
-    pairs = scans.beside(run, {"next": "run"}, ["conv_id", "session_id"], ["run_id"], scans.by_number("run_id"), after=True).join(sides, "conv_id")
+    w = Window.partitionBy("conv_id", "session_id").orderBy("run_id")
+    pairs = run.withColumn("next", F.lead(F.struct("speaker", "fits", "lines", "numbers")).over(w)).join(sides, "conv_id")
     pairs = pairs.where((F.col("speaker") == F.col("counterpart")) & (F.col("next.speaker") == F.col("target")) & F.col("fits") & F.col("next.fits"))
     return pairs.select("conv_id", "session_id", F.col("lines").alias("incoming"), F.col("next.lines").alias("reply"), F.col("numbers").alias("incoming_messages"), F.col("next.numbers").alias("reply_messages"), F.lit("adjacent").alias("pairing"))
 
@@ -40,16 +41,14 @@ def explicit(m: DataFrame, sides: DataFrame, most_lines: int = 3, most_chars: in
 
     The reply goes on while the target keeps talking near it; more than most_lines messages reject it.
     """
-    rows = with_runs(m).withColumn("plain", (F.col("reply_to") == "") & ~X.has_unresolved_reply("text"))
-    rows = scans.numbered(rows, "place", ["conv_id"], ["seq"], scans.by_number())
-    # replies are few: what follows them is met by place
-    following = rows.where("reply_to <> ''").select("conv_id", F.col("place").alias("of"), F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(most_lines)), lambda k: F.col("place") + k)).alias("k", "place"))
-    following = following.join(rows.select("conv_id", "place", F.struct("speaker", "plain", "ts", "text", "seq").alias("said")), ["conv_id", "place"])
-    following = following.groupBy("conv_id", F.col("of").alias("place")).agg(*(F.max(F.when(F.col("k") == k - 1, F.col("said"))).alias(f"after{k}") for k in range(1, most_lines + 1)))
+    w = in_order()
+    rows = with_runs(m, size=None).withColumn("plain", (F.col("reply_to") == "") & ~X.has_unresolved_reply("text"))
+    after = [F.lead(F.struct("speaker", "plain", "ts", "text", "seq"), k).over(w) for k in range(1, most_lines + 1)]
+    rows = rows.withColumns({f"after{k}": a for k, a in enumerate(after, 1)})
     ids = m.where("source_id <> ''").groupBy("conv_id", "source_id").agg(
         F.count("*").alias("n"), F.first("seq").alias("source_seq"), F.first("speaker").alias("source_speaker"), F.first("text").alias("source_text"), F.first("reply_to").alias("source_reply"),
     ).where("n = 1")
-    hit = rows.where("reply_to <> ''").join(following, ["conv_id", "place"], "left").join(sides, "conv_id").where("speaker = target").join(ids.drop("n").withColumnRenamed("source_id", "reply_to"), ["conv_id", "reply_to"])
+    hit = rows.where("reply_to <> ''").join(sides, "conv_id").where("speaker = target").join(ids.drop("n").withColumnRenamed("source_id", "reply_to"), ["conv_id", "reply_to"])
     hit = hit.where((F.col("source_seq") < F.col("seq")) & (F.col("source_speaker") == F.col("counterpart")) & (F.col("source_reply") == "") & ~X.has_unresolved_reply("source_text"))
     goes_on: list[Column] = []
     for k in range(1, most_lines + 1):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,7 +150,9 @@ def usable_example(incoming: Column, reply: Column) -> Column:
     mine, theirs = F.array_join(incoming, "\n"), F.array_join(reply, "\n")
     bare = lambda t, n: F.length(X.stripped(F.regexp_replace(t, r"\[[^\[\]]*\]", ""))) >= n
     fits = F.length(mine).between(least, most_in) & (F.length(theirs) <= most_out) & F.size(reply).between(1, lines) & (F.size(incoming) > 0)
-    return fits & bare(mine, 3) & bare(theirs, 2) & F.forall(reply, lambda x: X.stripped(x) != "")
+    bad = r"\[(?:" + "|".join(L.EXAMPLE_BAD_MARKS) + r")\]"
+    clean = ~mine.rlike(bad) & ~theirs.rlike(bad)
+    return fits & clean & bare(mine, 3) & bare(theirs, 2) & F.forall(reply, lambda x: X.stripped(x) != "")
 
 
 def envelope(routes: DataFrame) -> DataFrame:
@@ -156,7 +160,45 @@ def envelope(routes: DataFrame) -> DataFrame:
     return routes.select("conv_id", "id", F.concat(F.lit(L.CURRENT_SITUATION + "\n"), "label", F.lit("："), "response_move").alias("hint"))
 
 
+def json_length(text: Column) -> Column:
+    """Characters of a text as a JSON string, with what isn't ASCII as it is."""
+    short, control = F.regexp_count(text, F.lit(r'["\\\x08\t\n\f\r]')), F.regexp_count(text, F.lit(r"[\x00-\x07\x0B\x0E-\x1F]"))
+    return F.length(text) + 2 + short + 5 * control
+
+
 def round_robin(items: DataFrame, budget: int) -> DataFrame:
-    """Whole items (conv_id, section_place, ordinal, batch, text) taken in turn from batches, section by section, while the characters before them are within the budget."""
-    w = Window.partitionBy("conv_id").orderBy("section_place", "ordinal", "batch").rowsBetween(Window.unboundedPreceding, 0)
-    return items.withColumn("used", F.sum(F.length("text")).over(w)).where(F.col("used") <= budget)
+    """Whole items (conv_id, section, section_place, ordinal, batch, text) that a JSON of all batches' drafts has room for.
+
+    Section by section the batches take turns with their items; one that would make the JSON longer than the budget is
+    left out, and shorter ones behind it may still fit. Batches are numbered from 0, and each has an object, be it empty.
+    Items of a conversation stream past in order; no more than the batches' states is held.
+    """
+    rows = items.select("conv_id", "section_place", "ordinal", "batch", json_length(F.col("text")).alias("size"), json_length(F.col("section")).alias("name"))
+    batches = items.groupBy("conv_id").agg((F.max("batch") + 1).cast("long").alias("batches"))
+    order = ["conv_id", "section_place", "ordinal", "batch"]
+    laid = rows.join(batches.withColumnRenamed("conv_id", "of"), F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
+    laid = laid.withColumn("key", F.concat(F.when(F.col("conv_id").isNull(), "n").otherwise("c"), F.coalesce("conv_id", F.lit(""))))
+    dealt = laid.repartition("key").sortWithinPartitions("key", *order[1:])
+
+    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = place = None
+        used, started, opened = 0, set(), set()
+        for part in parts:
+            kept = []
+            columns = zip(*(part[c].tolist() for c in ("key", "section_place", "batch", "size", "name", "batches")), strict=True)
+            for k, p, batch, size, name, n in columns:
+                if k != key:
+                    key, place, started, used = k, None, set(), 2 * n + 2 * n  # brackets and commas of the list, braces
+                if p != place:
+                    place, opened = p, set()
+                more = size + (2 if batch in opened else name + 4 + (2 if batch in started else 0))
+                kept.append(used + more <= budget)
+                if kept[-1]:
+                    used += more
+                    opened.add(batch)
+                    started.add(batch)
+            yield part.loc[kept, ["conv_id", "section_place", "ordinal", "batch"]]
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in order)
+    chosen = dealt.mapInPandas(walk, kinds)
+    return items.join(chosen.withColumnsRenamed({c: f"__{c}" for c in order}), reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in order)), "left_semi")

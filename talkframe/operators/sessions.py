@@ -40,9 +40,9 @@ def with_sessions(m: DataFrame, gap_minutes: int = L.SESSION_GAP_MINUTES, size:
     return scans.ended(numbered.withColumn("session_id", F.sum("__open").over(w)).drop("__open"))
 
 
-def with_runs(m: DataFrame, size: int = scans.SEGMENT) -> DataFrame:
-    """session_id, and run_id from 0 within the session: consecutive messages of one speaker."""
-    rows = scans.cut(m if "session_id" in m.columns else with_sessions(m, size=size), scans.by_number(size=size))
+def _runs_of_sessions(m: DataFrame, size: int) -> DataFrame:
+    """run_id within the sessions that m has."""
+    rows = scans.cut(m, scans.by_number(size=size))
     turned = lambda who, session, who_before, session_before: F.coalesce((session == session_before) & (who != who_before), F.lit(False)).cast("long")
     local = Window.partitionBy("conv_id", "__segment").orderBy("seq")
     changes = turned(F.col("speaker"), F.col("session_id"), F.lag("speaker").over(local), F.lag("session_id").over(local))
@@ -63,6 +63,66 @@ def with_runs(m: DataFrame, size: int = scans.SEGMENT) -> DataFrame:
     return scans.ended(stepped.withColumn("run_id", F.sum("__change").over(scans.inside(_CONV, ["seq"], "session_id"))).drop("__change"))
 
 
+def with_runs(m: DataFrame, size: int | None = scans.SEGMENT, gap_minutes: int = L.SESSION_GAP_MINUTES) -> DataFrame:
+    """session_id, and run_id from 0 within the session: consecutive messages of one speaker; m's own sessions where it has any."""
+    return _runs_of_sessions(m, size or scans.SEGMENT) if "session_id" in m.columns else with_places(m, size, gap_minutes).drop("place")
+
+
+def _in_windows(m: DataFrame, gap_minutes: int) -> DataFrame:
+    """What with_places gives, by windows over whole conversations: a short plan, for conversations that fit a task."""
+    w = Window.partitionBy("conv_id").orderBy("seq")
+    last = F.last("ts", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce((F.col("ts") < last) | (minutes_between(F.col("ts"), last) > gap_minutes), F.lit(False)).cast("long")
+    rows = m.withColumn("__open", opens).withColumns({"session_id": F.sum("__open").over(w), "place": F.row_number().over(w).cast("long")}).drop("__open")
+    s = Window.partitionBy("conv_id", "session_id").orderBy("seq")
+    rows = rows.withColumn("__turn", F.coalesce((F.lag("speaker").over(s) != F.col("speaker")).cast("long"), F.lit(0)))
+    return rows.withColumn("run_id", F.sum("__turn").over(s)).drop("__turn")
+
+
+def with_places(m: DataFrame, size: int | None = scans.SEGMENT, gap_minutes: int = L.SESSION_GAP_MINUTES) -> DataFrame:
+    """session_id, run_id and place, a message's number from 1 in its conversation, from one fold (None: no segments, see _in_windows)."""
+    if size is None:
+        return _in_windows(m, gap_minutes)
+    rows = scans.cut(m, scans.by_number(size=size))
+    opens = lambda ts, last: F.coalesce((ts < last) | (minutes_between(ts, last) > gap_minutes), F.lit(False))
+    preceding = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    turned = lambda before: F.coalesce(F.col("speaker") != before, F.lit(False))
+    local = Window.partitionBy("conv_id", "__segment").orderBy("seq")
+    marked = rows.select("conv_id", "__segment", "seq", "ts", "speaker", F.last("ts", ignorenulls=True).over(preceding(local)).alias("__known"), turned(F.lag("speaker").over(local)).alias("__turn"))
+    marked = marked.withColumn("__open", opens(F.col("ts"), F.col("__known"))).withColumn("__part", F.sum(F.col("__open").cast("long")).over(local))
+    # a segment's changes of speaker: of its last session if that opens in it, after its first time, and all
+    timed, turn = F.when(F.col("ts").isNotNull(), F.col("seq")), F.col("__turn") & ~F.col("__open")
+    parts = marked.groupBy("conv_id", "__segment", "__part").agg(
+        F.count("*").alias("n"), F.min_by("ts", timed).alias("first"), F.max_by("ts", timed).alias("last"), F.min(timed).alias("from"), F.max(timed).alias("to"),
+        F.min_by("speaker", "seq").alias("speaks"), F.max_by("speaker", "seq").alias("spoke"), F.count_if(turn).alias("turns"), F.count_if(turn & F.col("__known").isNotNull()).alias("later"),
+    )
+    folded = parts.groupBy("conv_id", "__segment").agg(
+        F.sum("n").alias("n"), F.min_by("first", "from").alias("__first"), F.max_by("last", "to").alias("__last"), F.max("__part").alias("__opens"),
+        F.min_by("speaks", "__part").alias("__speaks"), F.max_by("spoke", "__part").alias("__spoke"), F.max_by("turns", "__part").alias("__tail"), F.max_by("later", "__part").alias("__later"),
+    )
+    order = scans.along(_CONV)
+    before = preceding(order)
+    carried = folded.withColumns({"ts": F.last("__last", ignorenulls=True).over(before), "speaker": F.lag("__spoke").over(order)})
+    carried = carried.withColumn("__new", opens(F.col("__first"), F.col("ts")))
+    begins = (F.col("__opens") > 0) | F.col("__new")
+    step = F.when(F.col("__opens") > 0, F.col("__tail")).when(F.col("__new"), F.col("__later")).otherwise(F.col("__tail") + F.coalesce(F.col("__speaks") != F.col("speaker"), F.lit(False)).cast("long"))
+    carried = carried.withColumns({"__step": step, "__chain": F.sum(begins.cast("long")).over(order)}).withColumn("__run", F.sum("__step").over(scans.along(_CONV, "__chain")))
+    carried = carried.withColumns({
+        "session_id": F.coalesce(F.sum(F.col("__opens") + F.col("__new").cast("long")).over(before), F.lit(0)),
+        "run_id": F.coalesce(F.lag("__run").over(order), F.lit(0)), "place": F.coalesce(F.sum("n").over(before), F.lit(0)),
+    })
+    both, w = scans.begun(rows, carried.select("conv_id", "__segment", "ts", "speaker", "session_id", "run_id", "place")), scans.inside(_CONV, ["seq"])
+    carry = F.col("__carry") == 1
+    opened = opens(F.col("ts"), F.last("ts", ignorenulls=True).over(preceding(w)))
+    both = both.withColumns({"__open": opened & ~carry, "__turn": turned(F.lag("speaker").over(w)) & ~carry})
+    both = both.withColumns({
+        "session_id": F.sum(F.when(carry, F.col("session_id")).otherwise(F.col("__open").cast("long"))).over(w),
+        "place": F.sum(F.when(carry, F.col("place")).otherwise(1)).over(w),
+    })
+    stepped = F.when(carry, F.col("run_id")).otherwise((F.col("__turn") & ~F.col("__open")).cast("long"))
+    return scans.ended(both.withColumn("run_id", F.sum(stepped).over(scans.inside(_CONV, ["seq"], "session_id"))).drop("__open", "__turn"))
+
+
 def runs(m: DataFrame) -> DataFrame:
     """One row per run: its speaker, first and last seq and its lines in order."""
     return (

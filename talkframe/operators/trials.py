@@ -24,20 +24,21 @@ def freshness(saved: DataFrame, current: DataFrame) -> DataFrame:
     return saved.join(now, "conv_id", "left").withColumn("stale", ~F.col("fingerprint").eqNullSafe(F.col("now"))).drop("now")
 
 
-def recorded(saved: DataFrame, new: DataFrame, current: DataFrame, known: DataFrame, longest: int = 4000) -> DataFrame:
-    """Replies (conv_id, id, reply, fingerprint, at) after new ones: only of the current content and of known cases, the last of each case, cut at `longest` characters."""
+def recorded(saved: DataFrame, new: DataFrame, current: DataFrame, known: DataFrame, longest: int | None = 4000) -> DataFrame:
+    """Replies (conv_id, id, reply, fingerprint, at) after new ones: only of the current content and of known cases, the last of each case, cut at `longest` characters (None: whole)."""
     fresh = lambda rows: freshness(rows, current).where("not stale").drop("stale")
     both = fresh(saved).unionByName(fresh(new)).join(known.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_semi")
     last = both.groupBy("conv_id", "id").agg(F.max_by(F.struct("reply", "fingerprint", "at"), "at").alias("r")).select("conv_id", "id", "r.*")
-    return last.withColumn("reply", F.left("reply", F.lit(longest)))
+    return last if longest is None else last.withColumn("reply", F.left("reply", F.lit(longest)))
 
 
-def holdout_cases(m: DataFrame, sides: DataFrame, percent: int, most: int = 100, situations: Sequence[tuple[str, str, str, str]] = L.SITUATIONS, most_chars: int = 80) -> DataFrame:
-    """Cases of the sessions held out: conv_id, id, label, prompt, expected_move, allowed_quotes, origin."""
+def holdout_cases(m: DataFrame, sides: DataFrame, percent: int, most: int | None = 100, situations: Sequence[tuple[str, str, str, str]] = L.SITUATIONS, most_chars: int = 80) -> DataFrame:
+    """Cases of the sessions held out: conv_id, id, label, prompt, expected_move, allowed_quotes, origin; the first `most` of a conversation (None: all)."""
     test = C.holdout(m, percent).where("test").drop("session_id", "test")
     rows = E.classified(E.exchanges(test, sides, most_chars=most_chars), situations)
     n = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.get("reply_messages", F.lit(0))))
-    rows = rows.withColumn("n", n).where(F.col("n") <= most)
+    rows = rows.withColumn("n", n)
+    rows = rows if most is None else rows.where(F.col("n") <= most)
     return rows.select("conv_id", F.concat(F.lit("holdout-"), F.col("n").cast("string")).alias("id"), "label", F.array_join("incoming", " ").alias("prompt"), F.col("action").alias("expected_move"), F.col("reply").alias("allowed_quotes"), F.lit("holdout").alias("origin"))
 
 

@@ -11,6 +11,7 @@ from talkframe.operators import layer as Y
 from talkframe.operators import mining as N
 from talkframe.operators import packs as K
 from talkframe.operators import trials as T
+from talkframe.operators.messages import with_ordinals
 from talkframe.plans.base import cv, ev, literal, query, sides, table, zh
 from talkframe.plans.evidence import _items
 from talkframe.plans.exchanges import ALTERNATE_LAB, alternate_pairs, zh_pairs
@@ -86,10 +87,18 @@ def x13_unwrapped(spark, sf):
     return table(spark, sf, "documents").select("doc_id", Y.unwrapped(F.col("text")).alias("text"))
 
 
-@query("""WITH u AS (SELECT source AS conv_id, lang, doc_id, text, sum(length(text)) OVER (PARTITION BY source ORDER BY lang, doc_id ROWS UNBOUNDED PRECEDING) AS used FROM documents) SELECT conv_id, doc_id FROM u WHERE used <= 20000""")
+@query("""WITH RECURSIVE d AS (SELECT source AS conv_id, lang AS section, doc_id, doc_id % 3 AS batch, row_number() OVER (PARTITION BY source, lang, doc_id % 3 ORDER BY doc_id) AS ordinal, length(to_json(text)::VARCHAR) AS size, length(to_json(lang)::VARCHAR) AS name FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL),
+    i AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY section, ordinal, batch) AS n FROM d),
+    f AS (SELECT conv_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS doc_id, false AS kept, CAST(4 * (max(batch) + 1) AS BIGINT) AS used, '' AS section, CAST([] AS BIGINT[]) AS opened, CAST([] AS BIGINT[]) AS started FROM d GROUP BY conv_id
+        UNION ALL SELECT conv_id, n, doc_id, fits, CASE WHEN fits THEN used + more ELSE used END, section, CASE WHEN fits THEN list_append(opened, batch) ELSE opened END, CASE WHEN fits THEN list_append(started, batch) ELSE started END FROM (
+            SELECT *, used + more <= 20000 AS fits FROM (SELECT conv_id, n, doc_id, section, batch, used, started, opened, size + CASE WHEN list_contains(opened, batch) THEN 2 ELSE name + 4 + CASE WHEN list_contains(started, batch) THEN 2 ELSE 0 END END AS more FROM (
+                SELECT i.conv_id, i.n, i.doc_id, i.section, i.batch, i.size, i.name, f.used, f.started, CASE WHEN f.section = i.section THEN f.opened ELSE CAST([] AS BIGINT[]) END AS opened FROM f JOIN i ON i.conv_id IS NOT DISTINCT FROM f.conv_id AND i.n = f.n + 1)))
+    ) SELECT conv_id, doc_id FROM f WHERE kept""")
 def t12_round_robin(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("source").alias("conv_id"), F.col("lang").alias("section_place"), F.col("doc_id").alias("ordinal"), F.lit(0).alias("batch"), "text")
-    return Y.round_robin(d, 20_000).select("conv_id", F.col("ordinal").alias("doc_id"))
+    """Documents of a source as drafts of three batches, its languages as sections."""
+    d = table(spark, sf, "documents").where("lang IS NOT NULL AND text IS NOT NULL").withColumn("batch", F.col("doc_id") % 3)
+    items = with_ordinals(d, ["source", "lang", "batch"], "doc_id").select(F.col("source").alias("conv_id"), F.col("lang").alias("section"), F.col("lang").alias("section_place"), "ordinal", "batch", "text", "doc_id")
+    return Y.round_robin(items, 20_000).select("conv_id", "doc_id")
 
 
 @query()
@@ -153,6 +162,6 @@ def a28_sizes(spark, sf):
 
 
 @query(f"""WITH {ALTERNATE_LAB}, s AS (SELECT conv_id, array_to_string(incoming, chr(10)) AS mine, array_to_string(reply, chr(10)) AS theirs, incoming, reply, reply_messages[1] AS first FROM lab)
-    SELECT conv_id, first, length(mine) BETWEEN 4 AND 28 AND length(theirs) <= 26 AND len(reply) BETWEEN 1 AND 3 AND length(trim(regexp_replace(mine, '\\[[^\\[\\]]*\\]', '', 'g'))) >= 3 AND length(trim(regexp_replace(theirs, '\\[[^\\[\\]]*\\]', '', 'g'))) >= 2 AS usable FROM s""")
+    SELECT conv_id, first, NOT regexp_matches(mine || chr(10) || theirs, '\\[(?:{'|'.join(L.EXAMPLE_BAD_MARKS)})\\]') AND length(mine) BETWEEN 4 AND 28 AND length(theirs) <= 26 AND len(reply) BETWEEN 1 AND 3 AND length(trim(regexp_replace(mine, '\\[[^\\[\\]]*\\]', '', 'g'))) >= 3 AND length(trim(regexp_replace(theirs, '\\[[^\\[\\]]*\\]', '', 'g'))) >= 2 AS usable FROM s""")
 def p11_usable_examples(spark, sf):
     return alternate_pairs(spark, sf).select("conv_id", F.get("reply_messages", F.lit(0)).alias("first"), Y.usable_example(F.col("incoming"), F.col("reply")).alias("usable"))

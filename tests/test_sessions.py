@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talkframe.operators import messages as M
 from talkframe.operators import profile as P
+from talkframe.operators import scans
 from talkframe.operators import sessions as S
 from talkframe.plans.base import ZH, zh
 from talkframe.streaming.sessions import number, stream_sessions
@@ -107,3 +108,58 @@ def test_message_index_is_stable(spark):
 def test_windows_stay_in_the_jvm(spark):
     plan = P.speaker_profile(zh(spark).withColumn("x", F.lit(1)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan
+
+
+def runs_of(rows, sessions):
+    out, n = [], 0
+    for i, who in enumerate(rows):
+        if i and sessions[i] != sessions[i - 1]:
+            n = 0
+        elif i and rows[i - 1] is not None and who is not None and rows[i - 1] != who:
+            n += 1
+        out.append(n)
+    return out
+
+
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 90)), st.sampled_from(["a", "b", None])), min_size=1, max_size=60), st.sampled_from([1, 2, 5, 100]))
+@settings(max_examples=25, deadline=None)
+def test_segmented_sessions_and_runs(spark, rows, size):
+    """Whatever a segment holds: no time, one row, a session that began segments ago."""
+    m = chat(spark, [(t, who, "x") for t, who in rows]).unionByName(chat(spark, [(0, "z", "y")] * 3).withColumn("conv_id", F.lit(None).cast("string")))
+    got = S.with_runs(m, size=size).where("conv_id = 'c'").orderBy("seq").collect()
+    want = sessions_of([t for t, _ in rows])
+    assert [r["session_id"] for r in got] == want and [r["run_id"] for r in got] == runs_of([who for _, who in rows], want)
+    assert S.with_runs(m, size=size).where("conv_id IS NULL").agg(F.max("run_id"), F.count("*")).first() == (0, 3)
+
+
+@given(st.lists(st.integers(-40, 40), min_size=1, max_size=30, unique=True), st.sampled_from([1, 3, 50]))
+@settings(max_examples=10, deadline=None)
+def test_scans_equal_windows(spark, seqs, size):
+    df = spark.createDataFrame([("g", s, s * s % 7) for s in seqs], "g string, seq long, v long")
+    segment = scans.by_number(size=size)
+    order = sorted(seqs)
+    vs = [s * s % 7 for s in order]
+    numbered = scans.numbered(df, "n", ["g"], ["seq"], segment).orderBy("seq").collect()
+    assert [r["n"] for r in numbered] == list(range(1, len(order) + 1)) and set(numbered[0].asDict()) == {"g", "seq", "v", "n"}
+    assert [r["total"] for r in scans.running_sum(df, "total", F.col("v"), ["g"], ["seq"], segment).orderBy("seq").collect()] == [sum(vs[: i + 1]) for i in range(len(vs))]
+    assert [(r["before"], r["after"]) for r in scans.around(df, "v", ["g"], ["seq"], segment).orderBy("seq").collect()] == list(zip([None, *vs[:-1]], [*vs[1:], None], strict=True))
+    assert [r["x"] for r in scans.beside(df, {"x": "v"}, ["g"], ["seq"], segment, after=True).orderBy("seq").collect()] == [*vs[1:], None]
+    assert scans.numbered(df.limit(0), "n", ["g"], ["seq"], segment).count() == 0
+
+
+def test_a_million_messages_of_one_conversation_are_many_tasks(spark):
+    """Sessions and runs of one conversation, spread over all partitions; no window orders it as a whole."""
+    n = 1_000_000
+    m = spark.range(n, numPartitions=8).select(
+        F.lit("c").alias("conv_id"), (F.col("id") + 1).alias("seq"), F.timestamp_micros(F.col("id") * 60_000_000 + F.floor(F.col("id") / 1000) * 3_600_000_000).cast("timestamp_ntz").alias("ts"),
+        F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("speaker"), F.lit("x").alias("text"), F.lit("").alias("source_id"), F.lit("").alias("reply_to"),
+    )
+    out = S.with_runs(m).select("seq", "session_id", "run_id")
+    wrong = out.where((F.col("session_id") != F.floor((F.col("seq") - 1) / 1000)))
+    assert wrong.count() == 0
+    per = out.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert len(per) >= 4 and max(r["count"] for r in per) < 0.6 * n
+    assert out.where("seq % 1000 = 0").agg(F.min("run_id"), F.max("run_id")).first() == (666, 666)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # windows over the rows are over segments; those over a conversation see folded rows only
+    assert all("__segment" in line for line in plan.splitlines() if "windowspecdefinition" in line)
