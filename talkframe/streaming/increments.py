@@ -101,23 +101,28 @@ def rebuilt(
 
     items and what `analyse` finds in the additions: conv_id, item_id, section, text; of the latter those stay whose
     quotes all stand in the additions. memories: conv_id, item_id, section, text, claim. sides: conv_id, target,
-    counterpart. Pairs are a table of the folder, since all that follows reads them.
+    counterpart. Each step is a table of the folder, which the next ones read, for each version its own.
     """
+    at = _part(folder, f"derived/{'last' if version is None else version}/")
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.mode("overwrite").parquet(at + name)
+        return spark.read.schema(rows.schema).parquet(at + name)
+
     m = messages_of(spark, folder, version)
     added = m.where("batch >= 0").drop("batch")
     m = m.drop("batch")
-    found = analyse(added).select("conv_id", "item_id", "section", "text")
-    checked = R.applied(found, R.evidence_checks(found, added), strict=True)
+    found = kept(analyse(added).select("conv_id", "item_id", "section", "text"), "found")
+    findings = kept(R.evidence_checks(found, added), "findings")
     repeats = items.select("conv_id", "section", "text").distinct()
-    both = items.select("conv_id", "item_id", "section", "text").unionByName(checked.join(repeats, ["conv_id", "section", "text"], "left_anti"))
-    E.classified(E.exchanges(m, sides, most_lines, most_chars), situations).write.mode("overwrite").parquet(_part(folder, "pairs"))
-    pairs = spark.read.parquet(_part(folder, "pairs"))
-    routes = E.scenarios(pairs, situations=situations)
-    covered = E.coverage(pairs, routes, m, sides, situations)
+    both = items.select("conv_id", "item_id", "section", "text").unionByName(R.applied(found, findings, strict=True).join(repeats, ["conv_id", "section", "text"], "left_anti"))
+    both = kept(both, "items")
+    pairs = kept(E.classified(E.exchanges(m, sides, most_lines, most_chars), situations), "pairs")
+    routes = kept(E.scenarios(pairs, situations=situations), "routes")
+    covered = kept(E.coverage(pairs, routes, m, sides, situations), "coverage")
     conflicts = conflicts_of(spark, folder, version)
-    ledger = doubted(V.ledger(memories, m), conflicts)
-    claims = V.claims_of(both).select("conv_id", "item_id", "text", "claim")
-    scores = V.specificity(claims, m, sides.select("conv_id", "target"))
+    ledger = kept(doubted(V.ledger(memories, m), conflicts), "ledger")
+    scores = kept(V.specificity(V.claims_of(both).select("conv_id", "item_id", "text", "claim"), m, sides.select("conv_id", "target")), "specificity")
     asked = R.questions(scores, covered, ledger)
     said = conflicts.select("conv_id", F.concat(F.lit("conflict-"), F.col("memory_id").cast("string"), F.lit("-"), F.col("message").cast("string")).alias("id"), F.lit("conflict").alias("type"), F.lit("high").alias("priority"))
     return Rebuilt(m, both, routes, covered, ledger, scores, asked.unionByName(said))
