@@ -138,6 +138,7 @@ VERBATIM_SECTIONS = ("典型例句",)
 UNQUOTED_SECTIONS = ("硬规则", "温度与分寸", "统计画像")
 EVIDENCE_SECTION = "依据"
 SYSTEM_SPEAKER = "系统消息"
+SYSTEM_TYPE = "系统"
 UNKNOWN_SPEAKER = "未知"
 SELF_SPEAKER = "我"
 OTHER_SPEAKER = "对方"

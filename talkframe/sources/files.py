@@ -1,8 +1,8 @@
 """Chat exports as a messages frame.
 
 `read(spark, path)` takes a file or a folder. Line formats (queue exports, WhatsApp, generic) are parsed with column
-functions over exploded lines; container formats (CSV, JSON, archive scripts, mbox, SQLite) by a parser per file.
-conv_id is the file's path.
+functions over exploded lines, JSON and archive scripts as VARIANT values; other container formats (CSV, mbox, SQLite), and
+JSON that is no VARIANT, by a parser per file. conv_id is the file's path.
 """
 
 from __future__ import annotations
@@ -28,26 +28,12 @@ from talkframe.functions import lexicon as L
 from talkframe.functions import text as X
 from talkframe.functions.udfs import html_text
 from talkframe.operators.messages import SCHEMA, messages
-from talkframe.sources import times
+from talkframe.sources import times, variants
+from talkframe.sources.keys import ARCHIVE_TEXT, ARCHIVE_TIME, CSV_ID, CSV_REPLY, CSV_SELF, CSV_SPEAKER, CSV_TEXT, CSV_TIME, JSON_ID, JSON_LISTS, JSON_PERSON, JSON_REPLY, JSON_SPEAKER, JSON_TEXT, JSON_TIME, JSON_TIME_FIRST
 
 ENCODINGS = ("utf-8-sig", "utf-8", "gb18030", "utf-16")
 SUFFIXES = ("txt", "csv", "json", "mht", "mhtml", "html", "htm", "js", "mbox")
 SQLITE_MAGIC = b"SQLite format 3\x00"
-# Columns and keys in order of preference.
-CSV_TIME = ("strtime", "createtime", "time", "date", "时间", "日期")
-CSV_SPEAKER = ("nickname", "remark", "昵称", "备注", "sendername", "sender", "发送", "name", "talker", "用户", "from")
-CSV_TEXT = ("strcontent", "content", "text", "消息", "内容", "正文", "displaycontent", "msg")
-CSV_SELF = ("issender", "is_sender")
-CSV_ID = ("message_id", "msgid", "localid", "消息id")
-CSV_REPLY = ("reply_to", "replytomsgid", "引用id")
-JSON_LISTS = ("messages", "list", "items", "posts", "comments", "statuses", "data")
-JSON_TEXT = ("text", "body", "content", "message", "post", "full_text", "msg")
-JSON_SPEAKER = ("speaker", "sender", "sender_name", "author", "user", "talker", "name", "from", "actor")
-JSON_PERSON = ("name", "remark", "nickname", "uin", "uid")
-JSON_TIME_FIRST = ("created_at", "createdAt", "timestamp_ms")
-JSON_TIME = ("time", "timestamp", "date")
-ARCHIVE_TEXT = ("text", "full_text", "body", "content", "message", "post")
-ARCHIVE_TIME = ("createdAt", "created_at", "timestamp_ms", "timestamp", "date", "time")
 WHATSAPP_TIMES = (
     "d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yy H:mm:ss", "d/M/yy H:mm", "M/d/yyyy h:mm a", "M/d/yy h:mm a", "yyyy-M-d H:mm:ss", "yyyy-M-d H:mm",
 )
@@ -218,13 +204,13 @@ def json_rows(raw: bytes) -> Iterator[Row]:
         who = _first(r, JSON_SPEAKER) or ""
         who = str((_first(who, JSON_PERSON) or "") if isinstance(who, dict) else who).strip()
         if exported:
-            system = str(r.get("type", "")).strip() == "系统"
+            system = str(r.get("type", "")).strip() == L.SYSTEM_TYPE
             who = L.SYSTEM_SPEAKER if system else who if not partner else L.SELF_SPEAKER if who else partner
         when = _first(r, JSON_TIME_FIRST[:2]) or r.get("timestamp_ms")
         when = _first(r, JSON_TIME) if when is None else when
-        quoted = _present(r, ("reply_to_message_id", "reply_to", "replyTo"))
+        quoted = _present(r, JSON_REPLY)
         quoted = _present(quoted, ("message_id", "id")) if isinstance(quoted, dict) else quoted
-        yield times.parse(when), who or L.UNKNOWN_SPEAKER, text, _id(_present(r, ("source_id", "message_id", "id", "msgid"))), _id(quoted)
+        yield times.parse(when), who or L.UNKNOWN_SPEAKER, text, _id(_present(r, JSON_ID)), _id(quoted)
 
 
 def archive_rows(raw: bytes, name: str = "") -> Iterator[Row]:
@@ -357,8 +343,12 @@ def read(spark: SparkSession, path: str, channel: str | None = None, default_yea
     as_queue = queue.groupBy("conv_id").agg(F.count("*").alias("n"), F.bool_or(F.col("speaker") != L.UNKNOWN_SPEAKER).alias("known")).where("n >= 5 AND known").select(F.col("conv_id").alias("file"))
     left = texts.join(as_queue, "file", "left_anti")
     chats = is_whatsapp(left)
+    suffix = F.lower(F.element_at(F.split("file", r"\."), -1))
+    structured = suffix.isin("json", "js") & (F.substring("content", 1, len(SQLITE_MAGIC)) != F.lit(SQLITE_MAGIC))
+    said = files.where(structured).select("file", suffix.alias("suffix"), F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
+    whole = files.where(~structured | ~variants.readable(F.try_validate_utf8(F.col("content").cast("string")), suffix == "js"))
     parts = [
-        contained_messages(files, channel), queue.join(as_queue.withColumnRenamed("file", "conv_id"), "conv_id", "left_semi"),
+        contained_messages(whole, channel), variants.json_messages(said.where("suffix = 'json'")), variants.archive_messages(said.where("suffix = 'js'")), queue.join(as_queue.withColumnRenamed("file", "conv_id"), "conv_id", "left_semi"),
         parse_whatsapp(left.join(chats, "file", "left_semi")), parse_generic(left.join(chats, "file", "left_anti"), default_year),
     ]
     out = parts[0]

@@ -110,3 +110,37 @@ def test_claim_forms():
     assert udfs.without_citation("2024-03-15 【x】 小雨：小雨: 好", known) == "好" and udfs.without_citation("小雨:", known) == "小雨:"
     assert udfs.needles("2024-03-15 小雨: 早点睡吧", known) == ["20240315小雨早点睡吧", "早点睡吧", "小雨早点睡吧"]
     assert udfs.needles("a b c d e f g h", frozenset()) == ["abcdefgh", "gh", "fgh", "efgh", "defgh"]
+
+
+def test_variants_equal_the_parser_by_file(spark):
+    """Every shape that both read gives the same messages, and broken files give none."""
+    from talkframe.sources import variants
+
+    shapes = [
+        {"messages": [{"text": "  a\n"}, {"text": 5}, {"text": 5.0}, {"text": True}, {"text": False, "body": "b"}, {"text": 0, "content": 0.5}, {"text": None, "msg": "m"}]},
+        {"messages": 3, "data": [{"text": ["x", 1, {"text": "", "content": "y"}, {"text": 7}, None]}, {"text": {"text": {"body": "deep"}}}, {"text": {}}, "s", None, []]},
+        [{"text": "t", "from": {"uin": 12}, "date": 1709283600}, {"text": "t", "sender": "", "author": {"name": "", "remark": " r "}, "timestamp_ms": 1709283600123}],
+        [{"text": "t", "user": 3, "created_at": "", "time": "2024年3月1日 9:05"}, {"text": "t", "timestamp_ms": 0, "date": "2024-03-01"}, {"text": "t", "date": "2024-03-01T09:00:00+08:00"}, {"text": "t", "date": "soon"}, {"text": "t", "date": -4}],
+        [{"text": "t", "id": 5, "reply_to": None, "reply_to_message_id": "9"}, {"text": "t", "id": 5.5, "reply_to": {"message_id": 3}}, {"text": "t", "source_id": True, "replyTo": [1]}],
+        {"chat": "c", "username": "u", "messages": [{"content": "1", "time": "", "type": 1, "sender": "me"}, {"content": "2", "time": "", "type": "系统"}, {"content": "3"}]},
+        {"chat": "c", "username": "u", "is_group": True, "messages": [{"content": "1", "time": "2024-03-01 09:00:05", "type": 1, "sender": "x"}, {"content": "2", "time": "", "type": 1}]},
+        {"chat": "c", "messages": []}, {}, [], 3, "s", None,
+    ]
+    made = [(f"{i}.json", json.dumps(s)) for i, s in enumerate(shapes)] + [("b1.json", "{"), ("b2.json", ""), ("b3.json", None)]
+    got = variants.json_messages(spark.createDataFrame(made, "file string, text string")).collect()
+    want = [(f, n, *r) for f, t in made if t is not None for n, r in enumerate(S.json_rows(t.encode()), 1)]
+    assert sorted(map(tuple, got), key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
+    scripts = [
+        ("x/tweets.js", 'window.YTD.t.part0 = [{"tweet": {"full_text": "a", "author": {"username": "u"}}}, {"text": "b", "sender": "s", "date": 1709283600}, {"tweet": {"text": ""}}, 4]'),
+        ("x/Direct-Messages.js", 'YTD = [{"dmConversation": {"messages": [{"messageCreate": {"text": "a", "senderId": "1"}}, {"text": "b", "senderId": 2}]}}, {"messages": [{"text": "c"}]}, {}]'),
+        ("x/none.js", "var x = 1"), ("x/null.js", None),
+    ]
+    got = variants.archive_messages(spark.createDataFrame(scripts, "file string, text string")).collect()
+    want = [(f, n, *r) for f, t in scripts if t is not None for n, r in enumerate(S.archive_rows(t.encode(), f), 1)]
+    assert sorted(map(tuple, got), key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
+
+
+def test_json_that_is_no_variant_is_read_by_file(spark, tmp_path):
+    p = tmp_path / "a.json"
+    p.write_text('[{"text": "old", "text": "new", "from": "a"}]')
+    assert rows(spark, p) == [(None, "a", "new")]
