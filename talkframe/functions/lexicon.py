@@ -203,6 +203,7 @@ CURRENT_SITUATION = "【当前情境参考】"
 #: Characters after which a joined line needs no blank: CJK punctuation and kana, ideographs, full-width forms.
 CJK_RANGES = "　-ヿ一-鿿＀-￯"
 #: Longest and shortest sides of an exchange that may serve as an example: incoming from, to; reply to; replies.
+HOLDOUT_MOVE = "对照原聊天判断语气与接法"
 EXAMPLE_LIMITS = (4, 28, 26, 3)
 #: Marks in brackets that keep an exchange from serving as an example (fixed values).
 EXAMPLE_BAD_MARKS = ("图片", "视频", "语音", "文件", "链接", "表情", "通话", "引用", "微信转账", "红包", "位置", "名片", "手机号", "身份证", "银行卡", "邮箱", "地址")

@@ -36,10 +36,24 @@ def holdout_cases(m: DataFrame, sides: DataFrame, percent: int, most: int | None
     """Cases of the sessions held out: conv_id, id, label, prompt, expected_move, allowed_quotes, origin; the first `most` of a conversation (None: all)."""
     test = C.holdout(m, percent).where("test").drop("session_id", "test")
     rows = E.classified(E.exchanges(test, sides, most_chars=most_chars), situations)
+    move = F.when(F.coalesce("action", F.lit("")) == "", L.HOLDOUT_MOVE).otherwise(F.col("action"))
     n = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.get("reply_messages", F.lit(0))))
     rows = rows.withColumn("n", n)
     rows = rows if most is None else rows.where(F.col("n") <= most)
-    return rows.select("conv_id", F.concat(F.lit("holdout-"), F.col("n").cast("string")).alias("id"), "label", F.array_join("incoming", " ").alias("prompt"), F.col("action").alias("expected_move"), F.col("reply").alias("allowed_quotes"), F.lit("holdout").alias("origin"))
+    return rows.select("conv_id", F.concat(F.lit("holdout-"), F.col("n").cast("string")).alias("id"), "label", F.array_join("incoming", " ").alias("prompt"), move.alias("expected_move"), F.col("reply").alias("allowed_quotes"), F.lit("holdout").alias("origin"))
+
+
+def holdout_keys(m: DataFrame, percent: int) -> DataFrame:
+    """The content keys of the messages held out, a row each: conv_id, seq, key."""
+    return C.holdout(m, percent).where("test").select("conv_id", "seq", X.content_key("ts", "speaker", "text").alias("key"))
+
+
+def require_sessions(m: DataFrame, percent: int, least: int = 3) -> None:
+    """Raise where a share is to be held out of a conversation with fewer sessions than a hold-out needs; names one of them."""
+    if percent:
+        few = C.with_sessions(m).groupBy("conv_id").agg(F.count_distinct("session_id").alias("n")).where(F.col("n") < least).orderBy("conv_id").first()
+        if few is not None:
+            raise ValueError(f"a hold-out needs {least} whole sessions; {few['conv_id']} has {few['n']}")
 
 
 def holdout_summary(m: DataFrame, percent: int) -> DataFrame:
@@ -64,8 +78,14 @@ def shown_results(run: DataFrame, results: DataFrame, blind: bool = True) -> Dat
 
 
 def choices(run: DataFrame, results: DataFrame, votes: DataFrame, blind: bool = True) -> DataFrame:
-    """Votes (conv_id, id, choice, at) by the side that was meant: the last vote of each case that has both results; a tie or neither stays what it is."""
-    done = results.groupBy("conv_id", "id").agg(F.count_distinct("side").alias("n")).where("n = 2").select("conv_id", "id")
+    """Votes (conv_id, id, choice, at) by the side that was meant: the last vote of each case that has both results; a tie or neither stays what it is.
+
+    Where results have `at`, votes that aren't later than the last result of their case are dropped: they were of another reply.
+    """
+    timed = "at" in results.columns
+    done = results.groupBy("conv_id", "id").agg(F.count_distinct("side").alias("n"), *([F.max("at").alias("changed")] if timed else [])).where("n = 2").drop("n")
+    votes = votes.join(done, ["conv_id", "id"]).where(F.col("changed").isNull() | (F.col("at") > F.col("changed"))).select(votes.columns) if timed else votes
+    done = done.select("conv_id", "id")
     last = votes.where(F.col("choice").isin("a", "b", "tie", "neither")).groupBy("conv_id", "id").agg(F.max_by("choice", "at").alias("choice"))
     meant = F.when(F.col("choice") == "a", F.col("first")).when(F.col("choice") == "b", F.col("second")).otherwise(F.col("choice")) if blind else F.col("choice")
     return last.join(done, ["conv_id", "id"]).join(run, ["conv_id", "id"]).select("conv_id", "id", meant.alias("side"))
@@ -78,6 +98,24 @@ def verdict(run: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.count("*").alias("cases"), F.count("side").alias("chosen"), *wins, (F.count("*") == F.count("side")).alias("revealed"))
 
 
+def fresh_runs(run: DataFrame, current: DataFrame) -> DataFrame:
+    """The cases of a run (..., fingerprint) whose content is still current; a run of other content takes no result and no vote."""
+    return freshness(run, current).where("not stale").drop("stale")
+
+
+def summary(run: DataFrame, results: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Per revealed conversation and side wins, passed replies and seconds (one decimal): conv_id, side, wins, passed, seconds.
+
+    results: conv_id, id, side, passed, seconds, at; the last of a case and side counts, a null is no pass and no time. chosen: `choices`.
+    Conversations with a case that isn't chosen yet are left out, as their sides stay hidden.
+    """
+    last = results.join(run.select("conv_id", "id"), ["conv_id", "id"], "left_semi").groupBy("conv_id", "id", "side").agg(F.max_by(F.struct("passed", "seconds"), "at").alias("r"))
+    sums = last.groupBy("conv_id", "side").agg(F.count_if("r.passed").alias("passed"), F.bround(F.sum(F.coalesce("r.seconds", F.lit(0.0))), 1).alias("seconds"))
+    open_ = verdict(run, chosen).where("revealed")
+    sides = open_.select("conv_id", F.inline(F.array(F.struct(F.lit("a").alias("side"), F.col("a_wins").alias("wins")), F.struct(F.lit("b").alias("side"), F.col("b_wins").alias("wins")))))
+    return sides.join(sums, ["conv_id", "side"], "left").select("conv_id", "side", "wins", F.coalesce("passed", F.lit(0)).alias("passed"), F.coalesce("seconds", F.lit(0.0)).alias("seconds"))
+
+
 def save_baseline(m: DataFrame, folder: str, name: str, redact: bool = True) -> None:
     """Messages with their content keys, redacted, under a name that stays: an existing baseline is never overwritten."""
     rows = C.keyed(m.withColumn("text", X.redacted("text")) if redact else m).drop("copy")

@@ -144,6 +144,23 @@ def q14_blind_comparison(spark, sf):
     return T.verdict(run, T.choices(run, results, wanted.where("id <> '0'")))
 
 
+@query("""WITH r AS (SELECT CAST(conv_id AS VARCHAR) AS conv_id, turn % 4 = 0 AS again, turn FROM conversations WHERE conv_id % 2 = 0),
+    s AS (SELECT conv_id, CASE WHEN again OR turn % 3 = 1 THEN 'b' WHEN turn % 3 = 0 THEN 'a' ELSE 'tie' END AS won, again OR turn % 2 = 0 AS pa, turn % 3 = 0 AS pb, CASE WHEN again THEN 1 ELSE turn * 0.25 END AS ta, turn * 0.5 AS tb FROM r)
+    SELECT conv_id, 'a' AS side, count(*) FILTER (won = 'a') AS wins, count(*) FILTER (pa) AS passed, round_even(CAST(sum(ta) AS DOUBLE), 1) AS seconds FROM s GROUP BY 1
+    UNION ALL SELECT conv_id, 'b', count(*) FILTER (won = 'b'), count(*) FILTER (pb), round_even(CAST(sum(tb) AS DOUBLE), 1) FROM s GROUP BY 1""")
+def q14_summary(spark, sf):
+    """Every case is voted on, then one in four gets a new reply, and only conversations of even numbers vote on those again."""
+    cases = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("string").alias("id"))
+    run, turn = T.comparison(cases, 7), F.col("id").cast("int")
+    got = lambda side, passed, seconds, at: F.struct(F.lit(side).alias("side"), passed.alias("passed"), seconds.cast("double").alias("seconds"), F.lit(at).alias("at"))
+    told = [got("a", turn % 2 == 0, turn * 0.25, 1), got("b", turn % 3 == 0, turn * 0.5, 1), F.when(turn % 4 == 0, got("a", F.lit(True), F.lit(1.0), 3))]
+    results = run.select("conv_id", "id", F.inline(F.filter(F.array(*told), lambda x: x.isNotNull())))
+    place = lambda side: F.when(F.col("first") == side, "a").otherwise("b")
+    before = run.select("conv_id", "id", F.when(turn % 3 == 0, place("a")).when(turn % 3 == 1, place("b")).otherwise("tie").alias("choice"), F.lit(2).alias("at"))
+    after = run.where((turn % 4 == 0) & (F.col("conv_id").cast("long") % 2 == 0)).select("conv_id", "id", place("b").alias("choice"), F.lit(4).alias("at"))
+    return T.summary(run, results, T.choices(run, results, before.unionByName(after)))
+
+
 @query("SELECT CAST(conv_id AS VARCHAR) AS conv_id, count(*) AS messages FROM conversations GROUP BY 1")
 def r02_applied_increment(spark, sf):
     """Known messages are those of even places, incoming ones all: every message is there once after it."""

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from talkframe.functions import lexicon as L
+from talkframe.functions import tables
 from talkframe.functions import text as X
 from talkframe.plans.base import chats, cv, dv, literal, query, table, values, zh
 from talkframe.sources import files as S
@@ -134,3 +135,12 @@ def s17_page_hosts(spark, sf):
     host = F.regexp_extract("url", "^https?://([^/?#]+)", 1)
     p = table(spark, sf, "pages").select("page_id", host.alias("host"))
     return p.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("page_id")))
+
+
+@query("""SELECT role, substr(text, p, n) AS gram, count(*) AS times, CAST(min(p) AS INTEGER) AS first_at
+    FROM (SELECT role, text, n, unnest(range(1, length(text) - n + 2)) AS p FROM conversations, (VALUES (2), (3)) AS s(n)) GROUP BY 1, 2""")
+def x01_ngram_table(spark, sf):
+    """N-grams by role, with the first place that any message has them at, through the table function in SQL."""
+    tables.register(spark)
+    said = table(spark, sf, "conversations")
+    return spark.sql("SELECT c.role, g.gram, count(*) AS times, min(g.at) AS first_at FROM {said} AS c, LATERAL ngrams(c.text, 2, 3) AS g GROUP BY c.role, g.gram", said=said)
