@@ -193,6 +193,7 @@ SAMPLE_PENALTIES = (3, 3, 4)
 
 # Fixed values of documents and states.
 
+SOURCE_CAP_BYTES = 50 * 1024 * 1024
 TOPICS_TITLE, EVIDENCE_TITLE, GUIDE_TITLE = "# 主题档案", "# 结论与原文依据", "# 参考资料"
 COVERAGE_TITLE, SPECIFICITY_TITLE = "## 情境覆盖矩阵", "## 具体性评分"
 EVIDENCE_MARKS = {"verified": "原话命中", "fuzzy": "近似命中", "unverified": "未找到依据"}

@@ -82,21 +82,29 @@ def evidence_document(rows: DataFrame) -> DataFrame:
     return joined_lines(items.select("conv_id", "first", F.concat(F.lit("## "), "section", F.lit("\n\n"), "lines", F.lit("\n")).alias("line")), ["first"]).withColumn("markdown", F.concat(F.lit(L.EVIDENCE_TITLE + "\n\n"), "markdown"))
 
 
-def assembled(documents: DataFrame, m: DataFrame, budget: int, redact: bool = True) -> DataFrame:
+def assembled(documents: DataFrame, m: DataFrame, budget: int, redact: bool = True, sources: DataFrame | None = None, source_cap: int = L.SOURCE_CAP_BYTES) -> DataFrame:
     """Files of the layer (conv_id, path, body, bytes): the documents (conv_id, path, body) that aren't empty, and the newest months of the transcript that the budget still holds.
 
-    Texts are redacted last, so that sizes are those of what is written; the guide lists files, sizes and left-out months.
+    sources: conv_id, name, body, the texts of original exports. Each up to source_cap bytes goes along, and takes nothing of the
+    budget; larger ones are named in the guide, empty and null ones aren't. What fits is decided on the texts as they are, and only
+    months that fit are built. Texts are redacted after that; sizes in the guide and in `bytes` are those of what is written.
     """
     clean = (lambda c: X.redacted(c)) if redact else (lambda c: c)
-    docs = documents.where(X.stripped("body") != "").select("conv_id", "path", clean(F.col("body")).alias("body")).withColumn("bytes", F.octet_length("body").cast("long"))
-    spent = docs.groupBy("conv_id").agg(F.sum("bytes").alias("spent"))
-    lines = K.transcript_lines(m).withColumn("line", clean(F.col("line")))
+    docs = documents.where(X.stripped("body") != "").select("conv_id", "path", "body")
+    spent = docs.groupBy("conv_id").agg(F.sum(F.octet_length("body").cast("long")).alias("spent"))
+    kept = K.fitting(K.months(m).select("conv_id", "month", "bytes"), spent, budget)
+    lines = K.transcript_lines(m).join(kept.where("kept").select("conv_id", "month"), ["conv_id", "month"], "left_semi")
     months = lines.groupBy("conv_id", "month").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]), "\n").alias("lines"))
-    months = months.select("conv_id", "month", F.concat(F.lit("# "), "month", F.lit("（"), F.col("n").cast("string"), F.lit(" 条）\n\n"), "lines", F.lit("\n")).alias("body")).withColumn("bytes", F.octet_length("body").cast("long"))
-    kept = K.fitting(months.select("conv_id", "month", "bytes"), spent, budget)
-    files = docs.unionByName(months.join(kept.where("kept").select("conv_id", "month"), ["conv_id", "month"]).select("conv_id", F.concat(F.lit("transcript/"), "month", F.lit(".md")).alias("path"), "body", "bytes"))
+    body = F.concat(F.lit("# "), "month", F.lit("（"), F.col("n").cast("string"), F.lit(" 条）\n\n"), "lines", F.lit("\n"))
+    files = docs.unionByName(months.select("conv_id", F.concat(F.lit("transcript/"), "month", F.lit(".md")).alias("path"), body.alias("body")))
+    left = kept.where("not kept").select("conv_id", F.col("month").alias("left"))
+    if sources is not None:
+        size = F.octet_length("body").cast("long")
+        files = files.unionByName(sources.where(size.between(1, source_cap)).select("conv_id", F.concat(F.lit("source/"), "name").alias("path"), "body"))
+        left = left.unionByName(sources.where(size > source_cap).select("conv_id", F.concat("name", F.lit("（"), size.cast("string"), F.lit("）")).alias("left")))
+    files = files.withColumn("body", clean(F.col("body"))).withColumn("bytes", F.octet_length("body").cast("long"))
     listing = files.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "bytes"))), lambda x: F.concat(F.lit("- `"), x["path"], F.lit("` "), x["bytes"].cast("string"))), "\n").alias("list"))
-    out = kept.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("month")))), "、").alias("left"))
+    out = left.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list("left")), "、").alias("left"))
     guide = listing.join(out, "conv_id", "left").select("conv_id", F.lit("README.md").alias("path"), F.concat(F.lit(L.GUIDE_TITLE + "\n\n"), "list", F.when(F.coalesce("left", F.lit("")) != "", F.concat(F.lit("\n\n> "), "left")).otherwise(""), F.lit("\n")).alias("body"))
     return files.unionByName(guide.withColumn("bytes", F.octet_length("body").cast("long")))
 

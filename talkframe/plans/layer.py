@@ -43,12 +43,16 @@ BUDGET = 60_000
     s AS (SELECT conv_id, month, strlen(body) AS bytes, row_number() OVER (PARTITION BY conv_id ORDER BY month DESC) AS back FROM m),
     c AS (SELECT *, sum(bytes) OVER (PARTITION BY conv_id ORDER BY back) AS upto FROM s)
     SELECT conv_id, 'transcript/' || month || '.md' AS path, bytes FROM c WHERE back = 1 OR upto + 5 <= {BUDGET}
-    UNION ALL SELECT DISTINCT conv_id, 'topics.md', 5 FROM ev""")
+    UNION ALL SELECT DISTINCT conv_id, 'topics.md', 5 FROM ev
+    UNION ALL SELECT conv_id, 'source/' || speaker || '.txt', sum(strlen(text)) + count(*) - 1 FROM ev GROUP BY conv_id, speaker HAVING sum(strlen(text)) + count(*) - 1 BETWEEN 1 AND {BUDGET}""")
 def k04_assembled(spark, sf):
     """Files of the layer within a budget; here no month is larger than what is left after a smaller one."""
     m = ev(spark, sf)
     docs = m.select("conv_id").distinct().select("conv_id", F.inline(F.array(F.struct(F.lit("topics.md").alias("path"), F.lit("words").alias("body")), F.struct(F.lit("empty.md").alias("path"), F.lit(" ").alias("body")))))
-    return Y.assembled(docs, m, BUDGET, redact=False).where("path <> 'README.md'").select("conv_id", "path", "bytes")
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "\n")
+    small = m.groupBy("conv_id", "speaker").agg((F.sum(F.octet_length(F.coalesce("text", F.lit("")))) + F.count("*") - 1).alias("n")).where(F.col("n") <= BUDGET)
+    sources = m.join(small, ["conv_id", "speaker"], "left_semi").groupBy("conv_id", F.concat("speaker", F.lit(".txt")).alias("name")).agg(texts.alias("body"))
+    return Y.assembled(docs, m, BUDGET, redact=False, sources=sources, source_cap=BUDGET).where("path <> 'README.md'").select("conv_id", "path", "bytes")
 
 
 @query()

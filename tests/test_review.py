@@ -1,10 +1,12 @@
 import json
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from talkframe.operators import layer as Y
+from talkframe.operators import messages as M
 from talkframe.operators import packs as K
 from talkframe.operators import review as R
 from talkframe.operators import trials as T
@@ -208,3 +210,18 @@ def test_layer_texts(spark):
     files = {r["path"]: r for r in Y.assembled(docs, zh(spark), 500).collect()}
     assert set(files) >= {"a.md", "README.md"} and "13800138000" not in files["a.md"]["body"] and all(r["bytes"] == len(r["body"].encode()) for r in files.values())
     assert any(p.startswith("transcript/") for p in files)
+
+
+def test_sources_are_outside_the_budget_and_redaction_comes_after_it(spark):
+    day = datetime(2024, 3, 1, 9)
+    m = spark.createDataFrame([("c", 1, day.replace(month=2), "a", "call 13800138000", "", ""), ("c", 2, day, "a", "hi", "", ""), (None, 1, day, "a", "x", "", "")], M.SCHEMA)
+    docs = spark.createDataFrame([("c", "topics.md", "mail a.b@c.org"), ("c", "none.md", None)], "conv_id string, path string, body string")
+    sources = spark.createDataFrame([("c", "s.txt", "13800138000"), ("c", "big.txt", "x" * 100), ("c", "empty.txt", ""), ("c", "null.txt", None)], "conv_id string, name string, body string")
+    whole = {r["month"]: r["bytes"] for r in K.months(m.where("conv_id = 'c'")).collect()}
+    room = len("mail a.b@c.org") + sum(whole.values())
+    get = lambda budget: {r["path"]: r for r in Y.assembled(docs, m, budget, sources=sources, source_cap=20).where("conv_id = 'c'").collect()}
+    got = get(room)
+    assert set(got) == {"topics.md", "transcript/2024-02.md", "transcript/2024-03.md", "source/s.txt", "README.md"}
+    assert "13800138000" not in got["transcript/2024-02.md"]["body"] + got["source/s.txt"]["body"] and "big.txt（100）" in got["README.md"]["body"]
+    assert all(r["bytes"] == len(r["body"].encode()) for r in got.values())
+    assert set(get(room - 1)) == set(got) - {"transcript/2024-02.md"} and "2024-02" in get(room - 1)["README.md"]["body"]
