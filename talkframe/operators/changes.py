@@ -64,9 +64,10 @@ def training_feedback(feedback: DataFrame, test: DataFrame, least: int = 4) -> D
     return feedback.join(hit.select(F.col("seq").alias("id")).distinct(), "id", "left_anti")
 
 
-def version_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Paths (path, sha256) that were added, removed or changed."""
-    both = old.select("path", F.col("sha256").alias("was")).join(new.select("path", F.col("sha256").alias("now")), "path", "full_outer")
+def version_changes(old: DataFrame, new: DataFrame, order: str = "sha256") -> DataFrame:
+    """Paths (path, sha256) that were added, removed or changed, a row each: of rows that repeat a path the first by `order` with a hash counts."""
+    once = lambda df, name: df.groupBy("path").agg(F.min_by("sha256", F.when(F.col("sha256").isNotNull(), F.col(order))).alias(name))
+    both = once(old, "was").join(once(new, "now"), "path", "full_outer")
     change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("was") != F.col("now"), "changed")
     return both.select("path", change.alias("change")).where("change IS NOT NULL")
 

@@ -71,7 +71,7 @@ def j13_training_feedback(spark, sf):
 def j14_version_changes(spark, sf):
     p = table(spark, sf, "pages").select("page_id", F.col("url").alias("path"), F.sha2(F.col("html").cast("binary"), 256).alias("sha256"))
     new = p.where("page_id % 5 <> 0").withColumn("sha256", F.when(F.col("page_id") % 4 == 0, "x").otherwise(F.col("sha256")))
-    return C.version_changes(p.where("page_id % 3 <> 0"), new)
+    return C.version_changes(p.where("page_id % 3 <> 0"), new, "page_id")
 
 
 @query("""SELECT section, row_number() OVER (PARTITION BY section ORDER BY part, ordinal) AS ordinal, text FROM (SELECT source AS section, lang AS text, min(doc_id % 2) AS part, arg_min(doc_id, (doc_id % 2, doc_id)) AS ordinal FROM documents GROUP BY 1, 2)""")

@@ -225,3 +225,11 @@ def test_sources_are_outside_the_budget_and_redaction_comes_after_it(spark):
     assert "13800138000" not in got["transcript/2024-02.md"]["body"] + got["source/s.txt"]["body"] and "big.txt（100）" in got["README.md"]["body"]
     assert all(r["bytes"] == len(r["body"].encode()) for r in got.values())
     assert set(get(room - 1)) == set(got) - {"transcript/2024-02.md"} and "2024-02" in get(room - 1)["README.md"]["body"]
+
+
+def test_versions_with_repeated_paths_have_a_row_each(spark):
+    from talkframe.operators import changes as C
+
+    old = spark.createDataFrame([(2, "a", "y"), (1, "a", "x"), (3, "b", "x"), (4, "c", None), (5, "c", "z")], "n long, path string, sha256 string")
+    new = spark.createDataFrame([(7, "a", "x"), (6, "a", "y"), (8, "c", "z"), (9, "d", "x"), (10, "d", "y")], "n long, path string, sha256 string")
+    assert sorted(tuple(r) for r in C.version_changes(old, new, "n").collect()) == [("a", "changed"), ("b", "removed"), ("d", "added")]
