@@ -144,3 +144,17 @@ def test_json_that_is_no_variant_is_read_by_file(spark, tmp_path):
     p = tmp_path / "a.json"
     p.write_text('[{"text": "old", "text": "new", "from": "a"}]')
     assert rows(spark, p) == [(None, "a", "new")]
+
+
+def test_page_query_reads_terminated_references_only(spark, tmp_path):
+    import duckdb
+
+    from talkframe.plans import registry
+
+    pages = [(1, "<title>a &amp;&amp;&amp; b&amp</title><p>c &am</p>"), (2, "<h1>x &lt;y&gt; &lt z &copy;&middot</h1>&amp;lt;"), (3, "&quot;q&quot;&quot")]
+    spark.createDataFrame(pages, "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(tuple(r) for r in registry.QUERIES["s11_html_text"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(con.execute(registry.ORACLE_SQL["s11_html_text"]).fetchall())
+    assert udfs.terminated("&nope; &#8364; &#x41; &notit; &not;") == "&nope; \u20ac A &notit; \xac"
