@@ -12,8 +12,10 @@ values that nobody shares take no posting. Skipping: a list whose members are in
 nothing to add.
 
 First each class is tried against the smallest member of its lists with which it shares most (one pair a class),
-and what this links becomes components. Lists that still hold several components form clusters, through their
-smallest members. In a cluster, classes outside its core (its largest component at that time, and whatever joins
+and what this links becomes components. Of lists of up to SMALL members that still hold several components, the
+pairs across components are confirmed one by one if they agree in `matches` coordinates: a chain of lists that share
+a member each, as chance makes them in a large table, costs no more than its lists. Longer lists that still hold
+several components then form clusters, through their smallest members. In a cluster, classes outside its core (its largest component at that time, and whatever joins
 it) are compared with all its members, in blocks: first with one block, which links most of them, then what is
 left with every other block. A block
 counts collisions of long sketches and confirms on full sets at once, so that only links leave a task, one for
@@ -41,6 +43,8 @@ from talkframe.llm.common import released, written
 from talkframe.llm.graph import components, merged, roots
 
 SHINGLE, COORDINATES, MATCHES, BLOCK = 5, 64, 30, 64
+#: Members up to which a list's classes are paired by themselves.
+SMALL = 64
 #: Coordinates of the long sketches; two sets of similarity 0.75 agree in fewer than LONG_MATCHES once in millions.
 LONG, LONG_MATCHES = 256, 156
 _FACTORS = np.random.default_rng(11).integers(1, 2**63, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -191,6 +195,16 @@ def _links(members: DataFrame, clusters: DataFrame, sets: DataFrame, percent: in
     return both.select(*names, *(f"{c}2" for c in names)).mapInArrow(_met(percent), "a long, b long").distinct()
 
 
+def _agreeing(lists: DataFrame, reps: DataFrame, matches: int) -> DataFrame:
+    """Pairs (a, b) of classes in a list (token, rep, component) and in different components that agree in `matches` coordinates."""
+    met = lists.groupBy("token").agg(F.collect_list(F.struct("rep", "component")).alias("m")).select("m", F.explode("m").alias("x"))
+    across = met.select(F.col("x.rep").alias("a"), F.explode(F.expr("transform(filter(m, y -> y.rep > x.rep AND y.component <> x.component), y -> y.rep)")).alias("b"))
+    pairs = written(across.distinct())
+    a, b = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), reps.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
+    same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
+    return pairs.join(a, "a").join(b, "b").where(same >= matches).select("a", "b").distinct()
+
+
 def _labelled(df: DataFrame, comp: DataFrame, column: str, label: str) -> DataFrame:
     """df with the component of an id column as `label`; an id without links is its own."""
     return df.join(comp.select(F.col("id").alias(column), F.col("component").alias("__label")), column, "left").withColumn(label, F.coalesce("__label", column)).drop("__label")
@@ -248,6 +262,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     released(docs.sparkSession)
     labelled = _labelled(posted, comp, "rep", "component")
+    opened = written(labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("token", "n"))
+    pairs = written(_agreeing(labelled.join(opened.where(F.col("n") <= SMALL).select("token"), "token"), reps, matches))
+    comp = merged(comp, written(_confirmed(pairs, texts, percent)))
+    released(docs.sparkSession)
+    labelled = _labelled(written(posted.join(opened.where(F.col("n") > SMALL).select("token"), "token")), comp, "rep", "component")
     open_lists = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("leader")).where("lo <> hi")
     spokes = labelled.join(open_lists.select("token", "leader"), "token").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     clusters = components(spokes).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))

@@ -826,3 +826,14 @@ def test_bpe_awkward(spark, reference):
     for r in bpe.encode(docs, queries.VOCABULARY, P.PATTERN).where("doc_id = 8").collect():
         assert r["token_ids"] == reference.encode_ordinary(H.AWKWARD[-1][1]) and bytes(r["decoded"]).decode() == H.AWKWARD[-1][1]
     assert bpe.digests(H.frame(spark, [], True), queries.VOCABULARY, P.PATTERN).count() == 0
+
+
+def test_near_dedup_chains_of_short_lists_are_no_cluster(spark, monkeypatch):
+    rng = random.Random(8)
+    part = [" ".join(str(rng.random()) for _ in range(60)) for _ in range(121)]
+    rows = [(i, f"{part[i]} {part[i + 1]}") for i in range(120)]
+    rows += [(200, rows[7][1] + " more"), (201, "more " + rows[90][1])]
+    whole, seen = near_dedup._linked, []
+    monkeypatch.setattr(near_dedup, "_linked", lambda clusters, *a: seen.append(clusters.count()) or whole(clusters, *a))
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_components(H.frame(spark, [(d, t, None, None, None) for d, t in rows])).collect()}
+    assert got == {d: c for d, (_, c) in H.near(rows).items()} and seen == [0]
