@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,21 +49,81 @@ def _needle_rows(claims: DataFrame, m: DataFrame) -> DataFrame:
     return rows.mapInPandas(forms, "conv_id string, claim_id long, form int, needle string")
 
 
+#: Forms and lines of a block, and lines that are counted at a time.
+FORMS, LINES, AT_ONCE = 512, 16384, 512
+
+
+def _pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The two-character grams of texts as numbers, and the text that each is of."""
+    sizes = np.array([len(t) for t in texts])
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    of = np.repeat(np.arange(len(texts)), sizes)
+    inside = of[1:] == of[:-1]
+    return ((codes[:-1] << 21) | codes[1:])[inside], of[1:][inside]
+
+
+def shared_bigrams(forms: list[str], lines: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each AT_ONCE lines the first, and the number of different bigrams that each form has in common with each of them."""
+    grams, of = _pairs(forms)
+    known, at = np.unique(grams, return_inverse=True)
+    mine = np.zeros((len(forms), len(known)), np.float32)
+    mine[of, at] = 1
+    for first in range(0, len(lines), AT_ONCE):
+        some = lines[first : first + AT_ONCE]
+        grams, of = _pairs(some)
+        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        hit = known[at] == grams
+        theirs = np.zeros((len(some), len(known)), np.float32)
+        theirs[of[hit], at[hit]] = 1
+        yield first, mine @ theirs.T
+
+
+def _bigram_hits(forms: DataFrame, lines: DataFrame, most: int | None) -> DataFrame:
+    """conv_id, needle, line_id and hits: lines that share bigrams with a form (conv_id, needle), of each block of lines the first `most` by hits, then number."""
+    sizes = lambda df, size, name: df.groupBy("conv_id").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    blocks = sizes(forms, FORMS, "fs").join(sizes(lines, LINES, "ls"), "conv_id")
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = forms.join(blocks, "conv_id").select("conv_id", "needle", part("needle", "fs").alias("f"), every("ls").alias("l"))
+    right = lines.join(blocks, "conv_id").select("conv_id", "line_id", "norm", part("line_id", "ls").alias("l"), every("fs").alias("f"))
+
+    def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"conv_id": np.array([], object), "needle": np.array([], object), "line_id": np.array([], np.int64), "hits": np.array([], np.int64)})]
+        if len(a) and len(b):
+            b = b.sort_values("line_id")
+            needles_, ids = a["needle"].to_numpy(object), b["line_id"].to_numpy()
+            for first, hits in shared_bigrams(a["needle"].tolist(), b["norm"].tolist()):
+                if most is not None and most < hits.shape[1]:
+                    # lines come by number: of equal hits the earlier one is first
+                    order = np.argsort(-hits, axis=1, kind="stable")[:, :most]
+                    x, y = np.repeat(np.arange(len(hits)), most), order.ravel()
+                else:
+                    x, y = np.divmod(np.arange(hits.size), hits.shape[1])
+                n = hits[x, y].astype(np.int64)
+                x, y, n = x[n > 0], y[n > 0], n[n > 0]
+                out.append(pd.DataFrame({"conv_id": a["conv_id"].iloc[0], "needle": needles_[x], "line_id": ids[first + y], "hits": n}))
+                if most is not None:
+                    best = pd.concat(out[-2:]).sort_values(["needle", "hits", "line_id"], ascending=[True, False, True])
+                    out = [best.groupby("needle", sort=False).head(most)]
+        return pd.concat(out)
+
+    return left.groupBy("conv_id", "f", "l").cogroup(right.groupBy("conv_id", "f", "l")).applyInPandas(count, "conv_id string, needle string, line_id long, hits long")
+
+
 def matched(claims: DataFrame, m: DataFrame, lines: DataFrame | None = None, most: int | None = L.CANDIDATE_LINES) -> DataFrame:
     """Best line of each claim: conv_id, claim_id, score, line_id, by ordered coverage over the lines that share most bigrams.
 
-    Candidates come from an equi-join on bigrams; no claim meets every line. `most` candidates a form are compared, which
+    Candidates share bigrams, counted between blocks of forms and of lines. `most` candidates a form are compared, which
     is the rule; None compares all lines that share a bigram.
     """
     lines = corpus_lines(m) if lines is None else lines
     wanted = _needle_rows(claims, m).where(F.length("needle") >= 2)
-    grams = wanted.select("conv_id", "claim_id", "form", "needle", F.explode(X.bigrams("needle")).alias("gram"))
-    postings = lines.select("conv_id", "line_id", F.explode(X.bigrams("norm")).alias("gram"))
-    hits = grams.join(postings, ["conv_id", "gram"]).groupBy("conv_id", "claim_id", "form", "needle", "line_id").agg(F.count("*").alias("hits"))
-    w = Window.partitionBy("conv_id", "claim_id", "form").orderBy(F.desc("hits"), "line_id")
+    hits = _bigram_hits(wanted.select("conv_id", "needle").distinct(), lines.select("conv_id", "line_id", "norm"), most)
+    w = Window.partitionBy("conv_id", "needle").orderBy(F.desc("hits"), "line_id")
     near = hits.withColumn("place", F.row_number().over(w))
     near = (near if most is None else near.where(F.col("place") <= most)).join(lines.select("conv_id", "line_id", "norm"), ["conv_id", "line_id"])
-    scored = near.withColumn("score", ordered_coverage("needle", "norm"))
+    near = near.repartition("conv_id", "line_id", "needle").withColumn("score", ordered_coverage("needle", "norm"))
+    scored = wanted.select("conv_id", "claim_id", "form", "needle").join(near, ["conv_id", "needle"])
     best = scored.groupBy("conv_id", "claim_id").agg(F.min_by(F.struct("score", "line_id"), F.struct(-F.col("score"), "form", "place")).alias("b"))
     return claims.select("conv_id", "claim_id").join(best, ["conv_id", "claim_id"], "left").select("conv_id", "claim_id", F.round(F.coalesce("b.score", F.lit(0.0)), 3).alias("score"), F.col("b.line_id").alias("line_id"))
 

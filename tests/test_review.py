@@ -233,3 +233,19 @@ def test_versions_with_repeated_paths_have_a_row_each(spark):
     old = spark.createDataFrame([(2, "a", "y"), (1, "a", "x"), (3, "b", "x"), (4, "c", None), (5, "c", "z")], "n long, path string, sha256 string")
     new = spark.createDataFrame([(7, "a", "x"), (6, "a", "y"), (8, "c", "z"), (9, "d", "x"), (10, "d", "y")], "n long, path string, sha256 string")
     assert sorted(tuple(r) for r in C.version_changes(old, new, "n").collect()) == [("a", "changed"), ("b", "removed"), ("d", "added")]
+
+
+def test_shared_bigrams_are_counted_by_blocks():
+    from talkframe.operators import evidence as V
+
+    rng = random.Random(4)
+    forms = ["ab", "aaaa", *("".join(rng.choices("abc\u6f22\U0001f600", k=rng.randint(2, 9))) for _ in range(30))]
+    lines = ["".join(rng.choices("abcd\u6f22\U0001f600", k=rng.randint(2, 12))) for _ in range(V.AT_ONCE + 40)]
+    sets = lambda t: {t[i : i + 2] for i in range(len(t) - 1)}
+    want = [[len(sets(f) & sets(line)) for line in lines] for f in forms]
+    got = [[] for _ in forms]
+    for first, hits in V.shared_bigrams(forms, lines):
+        assert first == len(got[0])
+        for row, more in zip(got, hits.astype(int).tolist(), strict=True):
+            row += more
+    assert got == want
