@@ -249,3 +249,11 @@ def test_shared_bigrams_are_counted_by_blocks():
         for row, more in zip(got, hits.astype(int).tolist(), strict=True):
             row += more
     assert got == want
+
+
+def test_shared_phrases_cut_their_grams_in_one_pass(spark):
+    from talkframe.operators import mining as N
+
+    m = zh(spark)
+    found = N.shared_phrases(m, spark.createDataFrame([("zh", "\u963f\u6728", "\u5c0f\u96e8")], "conv_id string, target string, counterpart string"))
+    assert str(found._jdf.queryExecution().optimizedPlan().toString()).count("Generate ") <= 5
