@@ -128,24 +128,60 @@ def matched(claims: DataFrame, m: DataFrame, lines: DataFrame | None = None, mos
     return claims.select("conv_id", "claim_id").join(best, ["conv_id", "claim_id"], "left").select("conv_id", "claim_id", F.round(F.coalesce("b.score", F.lit(0.0)), 3).alias("score"), F.col("b.line_id").alias("line_id"))
 
 
-def contained(claims: DataFrame, m: DataFrame, lines: DataFrame) -> DataFrame:
+#: Characters of a conversation's folded lines that are searched at once.
+BLOCK = 65536
+
+
+def _in_order(piece: str) -> Column:
+    """The pieces of a group's lines, one after another."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_id", piece))), lambda x: x[piece]), "")
+
+
+def contained(claims: DataFrame, m: DataFrame, lines: DataFrame, block: int = BLOCK) -> DataFrame:
     """Claims of which a form stands in a conversation's folded lines, one after another: conv_id, claim_id.
 
-    Lines have places along their conversation. A form stands at a place if all its four-character grams (the whole of a
-    shorter form) stand one after another from there, so an equi-join of grams and a count decide, whatever its length.
+    The lines of up to `block` characters of a conversation are one text, in which its forms are looked for; those of a
+    longer one are cut into blocks, and a form is looked for in those that have its rarest key.
+    """
+    wanted = _needle_rows(claims, m).where(F.length("needle") >= 2).select("conv_id", "claim_id", "needle")
+    laid = lines.select("conv_id", "line_id", "norm", F.sum(F.length("norm")).over(Window.partitionBy("conv_id")).alias("total"))
+    whole = laid.where(F.col("total") <= block).groupBy("conv_id").agg(_in_order("norm").alias("flat"))
+    short = wanted.join(whole, "conv_id").where("contains(flat, needle)").select("conv_id", "claim_id")
+    long = laid.where(F.col("total") > block)
+    asked = wanted.join(long.select("conv_id").distinct(), "conv_id", "left_semi")
+    found = _in_blocks(asked.select("conv_id", "needle").distinct(), long, block)
+    return short.unionAll(asked.join(found, ["conv_id", "needle"]).select("conv_id", "claim_id")).distinct()
+
+
+def _in_blocks(forms: DataFrame, lines: DataFrame, block: int) -> DataFrame:
+    """Forms (conv_id, needle) that stand in their conversation's lines: conv_id, needle.
+
+    A block goes on beyond its end for the length of the longest form. Of five keys of a form, 2 to 16 characters at
+    even distances, the one that the fewest blocks have names the blocks that are searched.
     """
-    wanted = _needle_rows(claims, m).where(F.length("needle") >= 2).withColumn("size", F.least(F.length("needle"), F.lit(4)))
-    pieces = wanted.select("conv_id", "claim_id", "form", "size", F.length("needle").alias("n"), F.posexplode(F.expr("transform(sequence(1, length(needle) - size + 1), i -> substring(needle, i, size))")).alias("i", "gram"))
-    w = Window.partitionBy("conv_id").orderBy("line_id")
-    # every line has two characters, so the next two hold what a gram needs beyond its line
-    after = F.concat(F.coalesce(F.lead("norm").over(w), F.lit("")), F.coalesce(F.lead("norm", 2).over(w), F.lit("")))
-    start = F.coalesce(F.sum(F.length("norm")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    laid = lines.select("conv_id", "norm", F.concat("norm", F.left(after, F.lit(3))).alias("reach"), start.alias("start"))
-    # a conversation's lines are cut into grams of the sizes that its claims ask for
-    sizes = wanted.groupBy("conv_id").agg(F.collect_set("size").alias("sizes"))
-    grams = laid.join(sizes, "conv_id").select("*", F.explode("sizes").alias("size")).select("conv_id", "size", "start", F.posexplode(F.expr("transform(sequence(1, length(norm)), i -> substring(reach, i, size))")).alias("at", "gram")).where("length(gram) = size")
-    hits = grams.join(pieces, ["conv_id", "size", "gram"]).groupBy("conv_id", "claim_id", "form", "n", "size", (F.col("start") + F.col("at") - F.col("i")).alias("begin")).agg(F.count("*").alias("hits"))
-    return hits.where(F.col("hits") == F.col("n") - F.col("size") + 1).select("conv_id", "claim_id").distinct()
+    n = F.length("needle")
+    forms = forms.withColumn("size", F.when(n >= 16, 16).when(n >= 8, 8).otherwise(F.least(n, F.lit(4))))
+    of = forms.groupBy("conv_id").agg(F.max(n).alias("reach"), F.collect_set("size").alias("sizes")).withColumn("span", F.greatest("reach", F.lit(block)))
+    start = F.coalesce(F.sum(F.length("norm")).over(Window.partitionBy("conv_id").orderBy("line_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    laid = lines.withColumn("start", start).withColumn("end", F.col("start") + F.length("norm")).join(of, "conv_id")
+    at = laid.withColumn("block", F.explode(F.expr("sequence(greatest(0L, floor((start - reach) / span)), floor((end - 1) / span))")))
+    piece = F.expr("substring(norm, cast(greatest(start, block * span) - start + 1 as int), cast(least(end, (block + 1) * span + reach) - greatest(start, block * span) as int))")
+    texts = at.withColumn("piece", piece).groupBy("conv_id", "block").agg(_in_order("piece").alias("flat"), F.first("sizes").alias("sizes"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                for k in r.sizes:
+                    keys = np.array(list({r.flat[i : i + k] for i in range(len(r.flat) - k + 1)}), object)
+                    yield pd.DataFrame({"conv_id": np.full(len(keys), r.conv_id, object), "block": r.block, "key": keys})
+
+    keys = texts.mapInPandas(cut, "conv_id string, block long, key string")
+    probes = forms.select("conv_id", "needle", F.explode(F.expr("array_distinct(transform(sequence(0, 4), i -> substring(needle, cast(1 + (length(needle) - size) * i div 4 as int), size)))")).alias("key"))
+    # a key that no block has rules its form out
+    rare = probes.join(keys.groupBy("conv_id", "key").agg(F.count("*").alias("blocks")), ["conv_id", "key"], "left")
+    rare = rare.groupBy("conv_id", "needle").agg(F.min_by("key", F.struct(F.coalesce("blocks", F.lit(0)), "key")).alias("key"))
+    near = rare.join(keys, ["conv_id", "key"]).join(texts.select("conv_id", "block", "flat"), ["conv_id", "block"])
+    return near.where("contains(flat, needle)").select("conv_id", "needle").distinct()
 
 
 def verified(claims: DataFrame, m: DataFrame, threshold: float = L.FUZZY_THRESHOLD) -> DataFrame:
