@@ -5,9 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from talkframe.functions import text as X
 from talkframe.functions.udfs import needles
 from talkframe.operators import evidence as V
 from talkframe.operators import messages as M
+from talkframe.operators import mining as N
 
 
 def said(spark, rows):
@@ -51,3 +53,32 @@ def test_contained_shuffles_lines_and_forms_not_their_grams(spark):
     claims = spark.createDataFrame([("c", i, "ab" * 60) for i in range(20)], "conv_id string, claim_id long, claim string")
     rows, records = shuffled(spark, V.contained(claims, m, V.corpus_lines(m)))
     assert len(rows) == 20 and records < 500
+
+
+def test_phrases_shuffle_lines_and_not_their_grams(spark):
+    r = random.Random(4)
+    rows = [(f"c{i % 5}", i, "xy"[i % 2], "".join(r.choice("abcdefgh") for _ in range(150))) for i in range(200)]
+    lines = N.message_lines(said(spark, rows))
+    found, records = shuffled(spark, N.absorbed(N.gram_counts(lines), 3, 60))
+    assert len(found) > 500 and records < 2000
+    counted, records = shuffled(spark, N.gram_counts(lines, noise=("zz",)))
+    assert sum(x["n"] for x in counted) == sum(150 - n + 1 for n in range(2, 6)) * 200 and records < 2000
+
+
+def test_lines_are_dealt_out_by_their_characters(spark, monkeypatch):
+    monkeypatch.setattr(N, "CHARS", 1000)
+    rows = said(spark, [(f"c{i}", i, "x", "ab" * 50) for i in range(40)]).select("conv_id", "text")
+    assert N.dealt(rows, "text", "conv_id").rdd.getNumPartitions() == 4
+
+
+def test_parts_of_grams_go_within_their_group_only(spark):
+    rows = [("a", "abc", 3, 0.5), ("a", "ab", 3, 0.25), ("a", "bc", 4, 1.0), ("b", "ab", 3, 2.0), (None, "abc", 3, 0.5), (None, "ab", 3, 0.75)]
+    got = N.without_parts(spark.createDataFrame(rows, "conv_id string, gram string, n long, ratio double"), ["conv_id"], "gram")
+    assert got.columns == ["conv_id", "gram", "n", "ratio"] and {tuple(x) for x in got.collect()} == {x for x in rows if x != rows[1]}
+
+
+def test_grams_of_any_length_of_text(spark):
+    for size in (0, 1, 2, 5, 31, 32, 33, 36, 63, 64, 65, 200):
+        t = "".join(random.Random(size).choice("ab\U0001d518") for _ in range(size))
+        got = spark.createDataFrame([(t,)], "t string").select(X.ngrams("t", 2, 6)).first()[0]
+        assert sorted(got) == sorted(t[i : i + n] for n in range(2, 7) for i in range(size - n + 1))
