@@ -19,7 +19,7 @@ def said(spark, rows):
 
 
 def shuffled(spark, df):
-    """Rows of df, and the records that were shuffled for them."""
+    """Rows of df, and the records that are shuffled for them where no table is small enough to broadcast."""
     store, sc = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext
     none = sc._gateway.new_array(sc._jvm.double, 0)
 
@@ -27,8 +27,12 @@ def shuffled(spark, df):
         stages = store.stageList(None, False, False, none, None)
         return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
 
-    before = written()
-    rows = df.collect()
+    before, small = written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = df.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
     return rows, sum(n for k, n in written().items() if k not in before)
 
 
@@ -82,3 +86,24 @@ def test_grams_of_any_length_of_text(spark):
         t = "".join(random.Random(size).choice("ab\U0001d518") for _ in range(size))
         got = spark.createDataFrame([(t,)], "t string").select(X.ngrams("t", 2, 6)).first()[0]
         assert sorted(got) == sorted(t[i : i + n] for n in range(2, 7) for i in range(size - n + 1))
+
+
+def test_standing_phrases_go_along_with_their_texts(spark):
+    r = random.Random(5)
+    word = lambda k: "".join(r.choice("abc") for _ in range(k))
+    texts = [(f"c{i % 3}", i, word(120)) for i in range(90)]
+    phrases = sorted({(f"c{i % 4}", word(r.randint(2, 6))) for i in range(60)})
+    want = sorted((c, i, p) for c, i, t in texts for d, p in phrases if c == d and p in t)
+    t, p = spark.createDataFrame(texts, "conv_id string, seq long, text string"), spark.createDataFrame(phrases, "conv_id string, phrase string")
+    for at_once in (4, 512):
+        found = N.standing_in(p, t, "phrase", "text", at_once)
+        assert sorted((x["conv_id"], x["seq"], x["phrase"]) for x in found.collect()) == want
+    rows, records = shuffled(spark, N.standing_in(p, t.repartition(8), "phrase", "text"))
+    assert len(rows) == len(want) and records < 400
+
+
+def test_distinctive_clauses_are_counted_in_one_pass(spark):
+    rows = [("c", i, "xy"[i % 2], ("well now, " if i % 4 else "so it is, ") + "abcd " * 20) for i in range(60)]
+    sides = spark.createDataFrame([("c", "x", "y")], "conv_id string, target string, counterpart string")
+    found, records = shuffled(spark, N.distinctive(said(spark, rows), sides, expressive=False, noise=("zz",)))
+    assert {(x["phrase"], x["n"]) for x in found} == {("so", 15), ("it", 15), ("is", 15)} and records < 2000
