@@ -107,3 +107,18 @@ def test_distinctive_clauses_are_counted_in_one_pass(spark):
     sides = spark.createDataFrame([("c", "x", "y")], "conv_id string, target string, counterpart string")
     found, records = shuffled(spark, N.distinctive(said(spark, rows), sides, expressive=False, noise=("zz",)))
     assert {(x["phrase"], x["n"]) for x in found} == {("so", 15), ("it", 15), ("is", 15)} and records < 2000
+
+
+def test_topics_count_whole_conversations_and_shuffle_few_grams(spark):
+    r = random.Random(6)
+    word = lambda k: "".join(r.choice("abcdefghijklmn") for _ in range(k))
+    rows = [("long", i * 3000, "x", word(6) + "qrs" * (i % 3 == 0)) for i in range(30)] + [(f"c{i // 4}", i, "x", word(300)) for i in range(80)] + [(None, i * 9000, "x", "tuv") for i in range(12)]
+    found, records = shuffled(spark, N.topics(said(spark, rows), cjk=False))
+    got = {(x["conv_id"], x["gram"]): x["n"] for x in found}
+    text = {}
+    for c, _, _, t in rows:
+        text.setdefault(c, []).append(t)
+    assert got[("long", "qrs")] == 10 and got[(None, "tuv")] == 12 and records < 5000
+    assert got == {(c, g): n for (c, g), n in got.items() if n == sum(t[i : i + len(g)] == g for t in text[c] for i in range(len(t))) and n >= 10}
+    ranks = sorted(x["rank"] for x in found if x["conv_id"] == "c3")
+    assert ranks == list(range(1, len(ranks) + 1))
