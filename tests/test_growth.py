@@ -122,3 +122,19 @@ def test_topics_count_whole_conversations_and_shuffle_few_grams(spark):
     assert got == {(c, g): n for (c, g), n in got.items() if n == sum(t[i : i + len(g)] == g for t in text[c] for i in range(len(t))) and n >= 10}
     ranks = sorted(x["rank"] for x in found if x["conv_id"] == "c3")
     assert ranks == list(range(1, len(ranks) + 1))
+
+
+def test_examples_of_many_groups_are_picked_without_a_call_a_group(spark):
+    rows = [(f"c{i % 700}" if i % 9 else None, i, ("x", "y", None)[i % 3], f"line {i * 7919 % 1000} of them") for i in range(4000)]
+    m = said(spark, rows)
+    found = N.examples(m)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, found.collect()), key=str)
+    want = []
+    for key in {(c, s) for c, _, s, _ in rows}:
+        kept = []
+        for _, i, _, t in sorted((r for r in rows if (r[0], r[2]) == key), key=lambda r: (-0.04 * len(r[3]), r[1])):
+            if len(kept) < 8 and not any(t in k or k in t or t[:3] == k[:3] for _, k in kept):
+                kept.append((i, t))
+        want += [(key[0], i, key[1], t, 0.5 + 0.04 * len(t), k) for k, (i, t) in enumerate(kept, 1)]
+    assert len(got) == len(want) > 700 and [x[:4] + x[5:] for x in got] == [x[:4] + x[5:] for x in sorted(want, key=str)]
