@@ -10,6 +10,7 @@ from talkframe.functions.udfs import needles
 from talkframe.operators import evidence as V
 from talkframe.operators import messages as M
 from talkframe.operators import mining as N
+from talkframe.plans import streams
 
 
 def said(spark, rows):
@@ -138,3 +139,11 @@ def test_examples_of_many_groups_are_picked_without_a_call_a_group(spark):
                 kept.append((i, t))
         want += [(key[0], i, key[1], t, 0.5 + 0.04 * len(t), k) for k, (i, t) in enumerate(kept, 1)]
     assert len(got) == len(want) > 700 and [x[:4] + x[5:] for x in got] == [x[:4] + x[5:] for x in sorted(want, key=str)]
+
+
+def test_arrivals_are_written_by_all_tasks_and_come_a_part_at_a_time(spark, tmp_path):
+    m = said(spark, [("c", i, "x", "t") for i in range(40)]).repartition(4)
+    seen = []
+    run = lambda rows: rows.writeStream.foreachBatch(lambda b, k: seen.append((k, b.count()))).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    streams.arriving(m, f"{tmp_path}/in", ["seq < 8", "seq < 0", "seq >= 0"], run)
+    assert [n for _, n in seen if n] == [8, 40] and len(list((tmp_path / "in").glob("part-*"))) > 3
