@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talkframe.llm.common import lean
+
 
 class Bpe:
     """Ranks of a tiktoken file, and a memory of pieces encoded before: two turns of about `remember` pieces."""
@@ -198,13 +200,14 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, pattern)
-        for b in batches:
+        for b in lean(batches):
             for ids, texts in _blocks(b, block_chars):
                 packed = list(c.encode_block(texts))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array([np.frombuffer(p, "<u4").astype(np.int32) for p in packed], pa.list_(pa.int32())), pa.array([c.decode(p) for p in packed], pa.binary())],
                     names=["doc_id", "token_ids", "decoded"],
                 )
+            b = ids = texts = packed = None
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, token_ids array<int>, decoded binary")
 
@@ -214,7 +217,7 @@ def digests(docs: DataFrame, path: str, pattern: str, block_chars: int = 1 << 20
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, pattern)
-        for b in batches:
+        for b in lean(batches):
             for ids, texts in _blocks(b, block_chars):
                 rows, done = [], {}
                 for p in c.encode_block(texts):
@@ -226,5 +229,6 @@ def digests(docs: DataFrame, path: str, pattern: str, block_chars: int = 1 << 20
                     [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+            b = ids = texts = rows = done = None
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
