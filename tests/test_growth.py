@@ -1,6 +1,7 @@
 """Steps whose shuffles must grow no faster than their input."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,6 +71,22 @@ def test_phrases_shuffle_lines_and_not_their_grams(spark):
     assert sum(x["n"] for x in counted) == sum(150 - n + 1 for n in range(2, 6)) * 200 and records < 2000
 
 
+def test_grams_without_limits_shuffle_lines_and_not_their_grams(spark):
+    r = random.Random(5)
+    rows = [(f"c{i % 5}", i, "xy"[i % 2], "".join(r.choice("abcdefgh") for _ in range(3 * i))) for i in range(1, 100)] + [("c0", 100, "x", "".join(r.choice("ab\U0001d518") for _ in range(50_000)))]
+    want = Counter((c, s, t[i:i + n]) for c, _, s, t in rows for n in range(2, 6) for i in range(len(t) - n + 1))
+    counted, records = shuffled(spark, N.gram_counts(N.message_lines(said(spark, rows)), longest_line=None, budget=None, noise=("zz",)))
+    assert {(x["conv_id"], x["speaker"], x["gram"]): x["n"] for x in counted} == {k: n for k, n in want.items()} and records < 2000
+
+
+@pytest.mark.parametrize("size", [0, 1, 31, 32, 33, 36, 1023, 1024, 1025, 1028, 1029, 2048, 3077])
+def test_pieces_give_each_gram_once(spark, size):
+    r = random.Random(size)
+    t = "".join(r.choice("ab\u00e9\U0001d518") for _ in range(size))
+    got = spark.createDataFrame([(t,)], "t string").select(X.ngrams("t", 1, 5)).first()[0]
+    assert Counter(got) == Counter(t[i:i + n] for n in range(1, 6) for i in range(size - n + 1))
+
+
 def test_lines_are_dealt_out_by_their_characters(spark, monkeypatch):
     monkeypatch.setattr(N, "CHARS", 1000)
     rows = said(spark, [(f"c{i}", i, "x", "ab" * 50) for i in range(40)]).select("conv_id", "text")
